@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,18 +34,31 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; only where that is unset (tests), a folder of this machine."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
         folder = tempfile.mkdtemp(prefix="locusframe-checkpoint-")
-    if context.getCheckpointDir() is None:
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files, so that a lost executor costs no recomputation."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared checkpoint folder and go on from its files.
+
+    A lost executor then costs no recomputation beyond its running tasks, and later steps see the same rows.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/locusframe/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the files of a cut table that no later step reads."""
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
