@@ -62,11 +62,11 @@ def overlap_join(a: DataFrame, b: DataFrame, strand: str = "any", width: int = B
 
 
 @operator("IV-05", group="intervals")
-def merge(a: DataFrame) -> DataFrame:
-    """Union of overlapping or book-ended intervals: chrom, start, end."""
-    closed = a.where(F.col("start") < F.col("end")).select("chrom", (F.col("start") + 1).alias("s"), F.col("end").alias("e"))
-    runs = periods_and_gaps(closed, ["chrom"], "s", "e").where("kind = 'period'")
-    return runs.select("chrom", (F.col("s") - 1).alias("start"), F.col("e").alias("end"))
+def merge(a: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Union of overlapping or book-ended intervals, within each value of the keys: keys, chrom, start, end."""
+    closed = a.where(F.col("start") < F.col("end")).select(*keys, "chrom", (F.col("start") + 1).alias("s"), F.col("end").alias("e"))
+    runs = periods_and_gaps(closed, [*keys, "chrom"], "s", "e").where("kind = 'period'")
+    return runs.select(*keys, "chrom", (F.col("s") - 1).alias("start"), F.col("e").alias("end"))
 
 
 @operator("IV-04", group="intervals")
@@ -347,16 +347,15 @@ def exclude_sizes(sizes: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 @operator("IV-24", group="intervals")
-def lengths_and_gaps(a: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(chrom, number, length, gap): intervals in order with the gap before each; the last row has the gap to the end and no length.
-
-    Gaps below zero count 0.
+def lengths_and_gaps(a: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, chrom, number, length, gap): intervals in order with the gap before each; the last row has the gap to the
+    chromosome's end and no length. Gaps below zero count 0.
     """
-    tail = sizes.join(a.select("chrom").distinct(), "chrom", "left_semi").select("chrom", F.col("size").alias("start"), F.lit(None).cast("bigint").alias("end"))
-    order = Window.partitionBy("chrom").orderBy(F.col("end").isNull(), "start", "end")
-    every = a.select("chrom", "start", "end").unionByName(tail)
+    tail = a.select(*keys, "chrom").distinct().join(sizes.select("chrom", "size"), "chrom").select(*keys, "chrom", F.col("size").alias("start"), F.lit(None).cast("bigint").alias("end"))
+    order = Window.partitionBy(*keys, "chrom").orderBy(F.col("end").isNull(), "start", "end")
+    every = a.select(*keys, "chrom", "start", "end").unionByName(tail)
     gap = F.greatest(F.col("start") - F.coalesce(F.lag("end").over(order), F.lit(0)), F.lit(0))
-    return every.select("chrom", F.row_number().over(order).alias("number"), (F.col("end") - F.col("start")).alias("length"), gap.alias("gap"))
+    return every.select(*keys, "chrom", F.row_number().over(order).alias("number"), (F.col("end") - F.col("start")).alias("length"), gap.alias("gap"))
 
 
 def region_name(prefix: str, number: Column) -> Column:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +34,21 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers: once a context, unless they find it by PYTHONPATH or their folder."""
+    package = Path(__file__).resolve().parent
+    known = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if package.parent in known or getattr(spark.sparkContext, "_locusframe_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="locusframe-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/locusframe.zip", "w") as out:
+        for p in sorted(package.rglob("*.py")):
+            out.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(f"{folder}/locusframe.zip")
+    spark.sparkContext._locusframe_shipped = True
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; only where that is unset (tests), a folder of this machine."""
     context = spark.sparkContext
