@@ -51,7 +51,7 @@ def orphan_references(references: DataFrame, registry: DataFrame, total: int) ->
     """References without a registry row in force when they were loaded, with what is wrong.
 
     references: registry STRING, id STRING (returned form, referring to something), at TIMESTAMP, row_id LONG and any
-    further columns, which are kept. registry: registry, id, added_at, withdrawn_at (null: open). `total` is at
+    further columns, which are kept (one named kind is replaced). registry: registry, id, added_at, withdrawn_at (null: open). `total` is at
     least the number of references; it bounds the number of hot ids that are salted.
 
     Out come the reference's columns and `kind`: `missing` if the registry never has the id (as-of match of the
@@ -59,7 +59,9 @@ def orphan_references(references: DataFrame, registry: DataFrame, total: int) ->
     A row is in force from added_at until before withdrawn_at. Null `at`: never in force, kind `missing` or `withdrawn`.
     Registry rows with null id are ignored, null added_at never come into force; identical rows change nothing.
     """
-    keep = [c for c in references.columns if c not in ("registry", "id", "at", "row_id")]
+    extra = [c for c in references.columns if c.lower() not in ("registry", "id", "at", "row_id", "kind")]
+    keep = [f"__k{i}" for i in range(len(extra))]
+    references = references.select("registry", "id", "at", "row_id", *(F.col(f"`{c}`").alias(k) for c, k in zip(extra, keep, strict=True)))
     stamp = references.schema["at"].dataType.simpleString()
     both = ["registry", "id"]
     counts = references.groupBy(*both).agg(F.count(F.lit(1)).alias("n"))
@@ -77,7 +79,7 @@ def orphan_references(references: DataFrame, registry: DataFrame, total: int) ->
     added, withdrawn = F.col("added_at").cast(stamp), F.coalesce(F.col("withdrawn_at").cast(stamp), F.lit(FOREVER).cast(stamp))
     newest = parents.groupBy(*both).agg(F.max(added).alias("newest"))
     periods = parents.where(F.col("added_at").isNotNull()).select(*both, added.alias("at"), withdrawn.alias("stop")).distinct()
-    events = event(salted(references, hot, both, "row_id", SALTS), 2, at=F.col("at"), row_id=F.col("row_id"), **{c: F.col(f"`{c}`") for c in keep})
+    events = event(salted(references, hot, both, "row_id", SALTS), 2, at=F.col("at"), row_id=F.col("row_id"), **{c: F.col(c) for c in keep})
     events = events.unionByName(event(replicated(newest, hot, both, SALTS), 0, newest=F.col("newest")))
     events = events.unionByName(event(replicated(missing, hot, both, SALTS), 0, never=F.lit(True)))
     events = events.unionByName(event(replicated(periods, hot, both, SALTS), 1, at=F.col("at"), stop=F.col("stop")))
@@ -87,7 +89,7 @@ def orphan_references(references: DataFrame, registry: DataFrame, total: int) ->
     seen = events.withColumns({c: F.max(c).over(running) for c in ("stop", "newest", "never")})
     kind = F.when(F.col("never"), "missing").when(F.col("newest") > F.col("at"), "late").otherwise("withdrawn")
     in_force = F.coalesce(F.col("stop") > F.col("at"), F.lit(False))
-    return seen.where((F.col("step") == 2) & ~in_force).select(*both, "at", "row_id", *keep, kind.alias("kind"))
+    return seen.where((F.col("step") == 2) & ~in_force).select(*both, "at", "row_id", *(F.col(k).alias(c) for c, k in zip(extra, keep, strict=True)), kind.alias("kind"))
 
 
 __all__ = ["HOT_PARTS", "beyond_runs", "key_parts", "key_runs", "orphan_references"]
