@@ -32,10 +32,10 @@ def shuffled(a: DataFrame, sizes: DataFrame, shuffles: int, seed: int = 42, keys
     parts = lengths_and_gaps(a, sizes, keys).withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
     by = [*keys, "shuffle", "chrom"]
     one = Window.partitionBy(*by)
-    lengths = parts.where("length IS NOT NULL").select(*by, "length", F.row_number().over(one.orderBy(_drawn(seed, "shuffle", "number"), "number")).alias("k"))
-    gaps = parts.select(*by, "gap", F.row_number().over(one.orderBy(_drawn(seed + 1, "shuffle", "number"), "number")).alias("k"))
-    placed = lengths.join(gaps, [*by, "k"])
-    end = F.sum(F.col("length") + F.col("gap")).over(one.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lengths = parts.where("length IS NOT NULL").select(*by, "length", F.row_number().over(one.orderBy(_drawn(seed, "shuffle", "number"), "number")).alias("__k"))
+    gaps = parts.select(*by, "gap", F.row_number().over(one.orderBy(_drawn(seed + 1, "shuffle", "number"), "number")).alias("__k"))
+    placed = lengths.join(gaps, [*by, "__k"])
+    end = F.sum(F.col("length") + F.col("gap")).over(one.orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return placed.select(*by, (end - F.col("length")).alias("start"), end.alias("end"))
 
 
@@ -80,7 +80,7 @@ def _counted(segments: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, s): merged overlaps and overlapping bases; adjacent segments of one place count once."""
     order = Window.partitionBy(*keys, "chrom").orderBy("start")
     new = F.coalesce((F.col("start") != F.lag("end").over(order)).cast("int"), F.lit(1))
-    return segments.withColumn("new", new).groupBy(*keys).agg(F.sum("new").alias("n"), F.sum(F.col("end") - F.col("start")).alias("s")) if keys else segments.withColumn("new", new).agg(F.coalesce(F.sum("new"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("s"))
+    return segments.withColumn("__new", new).groupBy(*keys).agg(F.sum("__new").alias("n"), F.sum(F.col("end") - F.col("start")).alias("s")) if keys else segments.withColumn("__new", new).agg(F.coalesce(F.sum("__new"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("s"))
 
 
 def _for_each_set(a: DataFrame, sets: DataFrame, keys: tuple[str, ...]) -> DataFrame:
