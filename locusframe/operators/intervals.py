@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from locusframe.model import attr, bed, value
 from locusframe.operators.periods import periods_and_gaps
 from locusframe.registry import operator
+from locusframe.session import cut
 
 #: Width of the bins in which intervals meet; about the length of the usual interval or a small multiple.
 BIN = 1 << 14
@@ -321,9 +322,10 @@ def exclude_concatenate(a: DataFrame, excluded: DataFrame) -> DataFrame:
     """Cut excluded stretches out of the chromosomes and close up: intervals are clipped, moved left, and dropped if inside.
 
     Places are moved by the length of merged exclusions before them, found by rank. Chromosomes without exclusion stay as
-    they are. a needs a unique rid; its other columns are kept.
+    they are. a needs a unique rid; its other columns are kept. The merged exclusions are written once, being read twice
+    for either end.
     """
-    holes = merge(excluded)
+    holes = cut(merge(excluded))
     order = Window.partitionBy("chrom").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     summed = holes.withColumn("before", F.coalesce(F.sum(F.col("end") - F.col("start")).over(order), F.lit(0)))
     ranked = _ranked_places(summed.select("chrom", F.col("start").alias("place")))
