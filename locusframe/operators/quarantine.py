@@ -32,20 +32,20 @@ def _escapes_hidden(text: Column) -> Column:
     """
     plain = F.translate(text, "\x01\x02", "!!")
     marked = F.regexp_replace(plain, r'\\([\\"])', "\x01$1")
-    return F.replace(F.replace(marked, F.lit("\x01\\"), F.lit("!!")), F.lit('\x01"'), F.lit("\x02"))
+    hidden = F.replace(F.replace(marked, F.lit("\x01\\"), F.lit("!!")), F.lit('\x01"'), F.lit("\x02"))
+    return F.when(text.rlike("[\\\\\x01\x02]"), hidden).otherwise(text)
 
 
-def attribute_list_sound(text: Column) -> Column:
-    """True if the text is blank, '.', or a list of `key value` entries each closed by ';' or the end."""
-    rest = F.regexp_replace(_escapes_hidden(text), _ENTRY, "")
-    return trimmed(text).isin("", ".") | (rest == "")
+def attribute_list_sound(text: Column, hidden: Column) -> Column:
+    """True if the text is blank, '.', or a list of `key value` entries each closed by ';' or the end.
+
+    `hidden` is the text with its escapes hidden.
+    """
+    return trimmed(text).isin("", ".") | (F.regexp_replace(hidden, _ENTRY, "") == "")
 
 
-def first_attribute(text: Column, key: str) -> Column:
-    """Value of the first entry with this key, ignoring its case, in a sound attribute list; null if there is none."""
-    hidden = _escapes_hidden(text)
-    keys = F.transform(F.regexp_extract_all(hidden, F.lit(_PAIR), F.lit(1)), F.lower)
-    values = F.regexp_extract_all(hidden, F.lit(_PAIR), F.lit(2))
+def first_attribute(keys: Column, values: Column, key: str) -> Column:
+    """Value of the first entry with this key, ignoring its case, in the entries of a sound list; null if there is none."""
     at = F.array_position(keys, F.lit(key.lower())).cast("int")
     value = F.get(values, at - 1)
     bare = F.when(value.startswith('"'), F.regexp_replace(value.substr(F.lit(2), F.length(value) - 2), r"\\(.)", "$1")).otherwise(value)
@@ -66,29 +66,33 @@ def classify_lines(lines: DataFrame, raw: str = "raw_line") -> DataFrame:
     is_record = false. One trailing carriage return is dropped. All rows of the input come out, repeated ones too.
     Input columns are kept; those named like an output column are replaced.
     """
-    line = F.regexp_replace(F.col(raw), "\r\\z", "")
-    tabs = F.length(line) - F.length(F.replace(line, F.lit("\t"), F.lit("")))
-    plain = F.when((tabs < MOST_FIELDS) & ~line.rlike("[\\x00\\x03\r\n]"), line)
-    options = {"sep": "\t", "quote": "", "escape": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt_text", "lineSep": "\x03"}
     kept = [c for c in lines.columns if c.lower() not in {*FIELDS, "corrupt_text", "is_record", "reason"} or c == raw]
-    read = lines.select(*(F.col(f"`{c}`") for c in kept), F.from_csv(plain, SCHEMA, options).alias("__read"), line.alias("__line"), tabs.alias("__tabs"))
-
-    part = F.split("__line", "\t", -1)
-    field = {name: F.get(part, i) for i, name in enumerate(FIELDS)}
+    own = [f"__c{i}" for i in range(len(kept))]
+    line = F.when(F.col(raw).endswith("\r"), F.col(raw).substr(F.lit(1), F.length(raw) - 1)).otherwise(F.col(raw))
+    tabs = F.length("__line") - F.length(F.replace(F.col("__line"), F.lit("\t"), F.lit("")))
+    plain = F.when((F.col("__tabs") < MOST_FIELDS) & ~F.col("__line").rlike("[\\x00\\x03\r\n]"), F.col("__line"))
+    options = {"sep": "\t", "quote": "", "escape": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt_text", "lineSep": "\x03"}
+    # One step per expression that later ones use more than once, so that none is computed twice.
+    read = lines.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(kept, own, strict=True)), line.alias("__line")).withColumn("__tabs", tabs)
+    read = read.withColumns({"__read": F.from_csv(plain, SCHEMA, options), "__part": F.split("__line", "\t", -1)})
     blank = F.col("__line").isNull() | F.col("__line").rlike(r"\A[ \t]*\z")
-    record = ~blank & ~F.col("__line").rlike(r"\A[ \t]*#")
+    misfit = F.when(F.col("__read").isNull(), F.col("__line")).otherwise(F.col("__read.corrupt_text"))
+    read = read.withColumns({"is_record": ~blank & ~F.col("__line").rlike(r"\A[ \t]*#"), "__misfit": misfit, "__hidden": _escapes_hidden(F.get("__part", 8))})
+    read = read.withColumns({"__keys": F.transform(F.regexp_extract_all("__hidden", F.lit(_PAIR), F.lit(1)), F.lower), "__values": F.regexp_extract_all("__hidden", F.lit(_PAIR), F.lit(2))})
 
+    field = {name: F.get("__part", i) for i, name in enumerate(FIELDS)}
     worded = [(field[n] == "") | field[n].rlike(r"(?U)\s") for n in ("seqid", "source", "feature")]
-    start, end = (F.when(field[n].rlike(r"\A[0-9]{1,18}\z"), field[n].try_cast("bigint")) for n in ("start_pos", "end_pos"))
+    start, end = (F.when(field[n].rlike(r"\A[0-9]{1,18}\z"), F.coalesce(F.col(f"__read.{n}"), field[n].try_cast("bigint"))) for n in ("start_pos", "end_pos"))
     placed = F.coalesce((start >= 1) & (start <= end), F.lit(False))
     scored = (field["score"] == ".") | field["score"].rlike(DECIMAL)
-    gene, transcript = (_names_something(first_attribute(field["attributes"], k)) for k in ("gene_id", "transcript_id"))
+    gene, transcript = (_names_something(first_attribute(F.col("__keys"), F.col("__values"), k)) for k in ("gene_id", "transcript_id"))
     value_fails = worded[0] | worded[1] | worded[2] | ~placed | ~scored | ~field["strand"].isin(*STRANDS) | ~field["phase"].isin(*PHASES) | ~gene | (~transcript & (F.lower(field["feature"]) != "gene"))
-    reason = F.when(~record, F.lit(None)).when(F.col("__tabs") != 8, REASONS[0]).when(~attribute_list_sound(field["attributes"]), REASONS[1]).when(value_fails, REASONS[2])
+    # What the reader took has nine fields; what it refused is told apart by count first.
+    counted = F.col("__misfit").isNotNull() & (F.col("__tabs") != len(FIELDS) - 1)
+    reason = F.when(~F.col("is_record"), F.lit(None)).when(counted, REASONS[0]).when(~attribute_list_sound(field["attributes"], F.col("__hidden")), REASONS[1]).when(value_fails, REASONS[2])
 
     typed = [F.coalesce(F.col(f"__read.{n}"), (start if n == "start_pos" else end if n == "end_pos" else field[n])).alias(n) for n in FIELDS]
-    misfit = F.when(F.col("__read").isNull(), F.col("__line")).otherwise(F.col("__read.corrupt_text"))
-    return read.select(*(F.col(f"`{c}`") for c in kept), *typed, F.when(record, misfit).alias("corrupt_text"), record.alias("is_record"), reason.alias("reason"))
+    return read.select(*(F.col(o).alias(c) for c, o in zip(kept, own, strict=True)), *typed, F.when(F.col("is_record"), F.col("__misfit")).alias("corrupt_text"), "is_record", reason.alias("reason"))
 
 
 def rejected(lines: DataFrame, raw: str = "raw_line") -> DataFrame:
