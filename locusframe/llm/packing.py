@@ -13,8 +13,10 @@ from locusframe.session import cut
 
 #: Tokens per container, windows that one task keeps open, and windows open in the merge of leftovers.
 CAPACITY = 2048
-OPEN_WINDOWS = 64
-MERGE_WINDOWS = 512
+OPEN_WINDOWS = 512
+MERGE_WINDOWS = 4096
+#: Items of a part are read in blocks of about so many per open window, largest first within a block.
+ITEMS_PER_WINDOW = 2
 #: A packing task gets about this many items, a merging task about this many leftover windows.
 ITEMS_PER_TASK = 25_000
 LEFTOVERS_PER_TASK = 100_000
@@ -122,17 +124,18 @@ def packed(sizes: DataFrame, capacity: int = CAPACITY, open_windows: int = OPEN_
     """Pack items into containers -> (item, piece, first_token, n_tokens, container).
 
     sizes: (item LONG unique, n_tokens LONG), a table that is cheap to read again (written or checkpointed).
-    The items are hashed into parts; every part is read in the order of a hash of the items, so that a lost task is
-    repeated with the same result. A part keeps `open_windows` windows open, places best-fit and emits the fullest
+    The items are hashed into parts and within a part into blocks, which follow each other and are read largest item
+    first: an order that a lost task repeats with the same result. A part keeps `open_windows` windows open, places best-fit and emits the fullest
     window when none fits. The windows still open at its end are then taken as items of their own size and merged in
     the same way, more windows being kept open. Only items above the capacity are split. Containers are numbered
     by part; a container of the merge has a negative part. Nothing is dropped: every token of every item is placed once.
     """
     total = sizes.count()
     parts = max(1, -(-total // items_per_task))
-    order = F.xxhash64("item", F.lit(5))
+    blocks = max(1, total // parts // (ITEMS_PER_WINDOW * open_windows))
+    block = F.pmod(F.xxhash64("item", F.lit(5)), F.lit(blocks))
     rows = pieces(sizes, capacity).withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("bigint"))
-    ready = rows.repartition(parts, "part").sortWithinPartitions("part", order, "item", "piece")
+    ready = rows.repartition(parts, "part").sortWithinPartitions("part", block, F.desc("size"), "item", "piece")
     schema = "item bigint, piece int, first bigint, size bigint, part bigint, window bigint, open boolean"
     first = cut(ready.mapInPandas(_packer(capacity, open_windows, "part"), schema))
 
