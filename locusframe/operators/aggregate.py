@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.model import attr, value, with_attr
+from locusframe.operators.skew import hot_keys, replicated, salted
 from locusframe.registry import operator
+from locusframe.session import cut
+
+#: Parts that the transcripts of a hot gene are cut into before each part meets all of them.
+SALTS = 64
 
 
 def _tss() -> Column:
@@ -81,14 +86,20 @@ def intron_size_lists(rows: DataFrame) -> DataFrame:
 def tss_distances(rows: DataFrame) -> DataFrame:
     """(gene_id, tx_1, tx_2, dist, rank_1, rank_2): all pairs of transcripts of a gene, the one of lower TSS rank first.
 
-    The pairs are the result asked for; use on genes as annotated (not on catch-all ids), where they are few per gene.
+    The pairs are the result asked for, so work and output grow with the square of a gene's transcripts, for catch-all ids
+    too. Those of a hot gene are salted: each part of its transcripts meets all of them in a task of its own. The number
+    of tasks is fixed, as by their input these would be put together again.
     """
     from locusframe.operators.project import transcripts_by_tss
 
-    ranked = transcripts_by_tss(rows)
-    a, b = (ranked.select("gene_id", *(F.col(c).alias(f"{c}_{i}") for c in ("transcript_id", "tss", "tss_rank"))) for i in (1, 2))
+    ranked = cut(transcripts_by_tss(rows))
+    counts = ranked.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"))
+    hot = cut(hot_keys(counts, ["gene_id"], ranked.count()))
+    left = salted(ranked, hot, ["gene_id"], "transcript_id", SALTS).repartition(SALTS, "gene_id", "salt")
+    right = replicated(ranked, hot, ["gene_id"], SALTS).repartition(SALTS, "gene_id", "salt")
+    a, b = (side.select("gene_id", "salt", *(F.col(c).alias(f"{c}_{i}") for c in ("transcript_id", "tss", "tss_rank"))) for i, side in ((1, left), (2, right)))
     first = F.struct("tss_rank_1", "transcript_id_1") < F.struct(F.col("tss_rank_2").alias("tss_rank_1"), F.col("transcript_id_2").alias("transcript_id_1"))
-    return a.join(b, "gene_id").where(first).select("gene_id", F.col("transcript_id_1").alias("tx_1"), F.col("transcript_id_2").alias("tx_2"), F.abs(F.col("tss_1") - F.col("tss_2")).alias("dist"), F.col("tss_rank_1").alias("rank_1"), F.col("tss_rank_2").alias("rank_2"))
+    return a.join(b, ["gene_id", "salt"]).where(first).select("gene_id", F.col("transcript_id_1").alias("tx_1"), F.col("transcript_id_2").alias("tx_2"), F.abs(F.col("tss_1") - F.col("tss_2")).alias("dist"), F.col("tss_rank_1").alias("rank_1"), F.col("tss_rank_2").alias("rank_2"))
 
 
 @operator("AGG-08", group="aggregate")

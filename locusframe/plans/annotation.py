@@ -210,7 +210,7 @@ query("agg_06_intron_sizes", ", x AS (SELECT DISTINCT tx, s, e, strand FROM f WH
     A.intron_size_lists
 )
 query("agg_07_tss_dist", _TSS + " SELECT a.gene_id, a.transcript_id AS tx_1, b.transcript_id AS tx_2, abs(a.tss - b.tss) AS dist, a.tss_rank AS rank_1, b.tss_rank AS rank_2 FROM q a JOIN q b ON a.gene_id = b.gene_id AND (a.tss_rank < b.tss_rank OR (a.tss_rank = b.tss_rank AND a.transcript_id < b.transcript_id)) WHERE a.gene_id <> 'gxg04200000042'")(
-    lambda r: A.tss_distances(r.where(attr("gene_id") != "gxg04200000042"))
+    A.tss_distances
 )
 _SIZES = ", z AS (SELECT seqid, feature, CAST(e - s + 1 AS DOUBLE) AS v FROM f)"
 query("agg_08_profile", _SIZES + ", m AS (SELECT feature, avg(v) AS a FROM z GROUP BY feature) SELECT feature, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS median, round(stddev_samp(v), 4) AS std, min(v) AS min, max(v) AS max, sum(v) AS sum, count(*) AS n, round(avg(abs(v - a)), 4) AS mad FROM z JOIN m USING (feature) GROUP BY feature")(
