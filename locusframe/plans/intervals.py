@@ -135,7 +135,7 @@ query("iv_21_regulatory", f", c AS {_SITE}, d AS ({_SLOP.format(l=5000, r=1000,
     lambda r, z: I.regulatory_domains(r, z, distal=100_000)
 )
 query("iv_22_exclude", ", v AS (SELECT chrom, b, e FROM g WHERE e - b < 3000), " + _merged_sql("v", "m") + ", k AS (SELECT x.rid, x.b - coalesce(sum(least(m.e, x.b) - m.b) FILTER (WHERE m.b <= x.b), 0) AS b, x.e - coalesce(sum(least(m.e, x.e) - m.b) FILTER (WHERE m.b <= x.e), 0) AS e FROM x LEFT JOIN m ON m.chrom = x.chrom AND m.b <= x.e GROUP BY x.rid, x.b, x.e) SELECT rid, CAST(b AS BIGINT) AS start, CAST(e AS BIGINT) AS end FROM k WHERE b < e")(
-    lambda r, z: I.exclude_concatenate(_exons(r), bed(r.where("feature = 'gene'")).where("name <> '?' AND end - start < 3000")).select("rid", "start", "end")
+    lambda r, z: I.exclude_concatenate(_exons(r), bed(r.where("feature = 'gene'")).where("name <> '?'")).select("rid", "start", "end")
 )
 query("iv_23_exclude_sizes", ", " + _merged_sql("g", "m") + " SELECT chrom, CAST(size - coalesce((SELECT sum(e - b) FROM m WHERE m.chrom = z.chrom), 0) AS BIGINT) AS size FROM z")(lambda r, z: I.exclude_sizes(z, bed(r.where("feature = 'gene'")).where("name <> '?'")))
 query("iv_24_gaps", ", " + _merged_sql("x", "m") + ", y AS (SELECT chrom, b, e FROM m UNION ALL SELECT chrom, size, NULL FROM z WHERE chrom IN (SELECT chrom FROM m)) SELECT chrom, row_number() OVER w AS number, e - b AS length, greatest(b - coalesce(lag(e) OVER w, 0), 0) AS gap FROM y WINDOW w AS (PARTITION BY chrom ORDER BY e IS NULL, b, e)")(

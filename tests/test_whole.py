@@ -40,3 +40,15 @@ def test_tss_distances_of_catch_all_gene(over):
         key = {t: (ranks[site[t][1]], t) for t in own}
         expected += [(g, a, b, abs(site[a][0] - site[b][0]), key[a][0], key[b][0]) for a in own for b in own if key[a] < key[b]]
     assert over("agg_07_tss_dist", tx) == sorted(expected)
+
+
+def test_all_genes_are_excluded(over):
+    rng = random.Random(9)
+    genes = [feature(i, "gene", s := rng.randint(1, 60_000), s + rng.choice((200, 2999, 3000, 9000)), gene=f"g{i}") for i in range(8)]
+    exons = [feature(100 + i, "exon", s := rng.randint(1, 70_000), s + rng.randint(0, 4000), gene="g", tx=f"t{i}") for i in range(60)]
+    holes = {p for g in genes for p in range(g[4] - 1, g[5])}
+    kept = [0]
+    for p in range(80_000):
+        kept.append(kept[-1] + (p not in holes))
+    assert any(g[5] - g[4] >= 3000 for g in genes)
+    assert over("iv_22_exclude", genes + exons) == [(x[0], kept[x[4] - 1], kept[x[5]]) for x in exons if kept[x[4] - 1] < kept[x[5]]]
