@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.functions.labels import identifier, refers
 from locusframe.model import annotation, attr, bed, value, with_position
 from locusframe.operators import aggregate as A
 from locusframe.operators import edit as E
@@ -157,7 +158,7 @@ query("att_03_merge", "SELECT rid, CASE WHEN feature = 'exon' THEN coalesce(gene
 
 
 def _joined(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = table(spark, folder, "coding_pot").select(F.lower(F.btrim("transcript_id")).alias("key"), F.col("mrna_size").alias("value"))
+    pairs = table(spark, folder, "coding_pot").where(refers(F.col("transcript_id"))).select(identifier(F.col("transcript_id")).alias("key"), F.col("mrna_size").alias("value"))
     return _shown(E.join_attribute(annotation(spark, folder), pairs, "transcript_id", "mrna_size", features="transcript,exon"), "mrna_size").where("mrna_size IS NOT NULL")
 
 

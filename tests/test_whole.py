@@ -52,3 +52,9 @@ def test_all_genes_are_excluded(over):
         kept.append(kept[-1] + (p not in holes))
     assert any(g[5] - g[4] >= 3000 for g in genes)
     assert over("iv_22_exclude", genes + exons) == [(x[0], kept[x[4] - 1], kept[x[5]]) for x in exons if kept[x[4] - 1] < kept[x[5]]]
+
+
+def test_ids_with_version_are_joined(over):
+    rows = [feature(i, kind, 1, 90, gene="g", tx=tx) for i, (kind, tx) in enumerate([("transcript", "T1.4"), ("exon", "t1"), ("exon", "t2"), ("gene", None), ("exon", "t.x")])]
+    pot = pa.table({"cp_id": [1, 2, 3, 4, 5], "transcript_id": [" T1.2", "t1", "?", "T2.11 ", "t.x"], "mrna_size": pa.array([300, 200, 7, None, 5], pa.int64())})
+    assert over("att_04_join", rows, coding_pot=pot) == [(0, "200|300"), (1, "200|300"), (4, "5")]
