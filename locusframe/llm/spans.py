@@ -246,10 +246,11 @@ def shared_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", lengt
         total = cells.count()
         whole = _with_class(cells.where("all1 IS NOT NULL"), ["all1", "all2"], total).drop("all1", "all2")
         whole = whole.unionByName(cells.where("all1 IS NULL").drop("all1", "all2"), allowMissingColumns=True)
-        judged = cut(whole.withColumn("done", F.coalesce(twice, F.lit(False))).withColumn("stands", F.col("doc_id") == F.col("first_doc")).drop("first_doc", "last_doc"))
+        judged = cut(whole.withColumn("done", F.coalesce(twice, F.lit(False))).withColumn("stands", F.col("doc_id").isin(F.col("first_doc"), F.col("last_doc"))).drop("first_doc", "last_doc"))
         drop_cut(cells)
         shared.append(judged.where("done").select("doc_id", (F.col("base") + F.col("p") - F.col("hi")).alias("s"), (F.col("base") + F.col("p") - F.col("lo") + length).alias("e")))
-        # What is open goes on, and of the cells that are done one of each kind, as the other document of an open one.
+        # What is open goes on, and of the cells that are done those of two documents of each kind: one of them is another
+        # document than that of an open cell, even where this has a cell of the kind itself.
         going = judged.where("core1 IS NOT NULL AND (NOT done OR stands)").select("core1", "core2", "doc_id", "base", "p", "lo", "hi", "done")
         going = _with_class(going, ["core1", "core2"], total, still_open=F.max(~F.col("done"))).where(twice & F.col("still_open"))
         state = regions.drop("hits").join(going.groupBy("doc_id", "base").agg(F.collect_set(F.struct("p", "lo", "hi")).alias("hits")), ["doc_id", "base"])
