@@ -24,9 +24,10 @@ ORACLE: dict[str, str] = {}
 #: Scores of exon rows as a track per strand.
 SIGNAL = "v AS (SELECT CASE WHEN strand = '-' THEN 'minus' ELSE 'plus' END AS track, seqid AS chrom, s - 1 AS b, e, CAST(score AS DOUBLE) AS val FROM f WHERE feature = 'exon' AND score NOT IN ('.', '?'))"
 TRACKS = ["minus", "plus"]
-#: End of the stretch whose made-up genome is used, and that genome: base at position p, from 1.
+#: End of the stretch that the SQL looks at; the queries have no such bound.
 GENOME_END = 2_000_000
-LETTERS = "acgtacca"
+#: The made-up genome's letters: base at position p, from 1, is letter (7 p + p // 3) % 8, the same again PERIOD further on.
+LETTERS, PERIOD = "acgtacca", 24
 SHUFFLES = 20
 
 
@@ -48,13 +49,13 @@ def signal(rows: DataFrame) -> DataFrame:
     return exons.select(F.when(F.col("strand") == "-", "minus").otherwise("plus").alias("track"), F.col("seqid").alias("chrom"), (F.col("start") - 1).alias("start"), "end", F.col("score").try_cast("double").alias("value"))
 
 
-def genome(spark: SparkSession, chromosomes: DataFrame) -> DataFrame:
-    """A made-up genome in chunks: every letter follows from its position, so no file is needed."""
-    pieces = spark.range(GENOME_END // Q.CHUNK + 1).select(F.col("id").alias("chunk"))
-    first = F.col("chunk") * Q.CHUNK
-    letters = F.transform(F.sequence(first + 1, first + Q.CHUNK), lambda p: F.substring(F.lit(LETTERS), ((p * 7 + F.floor(p / 3)) % 8 + 1).cast("int"), F.lit(1)))
-    named = chromosomes.select("chrom").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(GENOME_END // Q.CHUNK))))
-    return named.withColumn("chunk", F.col("chunk").cast("bigint")).join(pieces.select("chunk", F.array_join(letters, "").alias("bases")), "chunk")
+def genome(intervals: DataFrame) -> DataFrame:
+    """A made-up genome in the chunks that intervals touch: every letter follows from its position, so no file is needed."""
+    first, last = F.floor(F.col("start") / Q.CHUNK), F.floor((F.col("end") - 1) / Q.CHUNK)
+    touched = intervals.select("chrom", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("chunk")).distinct()
+    unit = "".join(LETTERS[(p * 7 + p // 3) % 8] for p in range(PERIOD))
+    at = (F.col("chunk") * Q.CHUNK + 1) % PERIOD
+    return touched.withColumn("bases", F.substring(F.lit(unit * (Q.CHUNK // PERIOD + 2)), (at + 1).cast("int"), F.lit(Q.CHUNK)))
 
 
 def _genes(r: DataFrame) -> DataFrame:
@@ -69,6 +70,10 @@ def _exons(r: DataFrame) -> DataFrame:
     return bed(r.where("feature = 'exon'"), ["transcript_id"])
 
 
+def _cds(r: DataFrame) -> DataFrame:
+    return bed(r.where("feature = 'cds'"))
+
+
 # --- Signal ----------------------------------------------------------------------------------------------------------
 
 _BINS = "w AS (SELECT rid, chrom, strand, b, e, (e - b) // {n} AS w FROM g WHERE (e - b) // {n} > 0), c AS (SELECT rid, chrom, strand, k, b + k * w AS b, CASE WHEN k = {n} - 1 THEN e ELSE b + (k + 1) * w END AS e FROM (SELECT *, unnest(range({n})) AS k FROM w)), y AS (SELECT c.rid, c.k, v.track, sum(v.val * (least(v.e, c.e) - greatest(v.b, c.b))) AS t FROM c JOIN v ON v.chrom = c.chrom AND v.b < c.e AND c.b < v.e GROUP BY ALL), o AS (SELECT c.*, x.track, round(coalesce(t, 0) / (e - b), 6) AS val FROM c CROSS JOIN (VALUES ('minus'), ('plus')) AS x(track) LEFT JOIN y USING (rid, k, track))"
@@ -102,10 +107,10 @@ QUERIES["sig_07_controls"] = _controls
 _BASES = f"(SELECT string_agg(substr('{LETTERS}', CAST((p * 7 + p // 3) % 8 + 1 AS BIGINT), 1), '' ORDER BY p) FROM (SELECT unnest(range(m.s, m.e + 1)) AS p))"
 _RC = "CASE WHEN strand = '-' THEN translate(reverse({0}), 'acgt', 'tgca') ELSE {0} END"
 query("iv_08_fetch", f", m AS (SELECT rid, s, e, strand FROM f WHERE feature = 'cds' AND e < {GENOME_END}), y AS (SELECT rid, strand, {_BASES} AS q FROM m) SELECT rid, {_RC.format('q')} AS bases FROM y")(
-    lambda r, z: Q.fetch(bed(r.where((F.col("feature") == "cds") & (F.col("end") < GENOME_END))), genome(r.sparkSession, z)).select("rid", "bases")
+    lambda r, z: Q.fetch(_cds(r), genome(_cds(r))).select("rid", "bases")
 )
 query("seq_01_spliced", f", m AS (SELECT rid, tx, gene, seqid, s, e, strand FROM f WHERE feature = 'exon' AND tx IS NOT NULL AND e < {GENOME_END}), y AS (SELECT *, {_BASES} AS q FROM m), j AS (SELECT tx, gene, seqid, strand, string_agg(q, '' ORDER BY s, e, rid) AS q FROM y GROUP BY ALL) SELECT tx AS transcript_id, gene AS gene_id, seqid AS chrom, strand, {_RC.format('q')} AS sequence FROM j")(
-    lambda r, z: Q.transcript_sequences(r.where(F.col("end") < GENOME_END), genome(r.sparkSession, z))
+    lambda r, z: Q.transcript_sequences(r, genome(_exons(r)))
 )
 query("seq_02_offsets", ", m AS (SELECT tx AS transcript_id, rid, e - s + 1 AS n, sum(e - s + 1) OVER (PARTITION BY tx ORDER BY CASE WHEN strand = '-' THEN -e ELSE s END, rid ROWS UNBOUNDED PRECEDING) AS l FROM f WHERE feature = 'exon' AND tx IS NOT NULL) SELECT transcript_id, rid, CAST(l - n + 1 AS BIGINT) AS first, CAST(l AS BIGINT) AS last FROM m")(
     lambda r, z: Q.exon_offsets(r)

@@ -58,3 +58,16 @@ def test_ids_with_version_are_joined(over):
     rows = [feature(i, kind, 1, 90, gene="g", tx=tx) for i, (kind, tx) in enumerate([("transcript", "T1.4"), ("exon", "t1"), ("exon", "t2"), ("gene", None), ("exon", "t.x")])]
     pot = pa.table({"cp_id": [1, 2, 3, 4, 5], "transcript_id": [" T1.2", "t1", "?", "T2.11 ", "t.x"], "mrna_size": pa.array([300, 200, 7, None, 5], pa.int64())})
     assert over("att_04_join", rows, coding_pot=pot) == [(0, "200|300"), (1, "200|300"), (4, "5")]
+
+
+def letters(start, end, strand="+"):
+    bases = "".join("acgtacca"[(p * 7 + p // 3) % 8] for p in range(start, end + 1))
+    return bases if strand == "+" else bases[::-1].translate(str.maketrans("acgt", "tgca"))
+
+
+def test_sequences_along_whole_chromosomes(over):
+    spans = [(1, 40), (16_380, 16_390), (1_999_990, 2_000_010), (2_000_100, 2_000_160), (9_000_001, 9_040_000)]
+    exons = [feature(10 * k + i, "exon", s, e, strand, f"g{k}", f"t{k}") for k, strand in enumerate("+-") for i, (s, e) in enumerate(spans)]
+    joined = {"+": "".join(letters(s, e) for s, e in spans), "-": "".join(letters(s, e, "-") for s, e in reversed(spans))}
+    assert over("seq_01_spliced", exons) == [("t0", "g0", "c1", "+", joined["+"]), ("t1", "g1", "c1", "-", joined["-"])]
+    assert over("iv_08_fetch", [(*f[:3], "cds", *f[4:]) for f in exons]) == [(f[0], letters(f[4], f[5], f[7])) for f in exons]
