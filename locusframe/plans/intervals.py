@@ -62,10 +62,10 @@ query("iv_02_flank", "SELECT rid, CASE WHEN strand = '-' THEN 'down' ELSE 'up' E
     lambda r, z: I.flank(_tx(r), z, 300, 50).select("rid", "side", "start", "end")
 )
 query("iv_03_overlap", "SELECT t.rid, x.rid AS rid_b, greatest(t.b, x.b) AS ov_start, least(t.e, x.e) AS ov_end FROM t JOIN x ON t.chrom = x.chrom AND t.b < x.e AND x.b < t.e WHERE t.e - t.b < 2000")(
-    lambda r, z: I.overlap_join(_tx(r).where("end - start < 2000"), _exons(r)).select("rid", "rid_b", "ov_start", "ov_end")
+    lambda r, z: I.overlap_join(_tx(r), _exons(r)).select("rid", "rid_b", "ov_start", "ov_end")
 )
 query("iv_03_opposite", "SELECT t.rid, x.rid AS rid_b FROM t JOIN x ON t.chrom = x.chrom AND t.b < x.e AND x.b < t.e AND t.strand <> x.strand WHERE t.e - t.b < 2000")(
-    lambda r, z: I.overlap_join(_tx(r).where("end - start < 2000"), _exons(r), strand="opposite").select("rid", "rid_b")
+    lambda r, z: I.overlap_join(_tx(r), _exons(r), strand="opposite").select("rid", "rid_b")
 )
 query("iv_04_subtract", ", " + _merged_sql("x", "m") + ", h AS (SELECT t.rid, greatest(t.b, m.b) AS b, least(t.e, m.e) AS e, t.b AS tb, t.e AS te FROM t JOIN m ON t.chrom = m.chrom AND t.b < m.e AND m.b < t.e), p AS (SELECT rid, coalesce(lag(e) OVER w, tb) AS b, b AS e FROM h WINDOW w AS (PARTITION BY rid ORDER BY b) UNION ALL SELECT rid, max(e), max(te) FROM h GROUP BY rid UNION ALL SELECT rid, b, e FROM t WHERE rid NOT IN (SELECT rid FROM h)) SELECT rid, b AS start, e AS end FROM p WHERE b < e")(
     lambda r, z: I.subtract(_tx(r), _exons(r)).select("rid", "start", "end")

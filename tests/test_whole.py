@@ -71,3 +71,12 @@ def test_sequences_along_whole_chromosomes(over):
     joined = {"+": "".join(letters(s, e) for s, e in spans), "-": "".join(letters(s, e, "-") for s, e in reversed(spans))}
     assert over("seq_01_spliced", exons) == [("t0", "g0", "c1", "+", joined["+"]), ("t1", "g1", "c1", "-", joined["-"])]
     assert over("iv_08_fetch", [(*f[:3], "cds", *f[4:]) for f in exons]) == [(f[0], letters(f[4], f[5], f[7])) for f in exons]
+
+
+def test_overlaps_of_long_transcripts(over):
+    rng = random.Random(8)
+    rows = [feature(i, kind, s := rng.randint(1, 90_000), s + rng.choice((90, 1998, 1999, 2000, 40_000)), rng.choice("+-"), "g", f"t{i}") for i, kind in enumerate(["transcript", "exon"] * 40)]
+    pairs = [(a, b) for a in rows for b in rows if a[3] == "transcript" and b[3] == "exon" and a[4] <= b[5] and b[4] <= a[5]]
+    assert any(a[5] - a[4] >= 2000 for a, _ in pairs)
+    assert over("iv_03_overlap", rows) == sorted((a[0], b[0], max(a[4], b[4]) - 1, min(a[5], b[5])) for a, b in pairs)
+    assert over("iv_03_opposite", rows) == sorted((a[0], b[0]) for a, b in pairs if a[7] != b[7])
