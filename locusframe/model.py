@@ -52,12 +52,12 @@ def with_position(rows: DataFrame, order: str = "rid", name: str = "position", b
 
 
 def annotation(spark: SparkSession, folder: str, attributes: bool = False) -> DataFrame:
-    """The `features` table as an annotation table: sound rows only, labels and ids in their returned form.
+    """The `features` table as an annotation table: sound rows of any strand, labels and ids in their returned form.
 
     With `attributes`, rows get the entries of `gtf_attribute` (in order of pos, without rows written twice) appended.
     """
     raw = table(spark, folder, "features")
-    rows = raw.where(refers(F.col("seqid")) & refers(F.col("feature")) & valid_span(F.col("start_pos"), F.col("end_pos")) & F.col("strand").isin("+", "-"))
+    rows = raw.where(refers(F.col("seqid")) & refers(F.col("feature")) & valid_span(F.col("start_pos"), F.col("end_pos")))
     ids = {c: F.when(refers(F.col(c)), identifier(F.col(c))) for c in ("gene_id", "transcript_id")}
     base = rows.select("rid", label(F.col("seqid")).alias("seqid"), "source", label(F.col("feature")).alias("feature"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "score", "strand", "phase", attrs_of(**ids).alias("attrs"))
     if not attributes:

@@ -50,7 +50,7 @@ def overlap_join(a: DataFrame, b: DataFrame, strand: str = "any", width: int = B
 
     Both sides are repeated for every bin they touch and joined on (chrom, bin), an equality that Spark can shuffle and
     split; a pair is kept only in the first bin the two have in common. strand: any, same or opposite.
-    pad widens a for the search only. Empty intervals overlap nothing.
+    pad widens a for the search only. Empty intervals overlap nothing. Without a strand nothing is on the same or the opposite one.
     """
     left = _binned(a.where(F.col("start") < F.col("end")).withColumns({"__s": F.col("start"), "__e": F.col("end"), "start": F.col("start") - pad, "end": F.col("end") + pad}), width)
     right = _binned(b.where(F.col("start") < F.col("end")), width)
@@ -58,7 +58,7 @@ def overlap_join(a: DataFrame, b: DataFrame, strand: str = "any", width: int = B
     met = left.join(right, ["chrom", "__bin"]).where((F.col("__bin") == F.greatest("__first", "__first_b")) & (F.col("start") < F.col("end" + suffix)) & (F.col("start" + suffix) < F.col("end")))
     if strand != "any":
         same = F.col("strand") == F.col("strand" + suffix)
-        met = met.where(same if strand == "same" else (F.col("strand") != F.col("strand" + suffix)))
+        met = met.where(F.col("strand").isin("+", "-") & F.col("strand" + suffix).isin("+", "-") & (same if strand == "same" else ~same))
     return met.withColumns({"start": F.col("__s"), "end": F.col("__e"), "ov_start": F.greatest("__s", "start" + suffix), "ov_end": F.least("__e", "end" + suffix)}).drop("__s", "__e", "__bin", "__first", "__first_b")
 
 
@@ -243,7 +243,10 @@ def shift(rows: DataFrame, sizes: DataFrame, by: int, stranded: bool = False, al
 
 @operator("IV-16", group="intervals")
 def splicing_sites(rows: DataFrame, number_key: str = "exon_nbr") -> DataFrame:
-    """Two-base intervals next to exons: acceptor before every exon but the first, donor after every one but the last."""
+    """Two-base intervals next to exons: acceptor before every exon but the first, donor after every one but the last.
+
+    Exons without strand count as members of their transcript, but have no sites.
+    """
     exons = rows.where(F.col("feature") == "exon").withColumns({"__tx": attr("transcript_id"), "__n": value(number_key).try_cast("int")}).where("__tx IS NOT NULL AND __n IS NOT NULL")
     counted = exons.withColumn("__last", F.count(F.lit(1)).over(Window.partitionBy("__tx")))
     plus = F.col("strand") == "+"
@@ -251,7 +254,7 @@ def splicing_sites(rows: DataFrame, number_key: str = "exon_nbr") -> DataFrame:
     after = F.struct(F.col("end").alias("s"), (F.col("end") + 2).alias("e"))
     acceptor = F.when(F.col("__n") > 1, F.struct(F.lit("acceptor").alias("site"), F.when(plus, before).otherwise(after).alias("at")))
     donor = F.when(F.col("__n") < F.col("__last"), F.struct(F.lit("donor").alias("site"), F.when(plus, after).otherwise(before).alias("at")))
-    each = counted.withColumn("__x", F.explode(F.array(acceptor, donor))).where("__x IS NOT NULL")
+    each = counted.where(F.col("strand").isin("+", "-")).withColumn("__x", F.explode(F.array(acceptor, donor))).where("__x IS NOT NULL")
     return each.select("rid", F.col("seqid").alias("chrom"), F.col("__x.at.s").alias("start"), F.col("__x.at.e").alias("end"), F.col("__tx").alias("transcript_id"), F.col("__n").alias("exon_number"), F.col("__x.site").alias("site"), "strand")
 
 

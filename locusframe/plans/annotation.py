@@ -22,7 +22,7 @@ ORACLE: dict[str, str] = {}
 BASE = r"""f AS (SELECT rid, lower(trim(seqid)) AS seqid, source, lower(trim(feature)) AS feature, start_pos AS s, end_pos AS e, score, strand, phase,
   CASE WHEN trim(gene_id) NOT IN ('', '.', '?') THEN regexp_replace(lower(trim(gene_id)), '\.[0-9]+$', '') END AS gene,
   CASE WHEN trim(transcript_id) NOT IN ('', '.', '?') THEN regexp_replace(lower(trim(transcript_id)), '\.[0-9]+$', '') END AS tx
-  FROM features WHERE trim(seqid) NOT IN ('', '.', '?') AND trim(feature) NOT IN ('', '.', '?') AND start_pos >= 1 AND start_pos <= end_pos AND strand IN ('+', '-'))"""
+  FROM features WHERE trim(seqid) NOT IN ('', '.', '?') AND trim(feature) NOT IN ('', '.', '?') AND start_pos >= 1 AND start_pos <= end_pos)"""
 LONG = """a AS (SELECT DISTINCT rid, pos, lower(trim(attr_key)) AS k, trim(attr_value) AS v FROM gtf_attribute
   WHERE attr_key IS NOT NULL AND attr_value IS NOT NULL AND lower(trim(attr_key)) NOT IN ('gene_id', 'transcript_id') AND rid IN (SELECT rid FROM f))"""
 #: First attribute of a row with this key.
@@ -163,7 +163,7 @@ def _joined(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["att_04_join"] = _joined
-ORACLE["att_04_join"] = f"WITH {BASE}, p AS (SELECT lower(trim(transcript_id)) AS tx, string_agg(CAST(mrna_size AS VARCHAR), '|' ORDER BY CAST(mrna_size AS VARCHAR)) AS m FROM coding_pot WHERE mrna_size IS NOT NULL GROUP BY 1) SELECT rid, m AS mrna_size FROM f JOIN p USING (tx) WHERE feature IN ('transcript', 'exon')"
+ORACLE["att_04_join"] = f"WITH {BASE}, p AS (SELECT regexp_replace(lower(trim(transcript_id)), '\\.[0-9]+$', '') AS tx, string_agg(CAST(mrna_size AS VARCHAR), '|' ORDER BY CAST(mrna_size AS VARCHAR)) AS m FROM coding_pot WHERE mrna_size IS NOT NULL AND trim(transcript_id) NOT IN ('', '.', '?') GROUP BY 1) SELECT rid, m AS mrna_size FROM f JOIN p USING (tx) WHERE feature IN ('transcript', 'exon')"
 
 
 def _matrix(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,7 +210,7 @@ query("agg_06_exon_sizes", "SELECT tx AS transcript_id, string_agg(CAST(e - s +
 query("agg_06_intron_sizes", ", x AS (SELECT DISTINCT tx, s, e, strand FROM f WHERE feature = 'exon' AND tx IS NOT NULL), i AS (SELECT *, lead(s) OVER (PARTITION BY tx ORDER BY s, e) - e - 1 AS g FROM x), m AS (SELECT tx, min(strand) AS strand, string_agg(CAST(g AS VARCHAR), ',' ORDER BY s, e) FILTER (WHERE g IS NOT NULL) AS up, string_agg(CAST(g AS VARCHAR), ',' ORDER BY s DESC, e DESC) FILTER (WHERE g IS NOT NULL) AS down FROM i GROUP BY tx) SELECT tx AS transcript_id, coalesce(CASE WHEN strand = '-' THEN down ELSE up END, '0') AS intron_sizes FROM m")(
     A.intron_size_lists
 )
-query("agg_07_tss_dist", _TSS + " SELECT a.gene_id, a.transcript_id AS tx_1, b.transcript_id AS tx_2, abs(a.tss - b.tss) AS dist, a.tss_rank AS rank_1, b.tss_rank AS rank_2 FROM q a JOIN q b ON a.gene_id = b.gene_id AND (a.tss_rank < b.tss_rank OR (a.tss_rank = b.tss_rank AND a.transcript_id < b.transcript_id)) WHERE a.gene_id <> 'gxg04200000042'")(
+query("agg_07_tss_dist", _TSS + " SELECT a.gene_id, a.transcript_id AS tx_1, b.transcript_id AS tx_2, abs(a.tss - b.tss) AS dist, a.tss_rank AS rank_1, b.tss_rank AS rank_2 FROM q a JOIN q b ON a.gene_id = b.gene_id AND (a.tss_rank < b.tss_rank OR (a.tss_rank = b.tss_rank AND a.transcript_id < b.transcript_id))")(
     A.tss_distances
 )
 _SIZES = ", z AS (SELECT seqid, feature, CAST(e - s + 1 AS DOUBLE) AS v FROM f)"

@@ -49,6 +49,11 @@ def _exons(r: DataFrame) -> DataFrame:
     return bed(r.where("feature = 'exon'"), ["transcript_id"])
 
 
+def _stranded(r: DataFrame) -> DataFrame:
+    """Rows that have a strand, for operators to which a row without one is an error."""
+    return r.where(F.col("strand").isin("+", "-"))
+
+
 def _merged_sql(source: str, name: str, keys: str = "chrom") -> str:
     return f"""{name}_o AS (SELECT {keys}, b, e, max(e) OVER (PARTITION BY {keys} ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM (SELECT DISTINCT {keys}, b, e FROM {source} WHERE b < e)),
 {name}_i AS (SELECT *, sum(CASE WHEN far IS NULL OR b > far THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS n FROM {name}_o),
@@ -61,10 +66,10 @@ query("iv_01_slop", "SELECT rid, b AS start, e AS end FROM (" + _SLOP.format(l=3
 query("iv_02_flank", "SELECT rid, CASE WHEN strand = '-' THEN 'down' ELSE 'up' END AS side, greatest(b - CASE WHEN strand = '-' THEN 50 ELSE 300 END, 0) AS start, b AS end FROM t JOIN z USING (chrom) WHERE b > 0 UNION ALL SELECT rid, CASE WHEN strand = '-' THEN 'up' ELSE 'down' END, e, least(e + CASE WHEN strand = '-' THEN 300 ELSE 50 END, size) FROM t JOIN z USING (chrom) WHERE e < size")(
     lambda r, z: I.flank(_tx(r), z, 300, 50).select("rid", "side", "start", "end")
 )
-query("iv_03_overlap", "SELECT t.rid, x.rid AS rid_b, greatest(t.b, x.b) AS ov_start, least(t.e, x.e) AS ov_end FROM t JOIN x ON t.chrom = x.chrom AND t.b < x.e AND x.b < t.e WHERE t.e - t.b < 2000")(
+query("iv_03_overlap", "SELECT t.rid, x.rid AS rid_b, greatest(t.b, x.b) AS ov_start, least(t.e, x.e) AS ov_end FROM t JOIN x ON t.chrom = x.chrom AND t.b < x.e AND x.b < t.e")(
     lambda r, z: I.overlap_join(_tx(r), _exons(r)).select("rid", "rid_b", "ov_start", "ov_end")
 )
-query("iv_03_opposite", "SELECT t.rid, x.rid AS rid_b FROM t JOIN x ON t.chrom = x.chrom AND t.b < x.e AND x.b < t.e AND t.strand <> x.strand WHERE t.e - t.b < 2000")(
+query("iv_03_opposite", "SELECT t.rid, x.rid AS rid_b FROM t JOIN x ON t.chrom = x.chrom AND t.b < x.e AND x.b < t.e AND t.strand <> x.strand AND t.strand IN ('+', '-') AND x.strand IN ('+', '-')")(
     lambda r, z: I.overlap_join(_tx(r), _exons(r), strand="opposite").select("rid", "rid_b")
 )
 query("iv_04_subtract", ", " + _merged_sql("x", "m") + ", h AS (SELECT t.rid, greatest(t.b, m.b) AS b, least(t.e, m.e) AS e, t.b AS tb, t.e AS te FROM t JOIN m ON t.chrom = m.chrom AND t.b < m.e AND m.b < t.e), p AS (SELECT rid, coalesce(lag(e) OVER w, tb) AS b, b AS e FROM h WINDOW w AS (PARTITION BY rid ORDER BY b) UNION ALL SELECT rid, max(e), max(te) FROM h GROUP BY rid UNION ALL SELECT rid, b, e FROM t WHERE rid NOT IN (SELECT rid FROM h)) SELECT rid, b AS start, e AS end FROM p WHERE b < e")(
@@ -76,7 +81,7 @@ query("iv_06_closest", f", p AS (SELECT a.rid, c.rid AS rid_b, {_DIST} AS distan
     lambda r, z: I.closest(bed(r.where("feature = 'gene'")).where("name <> '?'"), bed(r.where("feature = 'gene'")).where("name <> '?'"), 3).select("rid", "rid_b", "distance")
 )
 _SITE = "(SELECT rid, chrom, CASE WHEN strand = '-' THEN e - 1 ELSE b END AS b, CASE WHEN strand = '-' THEN e ELSE b + 1 END AS e, name, strand FROM g)"
-query("iv_20_closest_genes", f", c AS {_SITE}, p AS (SELECT a.rid, a.name AS gene, c.name AS neighbour, {_DIST} AS distance FROM c a JOIN c ON a.chrom = c.chrom AND a.name <> c.name AND a.strand = c.strand), q AS (SELECT *, rank() OVER (PARTITION BY rid ORDER BY distance) AS r FROM p) SELECT gene, neighbour, distance FROM q WHERE r <= 2")(
+query("iv_20_closest_genes", f", c AS {_SITE}, p AS (SELECT a.rid, a.name AS gene, c.name AS neighbour, {_DIST} AS distance FROM c a JOIN c ON a.chrom = c.chrom AND a.name <> c.name AND a.strand = c.strand AND a.strand IN ('+', '-')), q AS (SELECT *, rank() OVER (PARTITION BY rid ORDER BY distance) AS r FROM p) SELECT gene, neighbour, distance FROM q WHERE r <= 2")(
     lambda r, z: I.closest_genes(r, 2, strand="same")
 )
 
@@ -94,16 +99,16 @@ query("iv_10_sweep", ", " + _events_sql([("t", 0), ("x", 1), ("g", 2)]) + " SELE
 query("iv_11_introns_merged", ", " + _merged_sql("x", "m") + ", h AS (SELECT t.rid, t.chrom, greatest(t.b, m.b) AS b, least(t.e, m.e) AS e, t.b AS tb, t.e AS te FROM t JOIN m ON t.chrom = m.chrom AND t.b < m.e AND m.b < t.e), p AS (SELECT chrom, coalesce(lag(e) OVER w, tb) AS b, b AS e FROM h WINDOW w AS (PARTITION BY rid ORDER BY b) UNION ALL SELECT chrom, max(e), max(te) FROM h GROUP BY rid, chrom UNION ALL SELECT chrom, b, e FROM t WHERE rid NOT IN (SELECT rid FROM h)), " + _merged_sql("p", "r") + " SELECT chrom, b AS start, e AS end FROM r")(
     lambda r, z: I.introns(r, by_transcript=False)
 )
-query("iv_11_introns", ", l AS (SELECT seqid AS chrom, strand, gene AS gene_id, tx AS transcript_id, list_sort(list(s)) AS ss, list_sort(list(e)) AS es, count(*) AS n FROM f WHERE feature = 'exon' AND tx IS NOT NULL GROUP BY ALL HAVING count(*) > 1), i AS (SELECT *, unnest(range(1, n)) AS k FROM l) SELECT chrom, strand, gene_id, transcript_id, es[k] AS start, ss[k + 1] - 1 AS end, CAST(CASE WHEN strand = '+' THEN k ELSE n - k END AS INT) AS number FROM i")(
+query("iv_11_introns", ", l AS (SELECT seqid AS chrom, strand, gene AS gene_id, tx AS transcript_id, list_sort(list(s)) AS ss, list_sort(list(e)) AS es, count(*) AS n FROM f WHERE feature = 'exon' AND tx IS NOT NULL AND strand IN ('+', '-') GROUP BY ALL HAVING count(*) > 1), i AS (SELECT *, unnest(range(1, n)) AS k FROM l) SELECT chrom, strand, gene_id, transcript_id, es[k] AS start, ss[k + 1] - 1 AS end, CAST(CASE WHEN strand = '+' THEN k ELSE n - k END AS INT) AS number FROM i")(
     lambda r, z: I.introns(r)
 )
 query("iv_12_intergenic", ", o AS (" + _SLOP.format(l=100, r=40, of="t", more="") + "), " + _merged_sql("o", "m") + ", q AS (SELECT chrom, b, e FROM m UNION ALL SELECT chrom, size, size FROM z UNION ALL SELECT chrom, 0, 0 FROM z), w AS (SELECT chrom, b, max(e) OVER (PARTITION BY chrom ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM q) SELECT chrom, a AS start, b AS end FROM w WHERE a < b")(
     lambda r, z: I.intergenic(r, z, 100, 40)
 )
-query("iv_13_tss", "SELECT rid, CASE WHEN strand = '+' THEN b + 10 ELSE e - 1 - 10 END AS start, CASE WHEN strand = '+' THEN b + 11 ELSE e - 10 END AS end, 'transcript_id=' || name AS name FROM t")(
-    lambda r, z: I.ends(r, transpose=10, explicit=True).select("rid", "start", "end", "name")
+query("iv_13_tss", "SELECT rid, CASE WHEN strand = '+' THEN b + 10 ELSE e - 1 - 10 END AS start, CASE WHEN strand = '+' THEN b + 11 ELSE e - 10 END AS end, 'transcript_id=' || name AS name FROM t WHERE strand IN ('+', '-')")(
+    lambda r, z: I.ends(_stranded(r), transpose=10, explicit=True).select("rid", "start", "end", "name")
 )
-query("iv_13_tts", "SELECT rid, CASE WHEN strand = '+' THEN e - 1 ELSE b END AS start, name FROM t")(lambda r, z: I.ends(r, three_prime=True).select("rid", "start", "name"))
+query("iv_13_tts", "SELECT rid, CASE WHEN strand = '+' THEN e - 1 ELSE b END AS start, name FROM t WHERE strand IN ('+', '-')")(lambda r, z: I.ends(_stranded(r), three_prime=True).select("rid", "start", "name"))
 query("iv_14_midpoints", "SELECT rid, b + (e - b) // 2 - CASE WHEN (e - b) % 2 = 1 THEN 0 ELSE 1 END AS start, b + (e - b) // 2 + 1 AS end FROM x")(lambda r, z: I.midpoints(_exons(r)).select("rid", "start", "end"))
 query("iv_15_shift", ", y AS (SELECT rid, s + CASE WHEN strand = '-' THEN -900 ELSE 900 END AS a, e + CASE WHEN strand = '-' THEN -900 ELSE 900 END AS c, size FROM f JOIN z ON chrom = seqid) SELECT rid, greatest(least(a, size - (c - a)), 1) AS start, greatest(least(a, size - (c - a)), 1) + c - a AS end FROM y")(
     lambda r, z: I.shift(r, z, 900, stranded=True).select("rid", "start", "end")
@@ -111,7 +116,7 @@ query("iv_15_shift", ", y AS (SELECT rid, s + CASE WHEN strand = '-' THEN -900 E
 query("iv_15_shift_outside", "SELECT rid, greatest(s - 60000, 1) AS start, least(e - 60000, size) AS end FROM f JOIN z ON chrom = seqid WHERE greatest(s - 60000, 1) <= least(e - 60000, size)")(
     lambda r, z: I.shift(r, z, -60_000, allow_outside=True).select("rid", "start", "end")
 )
-query("iv_16_splicing", ", n AS (SELECT rid, seqid AS chrom, tx, s, e, strand, row_number() OVER (PARTITION BY tx ORDER BY CASE WHEN strand = '+' THEN s ELSE -e END, rid) AS k, count(*) OVER (PARTITION BY tx) AS l FROM f WHERE feature = 'exon' AND tx IS NOT NULL) SELECT rid, 'acceptor' AS site, CASE WHEN strand = '+' THEN s - 3 ELSE e END AS start, CASE WHEN strand = '+' THEN s - 1 ELSE e + 2 END AS end FROM n WHERE k > 1 UNION ALL SELECT rid, 'donor', CASE WHEN strand = '+' THEN e ELSE s - 3 END, CASE WHEN strand = '+' THEN e + 2 ELSE s - 1 END FROM n WHERE k < l")(
+query("iv_16_splicing", ", n AS (SELECT rid, seqid AS chrom, tx, s, e, strand, row_number() OVER (PARTITION BY tx ORDER BY CASE WHEN strand = '+' THEN s ELSE -e END, rid) AS k, count(*) OVER (PARTITION BY tx) AS l FROM f WHERE feature = 'exon' AND tx IS NOT NULL) SELECT rid, 'acceptor' AS site, CASE WHEN strand = '+' THEN s - 3 ELSE e END AS start, CASE WHEN strand = '+' THEN s - 1 ELSE e + 2 END AS end FROM n WHERE k > 1 AND strand IN ('+', '-') UNION ALL SELECT rid, 'donor', CASE WHEN strand = '+' THEN e ELSE s - 3 END, CASE WHEN strand = '+' THEN e + 2 ELSE s - 1 END FROM n WHERE k < l AND strand IN ('+', '-')")(
     lambda r, z: I.splicing_sites(add_exon_number(r)).select("rid", "site", "start", "end")
 )
 
@@ -123,7 +128,7 @@ def _ends_sql(three_prime: bool) -> str:
 
 def _paired_sql(three_prime: bool) -> str:
     around = _SLOP.format(l=1500, r=1500, of="n", more=", gene, n.b AS site")
-    return f", n AS ({_ends_sql(three_prime)}), o AS ({around}), p AS (SELECT o.name, n.name AS other, abs(o.site - n.b) AS dist FROM o JOIN n ON o.chrom = n.chrom AND o.b < n.e AND n.b < o.e AND o.strand <> n.strand AND o.gene <> n.gene), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dist, other) AS r FROM p) SELECT name, other, dist FROM k WHERE r = 1"
+    return f", n AS ({_ends_sql(three_prime)}), o AS ({around}), p AS (SELECT o.name, n.name AS other, abs(o.site - n.b) AS dist FROM o JOIN n ON o.chrom = n.chrom AND o.b < n.e AND n.b < o.e AND o.strand <> n.strand AND o.strand IN ('+', '-') AND n.strand IN ('+', '-') AND o.gene <> n.gene), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dist, other) AS r FROM p) SELECT name, other, dist FROM k WHERE r = 1"
 
 
 query("iv_17_divergent", _paired_sql(False))(lambda r, z: I.paired_ends(r, z))
@@ -134,7 +139,7 @@ query("iv_19_overlapping", f", n AS ({_ends_sql(False)}), o AS ({_SLOP.format(l=
 query("iv_21_regulatory", f", c AS {_SITE}, d AS ({_SLOP.format(l=5000, r=1000, of='c', more=', size')}), m AS (SELECT d.*, (SELECT max(e) FROM d l WHERE l.chrom = d.chrom AND l.e <= d.b) AS le, (SELECT min(b) FROM d l WHERE l.chrom = d.chrom AND l.b >= d.e) AS rs FROM d WHERE b < e) SELECT DISTINCT chrom, greatest(coalesce(le, 0), b - 100000, 0) AS start, least(coalesce(rs, size), e + 100000, size) AS end, name, strand FROM m")(
     lambda r, z: I.regulatory_domains(r, z, distal=100_000)
 )
-query("iv_22_exclude", ", v AS (SELECT chrom, b, e FROM g WHERE e - b < 3000), " + _merged_sql("v", "m") + ", k AS (SELECT x.rid, x.b - coalesce(sum(least(m.e, x.b) - m.b) FILTER (WHERE m.b <= x.b), 0) AS b, x.e - coalesce(sum(least(m.e, x.e) - m.b) FILTER (WHERE m.b <= x.e), 0) AS e FROM x LEFT JOIN m ON m.chrom = x.chrom AND m.b <= x.e GROUP BY x.rid, x.b, x.e) SELECT rid, CAST(b AS BIGINT) AS start, CAST(e AS BIGINT) AS end FROM k WHERE b < e")(
+query("iv_22_exclude", ", " + _merged_sql("g", "m") + ", k AS (SELECT x.rid, x.b - coalesce(sum(least(m.e, x.b) - m.b) FILTER (WHERE m.b <= x.b), 0) AS b, x.e - coalesce(sum(least(m.e, x.e) - m.b) FILTER (WHERE m.b <= x.e), 0) AS e FROM x LEFT JOIN m ON m.chrom = x.chrom AND m.b <= x.e GROUP BY x.rid, x.b, x.e) SELECT rid, CAST(b AS BIGINT) AS start, CAST(e AS BIGINT) AS end FROM k WHERE b < e")(
     lambda r, z: I.exclude_concatenate(_exons(r), bed(r.where("feature = 'gene'")).where("name <> '?'")).select("rid", "start", "end")
 )
 query("iv_23_exclude_sizes", ", " + _merged_sql("g", "m") + " SELECT chrom, CAST(size - coalesce((SELECT sum(e - b) FROM m WHERE m.chrom = z.chrom), 0) AS BIGINT) AS size FROM z")(lambda r, z: I.exclude_sizes(z, bed(r.where("feature = 'gene'")).where("name <> '?'")))

@@ -24,8 +24,6 @@ ORACLE: dict[str, str] = {}
 #: Scores of exon rows as a track per strand.
 SIGNAL = "v AS (SELECT CASE WHEN strand = '-' THEN 'minus' ELSE 'plus' END AS track, seqid AS chrom, s - 1 AS b, e, CAST(score AS DOUBLE) AS val FROM f WHERE feature = 'exon' AND score NOT IN ('.', '?'))"
 TRACKS = ["minus", "plus"]
-#: End of the stretch that the SQL looks at; the queries have no such bound.
-GENOME_END = 2_000_000
 #: The made-up genome's letters: base at position p, from 1, is letter (7 p + p // 3) % 8, the same again PERIOD further on.
 LETTERS, PERIOD = "acgtacca", 24
 SHUFFLES = 20
@@ -106,10 +104,10 @@ QUERIES["sig_07_controls"] = _controls
 
 _BASES = f"(SELECT string_agg(substr('{LETTERS}', CAST((p * 7 + p // 3) % 8 + 1 AS BIGINT), 1), '' ORDER BY p) FROM (SELECT unnest(range(m.s, m.e + 1)) AS p))"
 _RC = "CASE WHEN strand = '-' THEN translate(reverse({0}), 'acgt', 'tgca') ELSE {0} END"
-query("iv_08_fetch", f", m AS (SELECT rid, s, e, strand FROM f WHERE feature = 'cds' AND e < {GENOME_END}), y AS (SELECT rid, strand, {_BASES} AS q FROM m) SELECT rid, {_RC.format('q')} AS bases FROM y")(
+query("iv_08_fetch", f", m AS (SELECT rid, s, e, strand FROM f WHERE feature = 'cds'), y AS (SELECT rid, strand, {_BASES} AS q FROM m) SELECT rid, {_RC.format('q')} AS bases FROM y")(
     lambda r, z: Q.fetch(_cds(r), genome(_cds(r))).select("rid", "bases")
 )
-query("seq_01_spliced", f", m AS (SELECT rid, tx, gene, seqid, s, e, strand FROM f WHERE feature = 'exon' AND tx IS NOT NULL AND e < {GENOME_END}), y AS (SELECT *, {_BASES} AS q FROM m), j AS (SELECT tx, gene, seqid, strand, string_agg(q, '' ORDER BY s, e, rid) AS q FROM y GROUP BY ALL) SELECT tx AS transcript_id, gene AS gene_id, seqid AS chrom, strand, {_RC.format('q')} AS sequence FROM j")(
+query("seq_01_spliced", f", m AS (SELECT rid, tx, gene, seqid, s, e, strand FROM f WHERE feature = 'exon' AND tx IS NOT NULL), y AS (SELECT *, {_BASES} AS q FROM m), j AS (SELECT tx, gene, seqid, strand, string_agg(q, '' ORDER BY s, e, rid) AS q FROM y GROUP BY ALL) SELECT tx AS transcript_id, gene AS gene_id, seqid AS chrom, strand, {_RC.format('q')} AS sequence FROM j")(
     lambda r, z: Q.transcript_sequences(r, genome(_exons(r)))
 )
 query("seq_02_offsets", ", m AS (SELECT tx AS transcript_id, rid, e - s + 1 AS n, sum(e - s + 1) OVER (PARTITION BY tx ORDER BY CASE WHEN strand = '-' THEN -e ELSE s END, rid ROWS UNBOUNDED PRECEDING) AS l FROM f WHERE feature = 'exon' AND tx IS NOT NULL) SELECT transcript_id, rid, CAST(l - n + 1 AS BIGINT) AS first, CAST(l AS BIGINT) AS last FROM m")(
