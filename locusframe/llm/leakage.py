@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.operators.skew import hot_keys, replicated, salted
 from locusframe.session import cut
 
 #: Words that a leaked run has at least, and words of a shingle.
 RUN = 16
 SHINGLE = 5
-#: Evaluation texts are searched for in blocks of about so many characters: what a task keeps of a block is bounded.
-BLOCK_CHARS = 20_000_000
+#: The sieve of evaluation shingles has so many bits a shingle, but never more than 2 ** MOST_BITS in all (4 MB).
+BITS_PER_SHINGLE = 64
+LEAST_BITS, MOST_BITS = 16, 25
+#: Parts that the rows of a hot shingle are cut into.
+SALTS = 64
+#: Hashes of words that a task keeps.
+KNOWN_WORDS = 1 << 18
 
 _COMMAND = re.compile(r"\\[A-Za-z]+")
 _WORD = re.compile(r"[^\W_]+")
-_FACTOR = np.int64(-7046029254386353131)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_HASHES: dict[str, int] = {}
 
 
 def words(text: str | None) -> list[str]:
@@ -28,44 +36,66 @@ def words(text: str | None) -> list[str]:
     return [] if text is None else _WORD.findall(_COMMAND.sub(" ", text).lower()) if "İ" not in text else [w.lower() for w in _WORD.findall(_COMMAND.sub(" ", text))]
 
 
-def _shingle_hashes(ids: np.ndarray) -> np.ndarray:
-    """Hash of every SHINGLE neighbouring word numbers; 0 where one of them is 0 (a word of no evaluation text)."""
-    n = len(ids) - SHINGLE + 1
+def _word_hashes(ws: list[str]) -> np.ndarray:
+    """A 64-bit hash of every word, the same in every process; those of the words met last are kept."""
+    if len(_HASHES) > KNOWN_WORDS:
+        _HASHES.clear()
+    for w in set(ws).difference(_HASHES):
+        _HASHES[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
+
+
+def _shingle_hashes(ws: list[str]) -> np.ndarray:
+    """Hash of every SHINGLE neighbouring words."""
+    n = len(ws) - SHINGLE + 1
     if n <= 0:
-        return np.empty(0, np.int64)
-    out, known = np.zeros(n, np.int64), np.ones(n, bool)
+        return np.empty(0, np.uint64)
+    ids, out = _word_hashes(ws), np.zeros(n, np.uint64)
     for i in range(SHINGLE):
-        out = out * _FACTOR + ids[i : i + n]
-        known &= ids[i : i + n] > 0
-    out ^= (out >> 31) & 0x1FFFFFFFF
-    out[~known] = 0
-    return out
+        out = (out ^ (out >> np.uint64(31))) * _FACTOR + ids[i : i + n]
+    return out ^ (out >> np.uint64(29))
 
 
-def _segments(item_texts: list[str]):
-    """A mapInPandas function: documents -> maximal word runs all of whose shingles occur in an evaluation text."""
-    item_words = [words(t) for t in item_texts]
-    number = {w: i + 1 for i, w in enumerate(sorted({w for ws in item_words for w in ws}))}
-    hashes = [_shingle_hashes(np.array([number[w] for w in ws], np.int64)) for ws in item_words]
-    wanted = np.unique(np.concatenate([*hashes, np.empty(0, np.int64)]))
-    vocabulary = sorted(number)
+def _sieve_cells(bits: int):
+    """A mapInPandas function: word texts -> the 64-bit cells of the sieve that their shingles fall into."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = np.unique(np.concatenate([np.empty(0, np.uint64), *(_shingle_hashes(t.split(" ")) for t in batch["segment"])]) & np.uint64((1 << bits) - 1))
+            yield pd.DataFrame({"cell": (at >> np.uint64(6)).astype(np.int64), "bits": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+
+    return run
+
+
+def _sieve(texts: DataFrame) -> np.ndarray:
+    """Bits of all shingles of the evaluation texts, by hash: a table of fixed size, whatever the number of texts.
+
+    The more texts, the more chance hits pass it; the joins behind it are exact, so that costs time but no result.
+    """
+    shingles = texts.agg(F.sum(F.length("segment") - F.length(F.replace("segment", F.lit(" "), F.lit(""))) + 1)).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(shingles * BITS_PER_SHINGLE).bit_length()))
+    table = np.zeros(1 << (bits - 6), np.int64)
+    cells = texts.mapInPandas(_sieve_cells(bits), "cell bigint, bits bigint").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    return table.view(np.uint64)
+
+
+def _segments(sieve: np.ndarray):
+    """A mapInPandas function: documents -> maximal word runs all of whose shingles pass the sieve."""
+    mask = np.uint64(64 * len(sieve) - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = {w: i + 1 for i, w in enumerate(vocabulary)}
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ws = words(text)
-                if len(ws) < SHINGLE or not len(wanted):
-                    continue
-                found = _shingle_hashes(np.fromiter((known.get(w, 0) for w in ws), np.int64, len(ws)))
-                at = np.flatnonzero(found)
-                at = at[wanted[np.minimum(np.searchsorted(wanted, found[at]), len(wanted) - 1)] == found[at]]
+                bit = _shingle_hashes(ws) & mask
+                at = np.flatnonzero((sieve[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
                 if len(at):
                     breaks = np.flatnonzero(np.diff(at) > 1)
                     for a, b in zip(at[np.concatenate(([0], breaks + 1))], at[np.concatenate((breaks, [len(at) - 1]))], strict=True):
-                        out.append((doc, int(a), " ".join(ws[a : b + SHINGLE])))
-            yield pd.DataFrame(out, columns=["doc_id", "first_word", "segment"])
+                        out.append((doc, " ".join(ws[a : b + SHINGLE])))
+            yield pd.DataFrame(out, columns=["doc_id", "segment"])
 
     return run
 
@@ -75,56 +105,66 @@ def _item_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"item_id": batch["item_id"], "segment": [" ".join(words(t)) for t in batch["item_text"]]})
 
 
-def _shingled(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Every shingle of a text of words parted by blanks, with its place: (keep, place, shingle, parts)."""
-    parts = F.split("segment", " ")
-    places = F.sequence(F.lit(0), F.size("parts") - SHINGLE)
-    each = rows.select(*keep, parts.alias("parts")).where(F.size("parts") >= SHINGLE)
-    return each.select(*keep, "parts", F.explode(places).alias("place")).withColumn("shingle", F.concat_ws(" ", F.slice("parts", F.col("place") + 1, SHINGLE)))
+def _part(parts: str, at: Column, n: int) -> Column:
+    """n words of an array from place `at`, from 0, parted by blanks."""
+    return F.concat_ws(" ", F.slice(parts, at + 1, n))
+
 
+def _shingles(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, place, shingle, before, after): every shingle of word texts with the RUN - SHINGLE words on either side.
 
-def _leaks(docs: DataFrame, items: DataFrame, item_texts: list[str]) -> DataFrame:
-    """Leaks of one block of evaluation texts; item_texts are the texts of `items`, bounded by BLOCK_CHARS."""
-    segments = cut(docs.mapInPandas(_segments(item_texts), "doc_id bigint, first_word int, segment string"))
-    rarity = _shingled(segments, ["doc_id"]).groupBy("shingle").agg(F.count_distinct("doc_id").alias("n_docs"))
+    A row has a bounded number of words, however long the text is.
+    """
+    reach = RUN - SHINGLE
+    parts = rows.select(*keep, F.split("segment", " ").alias("parts")).where(F.size("parts") >= SHINGLE)
+    around = F.transform(F.sequence(F.lit(0), F.size("parts") - SHINGLE), lambda i: F.struct(i.alias("place"), _part("parts", i, SHINGLE).alias("shingle"), F.slice("parts", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))).alias("before"), F.slice("parts", i + SHINGLE + 1, reach).alias("after")))
+    return parts.select(*keep, F.explode(around).alias("x")).select(*keep, "x.*")
 
-    # The necessary prefix of each window of RUN words: its rarest shingle. All shingles of a leaked window are in the
-    # document, so one is enough; a window with a shingle that no document has is out.
-    tokens = _shingled(items.mapInPandas(_item_words, "item_id bigint, segment string"), ["item_id"]).join(rarity, "shingle", "left")
-    window = Window.partitionBy("item_id").orderBy("place").rowsBetween(Window.currentRow, RUN - SHINGLE)
-    rarest = F.min(F.struct(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "shingle", "place")).over(window)
-    prefixes = tokens.select("item_id", "place", F.concat_ws(" ", F.slice("parts", F.col("place") + 1, RUN)).alias("window"), (F.size("parts") - F.col("place")).alias("room"), rarest.alias("r"))
-    prefixes = prefixes.where((F.col("room") >= RUN) & (F.col("r.n_docs") > 0)).select("item_id", "window", F.col("r.shingle").alias("shingle"), (F.col("r.place") - F.col("place")).alias("offset")).distinct()
 
-    # Length bound: shorter segments hold no window. Positional bound: the window must lie inside the segment.
-    long_enough = _shingled(segments.where(F.size(F.split("segment", " ")) >= RUN), ["doc_id"])
-    start = F.col("place") - F.col("offset")
-    candidates = long_enough.join(F.broadcast(prefixes), "shingle").where((start >= 0) & (start + RUN <= F.size("parts")))
-    verified = candidates.where(F.concat_ws(" ", F.slice("parts", start + 1, RUN)) == F.col("window"))
-    return verified.select("doc_id", "item_id").distinct()
+def _bare_shingles(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, shingle): every shingle of word texts."""
+    parts = rows.select(*keep, F.split("segment", " ").alias("parts")).where(F.size("parts") >= SHINGLE)
+    return parts.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - SHINGLE), lambda i: _part("parts", i, SHINGLE))).alias("shingle"))
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text") -> DataFrame:
     """(doc_id, item_id), distinct: the document and the evaluation text share a run of at least RUN consecutive words.
 
-    One pass over the corpus keeps the word runs made of evaluation shingles only; over these the document frequency
-    of every shingle is counted, each window of RUN words of an evaluation text is joined on its rarest shingle, bounds
-    on length and place are applied and the window is compared word for word.
-    The join's evaluation side is broadcast: it is cut into blocks of at most `block_chars` characters (a longer single
-    text is a block of its own), each searched for against all documents, so its size is bounded whatever the input.
+    One pass over the corpus keeps the word runs made of shingles that pass a sieve of the evaluation side, a bit table of
+    fixed size, and writes them. Over these the document frequency of every shingle is counted. The necessary prefix of a
+    window of RUN words is its rarest shingle: a leaked window has all its shingles in the document, so one is enough, and a
+    window with a shingle that no document has is out. Windows and runs meet by an equality join on that shingle, whose
+    sides Spark chooses by size; those of hot shingles are salted. Bounds on length and place are applied, then the window is
+    compared word for word. Nothing of either side is gathered but the sieve.
     Null ids, null, empty and short texts leak nothing. Repeated rows of one id are one document or one item.
     """
     source = docs.select(F.col(f"`{doc}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     wanted = items.select(F.col(f"`{item}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").alias("item_text")).where(F.col("item_id").isNotNull() & F.col("item_text").isNotNull())
-    total = wanted.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    blocks = max(1, -(-total // (block_chars // 2)))
-    numbered = wanted.withColumn("block", F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        block = numbered.where(F.col("block") == b).drop("block")
-        leaks = _leaks(source, block, [r["item_text"] for r in block.select("item_text").collect()])
-        found = leaks if found is None else found.unionByName(leaks)
-    return found if blocks == 1 else found.distinct()
+    asked = cut(wanted.mapInPandas(_item_words, "item_id bigint, segment string").distinct())
+    texts = asked.select("segment").distinct()
+    segments = cut(source.mapInPandas(_segments(_sieve(texts)), "doc_id bigint, segment string"))
+    rarity = cut(_bare_shingles(segments, "doc_id").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("n_docs")))
+
+    # Windows of evaluation texts, each once, with their shingles; `offset` is the place of a shingle in its window.
+    parts = texts.select(F.split("segment", " ").alias("parts")).where(F.size("parts") >= RUN)
+    windows = parts.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - RUN), lambda i: _part("parts", i, RUN))).alias("window")).distinct()
+    tokens = windows.select("window", F.split("window", " ").alias("parts")).select("window", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(RUN - SHINGLE)), lambda i: _part("parts", i, SHINGLE))).alias("offset", "shingle"))
+    rarest = tokens.join(rarity, "shingle", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "shingle", "offset")).alias("r"))
+    prefixes = rarest.where("r.n_docs > 0").select("window", "r.shingle", "r.offset")
+
+    # Length bound: shorter runs hold no window. Positional bound: the window must lie inside the run.
+    total = rarity.agg(F.sum("n_docs")).first()[0] or 0
+    hot = cut(hot_keys(rarity, ["shingle"], total, "n_docs"))
+    long_enough = _shingles(segments.where(F.size(F.split("segment", " ")) >= RUN), "doc_id")
+    met = salted(long_enough, hot, ["shingle"], "doc_id", SALTS).join(replicated(prefixes, hot, ["shingle"], SALTS), ["shingle", "salt"])
+    met = met.where((F.size("before") >= F.col("offset")) & (F.size("after") >= RUN - SHINGLE - F.col("offset")))
+    start = F.slice("before", F.size("before") - F.col("offset") + 1, F.col("offset"))
+    verified = met.where(F.concat_ws(" ", start, "shingle", F.slice("after", F.lit(1), RUN - SHINGLE - F.col("offset"))) == F.col("window"))
+
+    # Windows become the items that have them.
+    owners = asked.select("item_id", F.split("segment", " ").alias("parts")).where(F.size("parts") >= RUN)
+    owners = owners.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - RUN), lambda i: _part("parts", i, RUN))).alias("window")).distinct()
+    return verified.select("doc_id", "window").distinct().join(owners, "window").select("doc_id", "item_id").distinct()
 
 
 def words_column(text: Column) -> Column:

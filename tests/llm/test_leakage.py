@@ -1,8 +1,10 @@
-"""Leakage against a comparison of all runs of words; changed outer form, blocks of items, nulls, empty and long texts."""
+"""Leakage against a comparison of all runs of words; changed outer form, full sieves, nulls, empty and long texts."""
 
 import random
 import re
 
+import pytest
+from locusframe.llm import leakage
 from locusframe.llm.leakage import RUN, leaked_items, words
 
 
@@ -15,7 +17,7 @@ def data():
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(12)] + ["Über", "été", "x1"]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 60)))) for i in range(30)]
-    items += [(30, None), (31, ""), (32, items[0][1]), (0, items[0][1])]
+    items += [(30, None), (31, ""), (32, items[0][1]), (0, items[0][1]), (0, items[5][1]), (33, "w1 " * 3000 + items[2][1])] + [items[4]] * 50
     docs = []
     for d in range(120):
         ws = [rng.choice(vocabulary) for _ in range(rng.randint(0, 80))]
@@ -30,7 +32,9 @@ def data():
     return docs, items
 
 
-def test_brute_force_and_blocks(spark):
+@pytest.mark.parametrize("bits", [25, 6])
+def test_brute_force_and_full_sieve(spark, monkeypatch, bits):
+    monkeypatch.setattr(leakage, "MOST_BITS", bits)
     docs, items = data()
     item_runs = {(i, r) for i, t in items for r in runs(t)}
     want = set()
@@ -44,9 +48,8 @@ def test_brute_force_and_blocks(spark):
     a = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS item_id", "'x' AS segment")
     b = spark.createDataFrame(items, "item_id long, item_text string").selectExpr("*", "'y' AS text")
     assert len(want) > 30
-    for block in (20_000_000, 900):
-        rows = [tuple(r) for r in leaked_items(a, b, block_chars=block).collect()]
-        assert len(rows) == len(set(rows)) and set(rows) == want
+    rows = [tuple(r) for r in leaked_items(a, b).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
 
 
 def test_words():
