@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.functions.labels import DECIMAL, label, refers, trimmed
 from locusframe.registry import operator
+from locusframe.session import checkpoint_folder, emptied
 
 #: Spellings of booleans and the type names of a declaration.
 TRUE = ("true", "t", "yes", "1")
 FALSE = ("false", "f", "no", "0")
 SPARK_TYPE = {"string": "string", "long": "bigint", "double": "double", "boolean": "boolean"}
-SLOT = {"string": "s", "long": "l", "double": "d", "boolean": "b"}
+#: A cell of a delta, by the number of its key: version, number (of a long or a double, for ties) and text of the latest fitting
+#: value, whether fitting values differ, and the values of a list key. Without a fitting value the text is null.
+CELL = "struct<v:bigint,l:bigint,d:double,text:string,differ:boolean,items:array<struct<v:bigint,text:string>>>"
+RUN = "entity {}, batch int, cells map<smallint," + CELL + ">"
 
 
 def declared(types: DataFrame, most: int = 2000) -> list[tuple[str, str, bool]]:
@@ -26,71 +33,65 @@ def declared(types: DataFrame, most: int = 2000) -> list[tuple[str, str, bool]]:
     return sorted((r["k"], r["type_name"], bool(r["is_list"])) for r in rows if r["k"])
 
 
-def _typed(value: Column, kind: Column) -> Column:
-    """The value in the slot of its declared type; null if it doesn't fit. Only one slot is ever filled."""
+def _fitting(value: Column, kind: Column) -> Column:
+    """The value as text in one spelling per value of its declared type; null if it doesn't fit."""
     low = F.lower(value)
-    long = F.when(value.rlike(r"\A[+-]?[0-9]{1,18}\z"), value.try_cast("bigint"))
-    double = F.when(value.rlike(DECIMAL), value.try_cast("double") + F.lit(0.0))
-    boolean = F.when(low.isin(*TRUE), True).when(low.isin(*FALSE), False)
-    slot = F.struct(
-        F.when(kind == "string", value).alias("s"),
-        F.when(kind == "long", long).alias("l"),
-        F.when(kind == "double", double).alias("d"),
-        F.when(kind == "boolean", boolean).alias("b"),
-    )
-    return F.when(F.coalesce(slot["s"].isNotNull() | slot["l"].isNotNull() | slot["d"].isNotNull() | slot["b"].isNotNull(), F.lit(False)), slot)
+    long = F.when(value.rlike(r"\A[+-]?[0-9]{1,18}\z"), value.try_cast("bigint").cast("string"))
+    double = F.when(value.rlike(DECIMAL), (value.try_cast("double") + F.lit(0.0)).cast("string"))
+    boolean = F.when(low.isin(*TRUE), "true").when(low.isin(*FALSE), "false")
+    return F.when(kind == "string", value).when(kind == "long", long).when(kind == "double", double).when(kind == "boolean", boolean)
 
 
 def deltas(rows: DataFrame, types: list[tuple[str, str, bool]], entity: str, key: str, value: str, version: str, batch: Column | None = None) -> DataFrame:
     """Sparse wide deltas: one row (entity, batch, cells) per entity and batch, sorted by entity within each partition.
 
-    `cells` maps each declared key that occurs to its cell: `latest` (version and typed value of the newest fitting
-    value), `low` and `high` of the fitting values, `some` (there was a value) and, for list keys, `items`.
-    A batch is what one scan task reads unless a column tells it apart; results don't depend on the batches.
-    All rows of an entity in one batch meet in one task, so a hot entity costs at most one input split.
-    Null entities and undeclared keys give nothing; null, empty and marker values are no values.
+    `cells` maps the number of each declared key that has a value to its CELL, with the version of the newest fitting value.
+    Without a batch column all rows are one batch; results don't depend on the batches. Equal values of a cell are taken together
+    on the map side, spread by value, so only the distinct values of a hot entity ever meet.
+    Null entities and undeclared keys give nothing, nor do null, empty and marker values; but an entity with any row of a
+    declared key has a delta, if an empty one.
     """
-    kind = F.create_map(*[F.lit(x) for k, t, _ in types for x in (k, t)]) if types else F.lit(None).cast("map<string,string>")
-    lists = [k for k, _, many in types if many]
+    number = {k: i for i, (k, _, _) in enumerate(types)}
+    known = F.create_map(*[F.lit(x) for k, i in number.items() for x in (k, i)]) if types else F.lit(None).cast("map<string,int>")
+    kinds = F.array(*[F.lit(t) for _, t, _ in types]) if types else F.array().cast("array<string>")
+    lists = [i for i, (_, _, many) in enumerate(types) if many]
     text = trimmed(F.col(f"`{value}`"))
-    flat = rows.select(
-        F.col(f"`{entity}`").alias("entity"),
-        (F.spark_partition_id() if batch is None else batch).alias("batch"),
-        label(F.col(f"`{key}`")).alias("k"),
-        F.col(f"`{version}`").alias("v"),
-        F.when(refers(text), text).alias("text"),
-    ).where(F.col("entity").isNotNull())
-    flat = flat.withColumn("kind", kind[F.col("k")]).where(F.col("kind").isNotNull())
-    flat = flat.withColumn("typed", _typed(F.col("text"), F.col("kind"))).repartition("entity", "batch")
+    flat = rows.select(F.col(f"`{entity}`").alias("entity"), (F.lit(0) if batch is None else batch).cast("int").alias("batch"), known[label(F.col(f"`{key}`"))].alias("k"), F.col(f"`{version}`").cast("bigint").alias("v"), F.when(refers(text), text).alias("given"))
+    flat = flat.where(F.col("entity").isNotNull() & F.col("k").isNotNull()).withColumn("kind", F.get(kinds, F.col("k"))).withColumn("text", _fitting(F.col("given"), F.col("kind")))
+    fits = F.col("text").isNotNull()
+    flat = flat.withColumns({"l": F.when(F.col("kind") == "long", F.col("text").try_cast("bigint")), "d": F.when(F.col("kind") == "double", F.col("text").try_cast("double"))})
     listed = F.col("k").isin(*lists) if lists else F.lit(False)
-    cells = flat.groupBy("entity", "batch", "k").agg(
-        F.max(F.when(F.col("typed").isNotNull(), F.struct("v", "typed"))).alias("latest"),
-        F.min("typed").alias("low"),
-        F.max("typed").alias("high"),
-        F.max(F.col("text").isNotNull()).alias("some"),
-        F.collect_set(F.when(listed & F.col("typed").isNotNull(), F.struct("v", "typed"))).alias("items"),
-    )
-    cell = F.struct("latest", "low", "high", "some", "items")
-    return cells.groupBy("entity", "batch").agg(F.map_from_entries(F.collect_list(F.struct("k", cell))).alias("cells")).sortWithinPartitions("entity")
+    # Equal values of a cell are taken together first: what is left of a hot entity are its distinct values.
+    once = flat.groupBy("entity", "batch", "k", "text", F.when(listed, F.col("v")).alias("at")).agg(F.max("v").alias("v"), F.max("l").alias("l"), F.max("d").alias("d"), F.max(F.col("given").isNotNull()).alias("some"))
+    latest = F.max(F.when(fits, F.struct("v", "l", "d", "text")))
+    measures = {"latest": latest, "low": F.min("text"), "high": F.max("text"), "some": F.max("some"), "items": F.collect_set(F.when(listed & fits, F.struct("v", "text")))}
+    cells = once.groupBy("entity", "batch", "k").agg(*(v.alias(c) for c, v in measures.items()))
+    items = F.when(F.col("k").isin(*lists), F.col("items")) if lists else F.lit(None).cast("array<struct<v:bigint,text:string>>")
+    cell = F.struct("latest.v", "latest.l", "latest.d", "latest.text", F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("differ"), items.alias("items"))
+    entries = F.collect_list(F.when(F.col("some"), F.struct(F.col("k").cast("smallint").alias("k"), cell.alias("cell"))))
+    return cells.groupBy("entity", "batch").agg(F.map_from_entries(entries).cast(f"map<smallint,{CELL}>").alias("cells")).sortWithinPartitions("entity")
 
 
 def compacted(runs: DataFrame, types: list[tuple[str, str, bool]]) -> DataFrame:
-    """Merge sorted runs of deltas into one row per entity: per cell the latest version wins, bounds and items are united.
+    """Merge sorted runs of deltas into one row (entity, cells) per entity: per cell the latest version wins.
 
-    Comes out with columns entity and, per declared key, a struct (latest, low, high, some, items) named by the key.
+    A cell differs if it does in any run or if the runs' values do; list values are united. Ties of a version go to the greatest
+    value. The deltas of an entity come together sorted, one row a batch.
     """
-    per_key = [F.col("cells")[k].alias(f"c{i}") for i, (k, _, _) in enumerate(types)]
-    flat = runs.select("entity", *per_key)
-    merged = []
-    for i, (_, _, many) in enumerate(types):
-        c = f"c{i}"
-        merged += [F.max(f"{c}.latest").alias(f"{c}_latest"), F.min(f"{c}.low").alias(f"{c}_low"), F.max(f"{c}.high").alias(f"{c}_high"), F.max(f"{c}.some").alias(f"{c}_some")]
-        merged += [F.flatten(F.collect_list(f"{c}.items")).alias(f"{c}_items")] if many else []
-    if not merged:
-        return flat.select("entity").distinct()
-    out = flat.groupBy("entity").agg(*merged)
-    empty = F.array().cast("array<struct<v:bigint,typed:struct<s:string,l:bigint,d:double,b:boolean>>>")
-    return out.select("entity", *(F.struct(F.col(f"c{i}_latest").alias("latest"), F.col(f"c{i}_low").alias("low"), F.col(f"c{i}_high").alias("high"), F.coalesce(f"c{i}_some", F.lit(False)).alias("some"), (F.col(f"c{i}_items") if many else empty).alias("items")).alias(k) for i, (k, _, many) in enumerate(types)))
+    whole = runs.groupBy("entity").agg(F.collect_list("cells").alias("deltas"))
+    newest = F.struct(*(F.lit(None).cast(t).alias(n) for n, t in (("v", "bigint"), ("l", "bigint"), ("d", "double"), ("text", "string"))))
+
+    def merged(key: Column) -> Column:
+        own = F.filter(F.transform("deltas", lambda m: m[key]), lambda c: c.isNotNull())
+        fitting = F.filter(own, lambda c: c["text"].isNotNull())
+        top = F.coalesce(F.array_max(F.transform(fitting, lambda c: F.struct(c["v"].alias("v"), c["l"].alias("l"), c["d"].alias("d"), c["text"].alias("text")))), newest)
+        differ = F.exists(own, lambda c: c["differ"]) | (F.array_min(F.transform(fitting, lambda c: c["text"])) != F.array_max(F.transform(fitting, lambda c: c["text"])))
+        items = F.filter(F.transform(own, lambda c: c["items"]), lambda i: i.isNotNull())
+        return F.struct(top["v"].alias("v"), top["l"].alias("l"), top["d"].alias("d"), top["text"].alias("text"), F.coalesce(differ, F.lit(False)).alias("differ"), F.when(F.size(items) > 0, F.array_distinct(F.flatten(items))).alias("items"))
+
+    keys = F.array_distinct(F.flatten(F.transform("deltas", F.map_keys)))
+    single = F.when(F.size("deltas") == 1, F.get("deltas", F.lit(0))).otherwise(F.map_from_arrays(keys, F.transform(keys, merged)).cast(f"map<smallint,{CELL}>"))
+    return whole.select("entity", single.alias("cells"))
 
 
 @operator("EAV-WIDE", group="reshape")
@@ -101,68 +102,84 @@ def wide(store: DataFrame, types: list[tuple[str, str, bool]], entity: str = "ri
     List keys hold an array of the distinct (version, value) pairs' values in version order, or null.
     """
 
-    def values(items: Column, slot: str) -> Column:
-        return F.transform(F.array_sort(F.array_distinct(items)), lambda x: x["typed"][slot])
-
     columns = []
-    for k, t, many in types:
-        items = values(F.col(f"`{k}`.items"), SLOT[t])
-        columns.append(F.when(F.size(items) > 0, items).alias(k) if many else F.col(f"`{k}`.latest.typed.{SLOT[t]}").alias(k))
+    for i, (k, kind, many) in enumerate(types):
+        cell = F.col("cells")[F.lit(i).cast("smallint")]
+        values = F.transform(F.array_sort(cell["items"]), lambda x: x["text"]).cast(f"array<{SPARK_TYPE[kind]}>")
+        columns.append(F.when(F.size(values) > 0, values).alias(k) if many else cell["text"].cast(SPARK_TYPE[kind]).alias(k))
     return store.select(F.col("entity").alias(entity), *columns)
 
 
 @operator("EAV-ISSUES", group="reshape")
 def cell_issues(store: DataFrame, types: list[tuple[str, str, bool]], entity: str = "rid") -> DataFrame:
     """(entity, attr_key, issue) of compacted single-valued cells: `untypable` or `conflict`."""
-    found = []
-    for k, _, many in types:
-        if not many:
-            c = F.col(f"`{k}`")
-            issue = F.when(c["some"] & c["high"].isNull(), "untypable").when(c["low"] != c["high"], "conflict")
-            found.append(F.struct(F.lit(k).alias("attr_key"), issue.alias("issue")))
-    if not found:
-        return store.select(F.col("entity").alias(entity), F.lit("").alias("attr_key"), F.lit("").alias("issue")).limit(0)
-    cells = store.select(F.col("entity").alias(entity), F.explode(F.array(*found)).alias("c"))
-    return cells.where(F.col("c.issue").isNotNull()).select(entity, "c.attr_key", "c.issue")
+    names = F.array(*[F.lit(k) for k, _, _ in types]) if types else F.array().cast("array<string>")
+    single = [i for i, (_, _, many) in enumerate(types) if not many]
+    cells = store.select(F.col("entity").alias(entity), F.explode("cells").alias("__k", "__c"))
+    issue = F.when(F.col("__c.text").isNull(), "untypable").when(F.col("__c.differ"), "conflict")
+    found = cells.where(F.col("__k").isin(*single) if single else F.lit(False)).select(entity, F.get(names, F.col("__k").cast("int")).alias("attr_key"), issue.alias("issue"))
+    return found.where("issue IS NOT NULL")
 
 
-def eav_cells(rows: DataFrame, types: list[tuple[str, str, bool]], entity: str = "rid", key: str = "attr_key", value: str = "attr_value", version: str = "pos") -> DataFrame:
-    """Deltas and their compaction in one lazy plan: two shuffles, the second over sparse wide rows only."""
-    return compacted(deltas(rows, types, entity, key, value, version), types)
+def eav_cells(rows: DataFrame, types: list[tuple[str, str, bool]], entity: str = "rid", key: str = "attr_key", value: str = "attr_value", version: str = "pos", batches: int = 4, folder: str | None = None) -> DataFrame:
+    """Compacted cells of a whole table, through the log: its rows come in so many batches, each a run of its own.
+
+    A row's batch follows from its content. The log lies in a new part of the shared checkpoint folder, unless one is given.
+    """
+    spark = rows.sparkSession
+    log = WideLog(spark, folder or f"{checkpoint_folder(spark)}/locusframe/log-{uuid.uuid4().hex}", types, rows.schema[entity].dataType.simpleString())
+    log.upsert(rows, entity, key, value, version, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in (entity, key, value, version))), F.lit(batches)))
+    return log.cells()
 
 
 class WideLog:
-    """A stored wide table: every upsert appends a sorted run of sparse deltas, compact() merges runs by cell version.
+    """A stored wide table: every upsert appends sorted runs of sparse deltas, compact() merges runs by cell version.
 
-    The folder must be one that all executors share. Runs are immutable; compaction writes a new run that
-    replaces the ones it read only after it is complete, so a lost executor never leaves a half-merged table.
+    The folder must be one that all executors share. What belongs to the table stands in a manifest: a row (number, runs) that is
+    written anew after every change, the greatest number being in force. Runs are immutable; a run counts only from the manifest that
+    names it on, and files that none names are given back. So a writer or an executor may be lost at any time, and another
+    session goes on where the last manifest stands. One writer at a time is taken for granted.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, types: list[tuple[str, str, bool]]) -> None:
-        self.spark, self.folder, self.types = spark, folder.rstrip("/"), types
-        self.runs: list[str] = []
-        self._written = 0
-
-    def _new_run(self) -> str:
-        self._written += 1
-        return f"{self.folder}/run-{self._written:06d}"
-
-    def upsert(self, rows: DataFrame, entity: str = "rid", key: str = "attr_key", value: str = "attr_value", version: str = "pos") -> str:
-        """Append one batch of attribute rows as a sorted run; returns the run's folder."""
-        run = self._new_run()
-        deltas(rows, self.types, entity, key, value, version, F.lit(len(self.runs))).write.parquet(run)
-        self.runs.append(run)
+    def __init__(self, spark: SparkSession, folder: str, types: list[tuple[str, str, bool]], entity_type: str = "bigint") -> None:
+        self.spark, self.folder, self.types, self.schema = spark, folder.rstrip("/"), types, RUN.format(entity_type)
+        self.number, self.runs = 0, []
+        try:
+            found = spark.read.schema("number int, runs array<string>").json(f"{self.folder}/manifest").orderBy(F.desc("number")).limit(1).collect()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            found = []
+        for row in found:
+            self.number, self.runs = row["number"], list(row["runs"])
+
+    def _stored(self, deltas: DataFrame) -> str:
+        name = f"run-{self.number + 1:06d}-{uuid.uuid4().hex[:8]}"
+        deltas.write.parquet(f"{self.folder}/{name}")
+        return name
+
+    def _commit(self, runs: list[str]) -> None:
+        self.number, self.runs = self.number + 1, runs
+        manifest = self.spark.createDataFrame([(self.number, runs)], "number int, runs array<string>")
+        manifest.coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+
+    def upsert(self, rows: DataFrame, entity: str = "rid", key: str = "attr_key", value: str = "attr_value", version: str = "pos", batch: Column | None = None) -> str:
+        """Append attribute rows as one sorted run, which holds a delta per entity and batch; returns the run's name."""
+        run = self._stored(deltas(rows, self.types, entity, key, value, version, batch))
+        self._commit([*self.runs, run])
         return run
 
     def cells(self) -> DataFrame:
-        """Compacted cells over all runs."""
-        return compacted(self.spark.read.parquet(*self.runs), self.types)
+        """Compacted cells over all runs; no rows before the first upsert."""
+        if not self.runs:
+            return compacted(self.spark.createDataFrame([], self.schema), self.types)
+        return compacted(self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/{r}" for r in self.runs)), self.types)
 
     def compact(self) -> str:
-        """Merge all runs into one run of one delta per entity."""
-        run = self._new_run()
-        entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"`{k}`").alias("value")) for k, _, _ in self.types])
-        cells = F.map_from_entries(F.filter(entries, lambda e: e["value"]["some"]))
-        self.cells().select("entity", F.lit(0).alias("batch"), cells.alias("cells")).sortWithinPartitions("entity").write.parquet(run)
-        self.runs = [run]
+        """Merge all runs into one run of one delta per entity; the files of the runs it replaces are given back."""
+        old = list(self.runs)
+        run = self._stored(self.cells().select("entity", F.lit(0).alias("batch"), "cells").sortWithinPartitions("entity"))
+        self._commit([run])
+        for name in old:
+            emptied(self.spark, f"{self.folder}/{name}", self.spark.createDataFrame([], self.schema).schema)
         return run

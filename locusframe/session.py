@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Settings that hold on any cluster: runtime re-planning, skew splitting and UTC clocks.
 TUNING = {
@@ -50,33 +51,63 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests), a folder of this machine."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="locusframe-checkpoint-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
+    """The shared folder named by spark.checkpoint.dir, or by setCheckpointDir.
+
+    Only where neither is set and the master is a single machine (tests), a folder of this machine, removed at the end; on a
+    cluster executors would not see each other's files there, so that is an error.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if (folder := _LOCAL.get("folder")) and Path(folder).exists():
+        return folder
+    context = getattr(spark, "sparkContext", None)
+    if context is not None and context.getCheckpointDir():
+        return context.getCheckpointDir()
+    if spark.conf.get("spark.master", "") != "local" and not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    _LOCAL["folder"] = folder = tempfile.mkdtemp(prefix="locusframe-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
+_LOCAL: dict[str, str] = {}
+#: Tables that were cut and not dropped yet.
+_CUTS: dict[str, StructType] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared checkpoint folder and go on from its files.
 
-    A lost executor then costs no recomputation beyond its running tasks, and later steps see the same rows.
+    A lost executor then costs no recomputation beyond its running tasks, and later steps see the same rows. Operators that
+    cut run this job while their plan is built.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/locusframe/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _CUTS[path] = df.schema
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+def emptied(spark: SparkSession, path: str, schema: StructType) -> None:
+    """Give a table's files back: it is overwritten by one without rows, which any session may do."""
+    spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a cut table that no later step reads."""
-    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    """Give back the files of a cut table that no later step reads."""
+    emptied(df.sparkSession, df._cut_path, df.schema)
+    _CUTS.pop(df._cut_path, None)
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Give back the files of all cut tables of this process, once the results made from them are stored; their number."""
+    paths = list(_CUTS.items())
+    for path, schema in paths:
+        emptied(spark, path, schema)
+        _CUTS.pop(path, None)
+    return len(paths)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

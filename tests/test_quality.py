@@ -107,10 +107,18 @@ def test_log_equals_one_pass(spark, tmp_path):
     direct = eav_cells(spark.createDataFrame(ATTR, SCHEMA), TYPES)
     want = sorted(map(str, wide(direct, TYPES).collect()))
     assert sorted(map(str, wide(log.cells(), TYPES).collect())) == want
-    log.compact()
-    assert len(log.runs) == 1
-    assert sorted(map(str, wide(log.cells(), TYPES).collect())) == want
-    assert {tuple(r) for r in cell_issues(log.cells(), TYPES).collect()} == {tuple(r) for r in cell_issues(direct, TYPES).collect()}
+    again = WideLog(spark, f"file://{tmp_path}/log", TYPES)
+    assert again.runs == log.runs and len(again.runs) == 4
+    assert sorted(map(str, wide(again.cells(), TYPES).collect())) == want
+    (tmp_path / "log" / "run-000099-lost").mkdir()
+    again.upsert(spark.createDataFrame(ATTR[3:9], SCHEMA))
+    old = [tmp_path / "log" / r for r in again.runs]
+    again.compact()
+    assert len(again.runs) == 1 and all(spark.read.parquet(f"file://{r}").count() == 0 for r in old)
+    last = WideLog(spark, f"file://{tmp_path}/log", TYPES)
+    assert sorted(map(str, wide(last.cells(), TYPES).collect())) == want
+    assert {tuple(r) for r in cell_issues(last.cells(), TYPES).collect()} == {tuple(r) for r in cell_issues(direct, TYPES).collect()}
+    assert WideLog(spark, f"file://{tmp_path}/none", TYPES).cells().count() == 0
 
 
 def test_hot_entity(spark):
