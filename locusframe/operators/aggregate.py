@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.model import attr, value, with_attr
+from locusframe.operators.blocks import summed_before
 from locusframe.operators.skew import hot_keys, replicated, salted
 from locusframe.registry import operator
 from locusframe.session import cut
@@ -83,23 +84,48 @@ def intron_size_lists(rows: DataFrame) -> DataFrame:
 
 
 @operator("AGG-07", group="aggregate")
-def tss_distances(rows: DataFrame) -> DataFrame:
-    """(gene_id, tx_1, tx_2, dist, rank_1, rank_2): all pairs of transcripts of a gene, the one of lower TSS rank first.
+def tss_ladder(rows: DataFrame) -> DataFrame:
+    """(gene_id, transcript_id, tss, tss_rank, dist, from_first, n_further): every transcript with its start site's place in the gene.
 
-    The pairs are the result asked for, so work and output grow with the square of a gene's transcripts, for catch-all ids
-    too. Those of a hot gene are salted: each part of its transcripts meets all of them in a task of its own. The number
-    of tasks is fixed, as by their input these would be put together again.
+    `dist` is the distance to the gene's site before (null for the first rank), `from_first` that to its first site and
+    `n_further` the number of the gene's transcripts of higher rank: the links in which it comes first. Any two transcripts of a
+    gene are as far apart as their `tss` differ, so this holds all pairs in one row per transcript, whatever the size
+    of the gene; tss_distances writes out the pairs of asked transcripts.
     """
     from locusframe.operators.project import transcripts_by_tss
 
     ranked = cut(transcripts_by_tss(rows))
+    sites = ranked.groupBy("gene_id", "tss_rank").agg(F.min("tss").alias("site"), F.count(F.lit(1)).alias("n"))
+    before = sites.select("gene_id", (F.col("tss_rank") + 1).alias("tss_rank"), F.col("site").alias("last"))
+    genes = ranked.groupBy("gene_id").agg(F.min(F.struct("tss_rank", "tss"))["tss"].alias("first"), F.count(F.lit(1)).alias("all"))
+    upto = summed_before(sites, ["gene_id"], "tss_rank", "fewer", F.col("n")).select("gene_id", "tss_rank", (F.col("fewer") + F.col("n")).alias("upto"))
+    out = ranked.join(before, ["gene_id", "tss_rank"], "left").join(upto, ["gene_id", "tss_rank"]).join(genes, "gene_id")
+    return out.select("gene_id", "transcript_id", "tss", "tss_rank", F.abs(F.col("tss") - F.col("last")).alias("dist"), F.abs(F.col("tss") - F.col("first")).alias("from_first"), (F.col("all") - F.col("upto")).alias("n_further"))
+
+
+def tss_distances(rows: DataFrame, asked: Column | None = None) -> DataFrame:
+    """(gene_id, tx_1, tx_2, dist, rank_1, rank_2): pairs of transcripts of a gene, the one of lower TSS rank first.
+
+    asked: a condition on transcript rows; only pairs with at least one such transcript come out, each once. Without it
+    all pairs do: work and output then grow with the square of a gene's transcripts. Those of a hot gene are salted: each
+    part of the asked transcripts meets all of the gene in a task of its own. The number of tasks is fixed, as by their
+    input these would be put together again.
+    """
+    from locusframe.operators.project import transcripts_by_tss
+
+    chosen = rows.where(F.col("feature") == "transcript")
+    picked = (chosen if asked is None else chosen.where(asked)).select(attr("gene_id").alias("gene_id"), attr("transcript_id").alias("transcript_id")).distinct().withColumn("asked", F.lit(True))
+    ranked = cut(transcripts_by_tss(rows).join(picked, ["gene_id", "transcript_id"], "left").withColumn("asked", F.coalesce("asked", F.lit(False))))
     counts = ranked.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"))
     hot = cut(hot_keys(counts, ["gene_id"], ranked.count()))
-    left = salted(ranked, hot, ["gene_id"], "transcript_id", SALTS).repartition(SALTS, "gene_id", "salt")
+    left = salted(ranked.where("asked"), hot, ["gene_id"], "transcript_id", SALTS).repartition(SALTS, "gene_id", "salt")
     right = replicated(ranked, hot, ["gene_id"], SALTS).repartition(SALTS, "gene_id", "salt")
-    a, b = (side.select("gene_id", "salt", *(F.col(c).alias(f"{c}_{i}") for c in ("transcript_id", "tss", "tss_rank"))) for i, side in ((1, left), (2, right)))
-    first = F.struct("tss_rank_1", "transcript_id_1") < F.struct(F.col("tss_rank_2").alias("tss_rank_1"), F.col("transcript_id_2").alias("transcript_id_1"))
-    return a.join(b, ["gene_id", "salt"]).where(first).select("gene_id", F.col("transcript_id_1").alias("tx_1"), F.col("transcript_id_2").alias("tx_2"), F.abs(F.col("tss_1") - F.col("tss_2")).alias("dist"), F.col("tss_rank_1").alias("rank_1"), F.col("tss_rank_2").alias("rank_2"))
+    a, b = (side.select("gene_id", "salt", *(F.col(c).alias(f"{c}_{i}") for c in ("transcript_id", "tss", "tss_rank", "asked"))) for i, side in ((1, left), (2, right)))
+    lower = F.struct("tss_rank_1", "transcript_id_1", "tss_1") < F.struct(F.col("tss_rank_2").alias("tss_rank_1"), F.col("transcript_id_2").alias("transcript_id_1"), F.col("tss_2").alias("tss_1"))
+    # A pair of two asked transcripts is met from both sides and kept from the lower one.
+    met = a.join(b, ["gene_id", "salt"]).where((F.col("transcript_id_1") != F.col("transcript_id_2")) | (F.col("tss_1") != F.col("tss_2"))).where(lower | ~F.col("asked_2"))
+    first, second = (lambda c, i=i: F.when(lower, F.col(f"{c}_{i}")).otherwise(F.col(f"{c}_{3 - i}")) for i in (1, 2))
+    return met.select("gene_id", first("transcript_id").alias("tx_1"), second("transcript_id").alias("tx_2"), F.abs(F.col("tss_1") - F.col("tss_2")).alias("dist"), first("tss_rank").alias("rank_1"), second("tss_rank").alias("rank_2"))
 
 
 @operator("AGG-08", group="aggregate")
@@ -141,10 +167,9 @@ def tss_numbering(rows: DataFrame) -> DataFrame:
     """(gene_id, transcript_id, tss_number, dist_to_first_tss, nb_tss): dense rank of start sites 5' to 3' in each gene."""
     from locusframe.operators.project import transcripts_by_tss
 
-    ranked = transcripts_by_tss(rows)
-    order, whole = Window.partitionBy("gene_id").orderBy("tss_rank"), Window.partitionBy("gene_id")
-    first = F.first("tss").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return ranked.select("gene_id", "transcript_id", F.col("tss_rank").alias("tss_number"), F.abs(F.col("tss") - first).alias("dist_to_first_tss"), F.max("tss_rank").over(whole).alias("nb_tss"))
+    ranked = cut(transcripts_by_tss(rows))
+    genes = ranked.groupBy("gene_id").agg(F.min(F.struct("tss_rank", "tss"))["tss"].alias("first"), F.max("tss_rank").alias("nb_tss"))
+    return ranked.join(genes, "gene_id").select("gene_id", "transcript_id", F.col("tss_rank").alias("tss_number"), F.abs(F.col("tss") - F.col("first")).alias("dist_to_first_tss"), "nb_tss")
 
 
 @operator("ORD-04", group="order")

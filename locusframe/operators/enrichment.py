@@ -9,78 +9,125 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.functions.statistics import beta_pvalue, negbin_fit_quality, negbin_log10_pvalue
-from locusframe.operators.intervals import lengths_and_gaps, merge, sweep
+from locusframe.functions.statistics import beta_pvalue, negbin_columns, negbin_fit_quality, negbin_log10_pvalue
+from locusframe.model import bed, value
+from locusframe.operators.blocks import BLOCK, carried
+from locusframe.operators.intervals import ends, exclude_concatenate, exclude_sizes, intergenic, introns, lengths_and_gaps, merge, slop, sweep, uncovered
 from locusframe.registry import operator
 from locusframe.session import cut
 
-#: Width of a step of the Markov model and its order.
+#: Shuffles of one analysis.
+SHUFFLES = 200
+#: Width of a step of the Markov model, tasks that the shuffles of a chromosome are spread over, and steps of a chain
+#: after which it starts anew.
 MARKOV_STEP = 1000
+MARKOV_SLICES = 16
+MARKOV_CHAIN = 1 << 16
+#: Parts of a permutation are ranked in hash blocks of about so many.
+PERMUTED = 1 << 17
 
 
-def _drawn(seed: int, *columns: str) -> Column:
-    return F.xxhash64(*(F.col(c) for c in columns), F.lit(seed))
+def _permuted(parts: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """Parts with `place`, from 0: their rank in the order of a seeded hash, within `by`; `many` is the group's number of parts.
+
+    A group is cut by its hashes into blocks of about PERMUTED parts: no task orders more than that.
+    """
+    wide = 1 << 53
+    drawn = F.pmod(F.xxhash64("shuffle", "number", F.lit(seed)), F.lit(wide))
+    block = F.floor(F.col("__u") / wide * F.ceil(F.col("many") / PERMUTED)).cast("bigint")
+    cut_up = parts.withColumn("__u", drawn).withColumn("__block", block)
+    offsets = carried(cut_up, by, "__block", __before=F.lit(1))
+    rank = F.row_number().over(Window.partitionBy(*by, "__block").orderBy("__u", "number"))
+    return cut_up.withColumn("__rank", rank).join(offsets, [*by, "__block"]).withColumn("place", F.col("__before") + F.col("__rank") - 1).drop("__u", "__block", "__before", "__rank")
 
 
 @operator("OLO-03", group="enrichment")
-def shuffled(a: DataFrame, sizes: DataFrame, shuffles: int, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
+def shuffled(a: DataFrame, sizes: DataFrame, shuffles: int = SHUFFLES, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, shuffle, chrom, start, end): the merged intervals of a, lengths and gaps permuted apart per chromosome and shuffle.
 
-    The permutations are orders by a seeded hash, the same on any partitioning; positions are running sums. Work is
-    spread over (keys, shuffle, chromosome).
+    The permutations are orders by a seeded hash, the same on any partitioning; positions are running sums. Neither the
+    orders nor the sums put a whole chromosome in one task. The gap to the chromosome's end takes part in the permutation.
     """
-    parts = lengths_and_gaps(a, sizes, keys).withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
+    own = cut(lengths_and_gaps(a, sizes, keys))
+    many = own.groupBy(*keys, "chrom").agg(F.count(F.lit(1)).alias("many"))
+    parts = own.join(many, [*keys, "chrom"]).withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
     by = [*keys, "shuffle", "chrom"]
-    one = Window.partitionBy(*by)
-    lengths = parts.where("length IS NOT NULL").select(*by, "length", F.row_number().over(one.orderBy(_drawn(seed, "shuffle", "number"), "number")).alias("__k"))
-    gaps = parts.select(*by, "gap", F.row_number().over(one.orderBy(_drawn(seed + 1, "shuffle", "number"), "number")).alias("__k"))
-    placed = lengths.join(gaps, [*by, "__k"])
-    end = F.sum(F.col("length") + F.col("gap")).over(one.orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return placed.select(*by, (end - F.col("length")).alias("start"), end.alias("end"))
+    lengths = _permuted(parts.where("length IS NOT NULL").select(*by, "number", "many", "length"), by, seed)
+    gaps = _permuted(parts.select(*by, "number", "many", "gap"), by, seed + 1)
+    placed = lengths.select(*by, "place", "length").join(gaps.select(*by, "place", "gap"), [*by, "place"])
+    block = placed.withColumn("__block", F.floor(F.col("place") / BLOCK).cast("bigint"))
+    inside = Window.partitionBy(*by, "__block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = block.withColumn("__own", F.sum(F.col("length") + F.col("gap")).over(inside)).join(carried(block, by, "__block", __before=F.col("length") + F.col("gap")), [*by, "__block"])
+    end = F.col("__before") + F.col("__own")
+    return summed.select(*by, (end - F.col("length")).alias("start"), end.alias("end"))
 
 
 @operator("OLO-04", group="enrichment")
-def markov_shuffled(a: DataFrame, sizes: DataFrame, shuffles: int, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
+def markov_shuffled(a: DataFrame, sizes: DataFrame, shuffles: int = SHUFFLES, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
     """As shuffled, with lengths and gaps drawn from a second-order Markov model of those of the chromosome.
 
-    Lengths are rounded up to a step, the next one is drawn by the two before it, uniform noise undoes the rounding.
-    One chromosome of one shuffle is one task: the chain is sequential.
+    Lengths are rounded up to a step, the next one is drawn by the two before it, uniform noise undoes the rounding (but
+    for the first two). The model of a chromosome is sent to MARKOV_SLICES tasks, which share its shuffles; a chain
+    starts anew after MARKOV_CHAIN steps. A chromosome of fewer than 3 intervals has no model and is an error.
     """
     parts = lengths_and_gaps(a, sizes, keys)
-    gathered = parts.groupBy(*keys, "chrom").agg(F.array_sort(F.collect_list(F.struct("number", "length", "gap"))).alias("p"))
-    tasks = gathered.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1)))).repartition("chrom", "shuffle")
+    listed = F.array_sort(F.collect_list(F.struct("number", "length", "gap")))
+    gathered = parts.groupBy(*keys, "chrom").agg(listed.alias("p"))
+    few = F.when(F.size("p") < 4, F.raise_error(F.concat(F.lit("fewer than 3 intervals on "), F.col("chrom"))).cast("bigint"))
+    model = gathered.select(*keys, "chrom", F.filter(F.transform("p", lambda x: F.coalesce(few, x["length"])), lambda n: n.isNotNull()).alias("lengths"), F.transform("p", lambda x: x["gap"]).alias("gaps"))
+    tasks = model.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(min(MARKOV_SLICES, shuffles) - 1)))).repartition(*keys, "chrom", "slice")
 
-    def chain(values: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    def fitted(values: np.ndarray) -> tuple[np.ndarray, dict]:
         states = -(-values // MARKOV_STEP)
         following: dict[tuple[int, int], list[int]] = {}
-        for x, y, z in zip(states, states[1:], states[2:], strict=False):
-            following.setdefault((int(x), int(y)), []).append(int(z))
-        out = list(rng.choice(states, 2))
-        while len(out) < n:
-            out.append(int(rng.choice(following.get((int(out[-2]), int(out[-1])), states))))
-        drawn = np.array(out[:n], dtype=np.int64) * MARKOV_STEP
-        return np.maximum(drawn - rng.integers(0, MARKOV_STEP, n), 0)
+        for x, y, z in zip(states.tolist(), states[1:].tolist(), states[2:].tolist(), strict=False):
+            following.setdefault((x, y), []).append(z)
+        return states, following
+
+    def chain(model: tuple[np.ndarray, dict], n: int, rng: np.random.Generator) -> np.ndarray:
+        states, following = model
+        out: list[int] = []
+        for begun in range(0, n, MARKOV_CHAIN):
+            x, y = rng.choice(states, 2).tolist()
+            one = [x, y]
+            for u in rng.random(max(0, min(MARKOV_CHAIN, n - begun) - 2)):
+                options = following.get((x, y), states)
+                x, y = y, int(options[int(u * len(options))])
+                one.append(y)
+            out += one[: n - begun]
+        noise = np.around(rng.random(n) * (MARKOV_STEP - 1)).astype(np.int64)
+        noise[:2] = 0
+        return np.maximum(np.array(out, np.int64) * MARKOV_STEP - noise, 0)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for *own, chrom, shuffle, p in batch[[*keys, "chrom", "shuffle", "p"]].itertuples(index=False, name=None):
-                rng = np.random.default_rng([seed, int(shuffle), *map(ord, "|".join([*map(str, own), chrom]))])
-                lengths = np.array([x["length"] for x in p if x["length"] is not None and not pd.isna(x["length"])], np.int64)
-                gaps = np.array([x["gap"] for x in p], np.int64)
-                ends = np.cumsum(chain(gaps, len(lengths), rng) + (new := np.maximum(chain(lengths, len(lengths), rng), 1)))
-                out.append(pd.DataFrame(dict(zip(keys, own, strict=True)) | {"shuffle": shuffle, "chrom": chrom, "start": ends - new, "end": ends}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=[*keys, "shuffle", "chrom", "start", "end"])
+            for *own, chrom, part, lengths, gaps in batch[[*keys, "chrom", "slice", "lengths", "gaps"]].itertuples(index=False, name=None):
+                of_lengths, of_gaps = fitted(np.asarray(lengths, np.int64)), fitted(np.asarray(gaps, np.int64))
+                for shuffle in range(part, shuffles, MARKOV_SLICES):
+                    rng = np.random.default_rng([seed, shuffle, *map(ord, "|".join([*map(str, own), chrom]))])
+                    new = np.maximum(chain(of_lengths, len(lengths), rng), 1)
+                    stops = np.cumsum(chain(of_gaps, len(lengths), rng) + new)
+                    yield pd.DataFrame(dict(zip(keys, own, strict=True)) | {"shuffle": shuffle, "chrom": chrom, "start": stops - new, "end": stops})
 
     fields = [f"{k} {a.schema[k].dataType.simpleString()}" for k in keys]
     return tasks.mapInPandas(run, ", ".join([*fields, "shuffle int, chrom string, start bigint, end bigint"]))
 
 
-def _counted(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, s): merged overlaps and overlapping bases; adjacent segments of one place count once."""
-    order = Window.partitionBy(*keys, "chrom").orderBy("start")
-    new = F.coalesce((F.col("start") != F.lag("end").over(order)).cast("int"), F.lit(1))
-    return segments.withColumn("__new", new).groupBy(*keys).agg(F.sum("__new").alias("n"), F.sum(F.col("end") - F.col("start")).alias("s")) if keys else segments.withColumn("__new", new).agg(F.coalesce(F.sum("__new"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("s"))
+@operator("WIN-05", group="enrichment")
+def merged_overlaps(segments: DataFrame, keys: list[str], now: Column, earlier: Column, **measures: Column) -> DataFrame:
+    """(keys, n, s): merged overlaps and overlapping bases of a sweep's segments; adjacent segments of one place count once.
+
+    `now` tells whether a segment counts, `earlier` whether what lies just before it did: an overlap begins where only the
+    first holds, so nothing has to be ordered. Without keys one row comes out, with 0 where there is none.
+    """
+    n, s = F.count(F.when(now & ~earlier, 1)), F.sum(F.when(now, F.col("end") - F.col("start")))
+    return segments.groupBy(*keys).agg(n.alias("n"), F.coalesce(s, F.lit(0)).cast("bigint").alias("s"), *(v.alias(k) for k, v in measures.items()))
+
+
+def _overlapping(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Merged overlaps of a sweep of two sets."""
+    now, earlier = ((F.col(c)[0] > 0) & (F.col(c)[1] > 0) for c in ("flags", "before"))
+    return merged_overlaps(segments.where(now), keys, now, earlier)
 
 
 def _for_each_set(a: DataFrame, sets: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -88,18 +135,16 @@ def _for_each_set(a: DataFrame, sets: DataFrame, keys: tuple[str, ...]) -> DataF
     return a.join(sets.select(*keys, "chrom").distinct(), "chrom")
 
 
-def _both_open(segments: DataFrame) -> DataFrame:
-    return segments.where((F.col("flags")[0] > 0) & (F.col("flags")[1] > 0))
+@operator("OLO-06", group="enrichment")
+def true_overlap(a: DataFrame, sets: DataFrame, keys: tuple[str, ...] = (), merged: bool = False) -> DataFrame:
+    """(keys, n, s): number of merged overlaps of a with each set, and their bases; both are merged first and written.
 
-
-@operator("OLO-06", "WIN-05", group="enrichment")
-def true_overlap(a: DataFrame, sets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, n, s): number of merged overlaps of a with each set, and their bases; both are merged first.
+    merged: they are already, and cheap to read again.
 
     With keys, sets without any overlap come out with 0.
     """
-    left, right = cut(merge(a)), cut(merge(sets, keys))
-    found = _counted(_both_open(sweep([_for_each_set(left, right, keys), right], keys)), list(keys))
+    left, right = (a, sets) if merged else (cut(merge(a)), cut(merge(sets, keys)))
+    found = _overlapping(sweep([_for_each_set(left, right, keys), right], keys), list(keys))
     if not keys:
         return found
     every = sets.select(*keys).distinct().join(found, list(keys), "left")
@@ -107,18 +152,18 @@ def true_overlap(a: DataFrame, sets: DataFrame, keys: tuple[str, ...] = ()) -> D
 
 
 @operator("OLO-05", group="enrichment")
-def shuffle_overlaps(a: DataFrame, sets: DataFrame, sizes: DataFrame, shuffles: int, seed: int = 42, markov: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+def shuffle_overlaps(a: DataFrame, sets: DataFrame, sizes: DataFrame, shuffles: int = SHUFFLES, seed: int = 42, markov: bool = False, keys: tuple[str, ...] = (), merged: bool = False) -> DataFrame:
     """(keys, shuffle, n, s): overlaps of independently shuffled a and sets, on chromosomes that both have; 0 where there is none.
 
     All sets and shuffles go through one sweep keyed by them. The merged sets and the shuffled ones are written to the
     shared folder, as the sweep reads each of them several times.
     """
     model: Callable = markov_shuffled if markov else shuffled
-    left, right = cut(merge(a)), cut(merge(sets, keys))
+    left, right = (a, sets) if merged else (cut(merge(a)), cut(merge(sets, keys)))
     one = cut(model(left.join(right.select("chrom").distinct(), "chrom", "left_semi"), sizes, shuffles, seed))
     two = cut(model(right.join(left.select("chrom").distinct(), "chrom", "left_semi"), sizes, shuffles, seed + 1000, keys))
     by = [*keys, "shuffle"]
-    found = _counted(_both_open(sweep([_for_each_set(one, two, keys), two], tuple(by))), by)
+    found = _overlapping(sweep([_for_each_set(one, two, keys), two], tuple(by)), by)
     numbers = F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("shuffle")
     every = (right.select(*keys).distinct() if keys else a.sparkSession.range(1)).select(*keys, numbers)
     return every.join(found, by, "left").select(*by, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("s", F.lit(0)).cast("bigint").alias("s"))
@@ -128,7 +173,13 @@ def shuffle_overlaps(a: DataFrame, sets: DataFrame, sizes: DataFrame, shuffles:
 MEASURES = {"n": "nb_intersections", "s": "summed_bp_overlaps"}
 
 
-@operator("OLO-01", "OLO-02", "OLO-07", "OLO-08", "OLO-09", "OLO-10", "SNK-08", group="enrichment")
+def statistics_columns() -> list[str]:
+    """Columns of the result table, after its keys."""
+    names = [f"{long}_{x}" for long in MEASURES.values() for x in ("expectation_shuffled", "variance_shuffled", "negbinom_fit_quality", "log2_fold_change", "true", "pvalue", "log10_pvalue", "empirical_pvalue")]
+    return [*names, "beta_summed_bp_overlaps_pvalue"]
+
+
+@operator("OLO-07", "OLO-08", "OLO-09", "OLO-10", group="enrichment")
 def enrichment(per_shuffle: DataFrame, true: DataFrame, keys: list[str]) -> DataFrame:
     """Statistics per set: expectation, variance, fit quality, log2 fold change, true value, p-values of both measures.
 
@@ -139,8 +190,7 @@ def enrichment(per_shuffle: DataFrame, true: DataFrame, keys: list[str]) -> Data
     """
     gathered = per_shuffle.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("shuffle", "n", "s"))).alias("runs"))
     joined = true.select(*keys, F.col("n").alias("n_true"), F.col("s").alias("s_true")).join(gathered, keys, "left")
-    names = [f"{long}_{x}" for long in MEASURES.values() for x in ("expectation_shuffled", "variance_shuffled", "negbinom_fit_quality", "log2_fold_change", "true", "pvalue", "log10_pvalue", "empirical_pvalue")]
-    names.append("beta_summed_bp_overlaps_pvalue")
+    names = statistics_columns()
 
     def row(n_true: int, s_true: int, runs) -> list[float]:
         out: list[float] = []
@@ -167,91 +217,188 @@ def enrichment(per_shuffle: DataFrame, true: DataFrame, keys: list[str]) -> Data
     return joined.mapInPandas(run, schema)
 
 
+@operator("OLO-02", group="enrichment")
+def compared_with(query: DataFrame, sets: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ("feature_type",), shuffles: int = SHUFFLES, seed: int = 42, markov: bool = False, excluded: DataFrame | None = None, included: DataFrame | None = None) -> DataFrame:
+    """Statistics of the overlaps of a query with every set (keys, chrom, start, end), against shuffled ones.
+
+    What is on chromosomes without size drops out. excluded regions (or all but the included ones) are cut out of the
+    query, the sets and the chromosomes, which close up. With fewer than 2 regions in the query nothing can be shuffled:
+    all statistics are 0 and all p-values and fit qualities -1.
+    """
+    if included is not None:
+        if excluded is not None:
+            raise ValueError("regions can be excluded or included, not both")
+        excluded = complement(included, sizes)
+    known = sizes.select("chrom")
+    query, sets = (x.join(known, "chrom", "left_semi") for x in (query.select("chrom", "start", "end"), sets.select(*keys, "chrom", "start", "end")))
+    if excluded is not None:
+        holes = cut(merge(excluded))
+        query, sets, sizes = exclude_concatenate(merge(query), holes), exclude_concatenate(merge(sets, keys), holes), exclude_sizes(sizes, holes)
+    query, sets = cut(merge(query)), cut(merge(sets, keys))
+    if query.limit(2).count() < 2:
+        nothing = {n: F.lit(-1.0 if n.endswith(("pvalue", "quality")) and "log10" not in n else float("nan") if "log10" in n else 0.0) for n in statistics_columns()}
+        return sets.select(*keys).distinct().select(*keys, *(v.alias(n) for n, v in nothing.items()))
+    return enrichment(shuffle_overlaps(query, sets, sizes, shuffles, seed, markov, keys, merged=True), true_overlap(query, sets, keys, merged=True), list(keys))
+
+
+def annotation_sets(rows: DataFrame, sizes: DataFrame, upstream: int = 1000, downstream: int = 1000, features: bool = True, more_keys: tuple[str, ...] = ()) -> DataFrame:
+    """(feature_type, chrom, start, end): the region sets of an annotation table, on chromosomes that have a size.
+
+    features: one set per feature; if there are gene and transcript rows, also Intergenic, Introns, Promoters and
+    Terminator (the ends of stranded transcripts, extended). more_keys: one set `key:value` per value of these keys.
+    """
+    own = rows.join(sizes.select(F.col("chrom").alias("seqid")), "seqid", "left_semi")
+    span = ["chrom", "start", "end"]
+    keyed = F.array(*([F.col("feature")] if features else []), *(F.when(value(k).isNotNull() & ~value(k).isin(".", "?"), F.concat(F.lit(f"{k}:"), value(k))) for k in more_keys))
+    each = own.select(F.explode(keyed).alias("feature_type"), F.col("seqid").alias("chrom"), (F.col("start") - 1).alias("start"), "end").where("feature_type IS NOT NULL")
+    if not features or own.where("feature = 'gene'").isEmpty() or own.where("feature = 'transcript'").isEmpty():
+        return each
+    stranded = own.where(F.col("strand").isin("+", "-"))
+    derived = {"Intergenic": intergenic(own, sizes), "Introns": introns(own, by_transcript=False), "Promoters": slop(ends(stranded), sizes, upstream, downstream), "Terminator": slop(ends(stranded, three_prime=True), sizes, upstream, downstream)}
+    for name, regions in derived.items():
+        each = each.unionByName(regions.select(F.lit(name).alias("feature_type"), *span))
+    return each
+
+
+@operator("OLO-01", group="enrichment")
+def annotation_enrichment(query: DataFrame, rows: DataFrame | None, sizes: DataFrame, upstream: int = 1000, downstream: int = 1000, features: bool = True, more_keys: tuple[str, ...] = (), more_sets: dict[str, DataFrame] | None = None, **options) -> DataFrame:
+    """Where a query's regions lie in an annotation: statistics per region set of annotation_sets and of one's own sets.
+
+    more_sets: further sets by name. options: shuffles, seed, markov, excluded, included, as in compared_with.
+    """
+    sets = None if rows is None else annotation_sets(rows, sizes, upstream, downstream, features, more_keys)
+    for name, regions in (more_sets or {}).items():
+        one = regions.select(F.lit(name).alias("feature_type"), "chrom", "start", "end")
+        sets = one if sets is None else sets.unionByName(one)
+    if sets is None:
+        raise ValueError("an annotation or sets of one's own are needed")
+    return compared_with(query, sets, sizes, **options)
+
+
 @operator("OLO-17", group="enrichment")
 def complement(included: DataFrame, sizes: DataFrame) -> DataFrame:
     """(chrom, start, end): what inclusion regions leave out of the chromosomes, to be excluded."""
-    spans = lengths_and_gaps(merge(included), sizes)
-    order = Window.partitionBy("chrom").orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("gap") + F.coalesce("length", F.lit(0))).over(order)
-    inner = spans.withColumn("e", end - F.coalesce("length", F.lit(0))).where("gap > 0").select("chrom", (F.col("e") - F.col("gap")).alias("start"), F.col("e").alias("end"))
-    untouched = sizes.join(included.select("chrom").distinct(), "chrom", "left_anti").select("chrom", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
-    return inner.unionByName(untouched)
+    return uncovered(included, sizes)
+
+
+def _matches(asked: str, opened: str, exact: bool) -> Column:
+    """A flag vector holds a combination: just its sets, or at least these."""
+    return F.col(asked) == F.col(opened) if exact else F.forall(F.zip_with(asked, opened, lambda q, c: (q == 0) | (c == 1)), lambda x: x)
 
 
 @operator("OLO-11", "OLO-12", "OLO-13", group="enrichment")
-def combination_overlaps(segments: DataFrame, labels: list[str], keys: list[str] | None = None, exact: bool = False, most: int | None = None) -> DataFrame:
+def combination_overlaps(segments: DataFrame, labels: list[str], keys: list[str] | None = None, exact: bool = False, most: int | None = None, combinations: list[tuple[int, ...]] | None = None) -> DataFrame:
     """(keys, combination, combination_order, n, s) of an N-way sweep: the first set is the query and always open.
 
-    Segments are summed up by their open sets first, so combinations are compared with distinct flag vectors, not with
-    segments. Inexact combinations count every segment where at least their sets are open, and are labelled `+ ...`;
-    exact ones need just these. `most` limits the size of combinations asked for.
+    Segments are first summed up by the sets that are open in them and just before them, so combinations are compared with
+    distinct flag vectors, not with segments. Inexact combinations count every segment where at least their sets are
+    open, and are labelled `+ ...`; exact ones need just these. Asked for are the combinations that occur, of `most` sets
+    at most, or those given as 0/1 vectors (the query counts as open), which come out even if they never occur.
     """
     by = list(keys or [])
-    bits = F.transform("flags", lambda x: (x > 0).cast("int"))
-    own = segments.withColumn("open", bits).where((F.col("open")[0] == 1) & (F.aggregate("open", F.lit(0), lambda a, x: a + x) > 1))
-    asked = own.select(F.col("open").alias("asked")).distinct()
+    bits = {c: F.transform(f, lambda x: (x > 0).cast("int")) for c, f in (("open", "flags"), ("earlier", "before"))}
+    summed = segments.select(*by, (F.col("end") - F.col("start")).alias("length"), *(v.alias(c) for c, v in bits.items())).groupBy(*by, "open", "earlier").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("s"))
+    summed = summed.where((F.col("open")[0] == 1) & (F.aggregate("open", F.lit(0), lambda a, x: a + x) > 1))
     size = F.aggregate("asked", F.lit(0), lambda a, x: a + x)
-    asked = asked if most is None else asked.where(size <= most)
-    patterns = own.select("open").distinct()
-    # Distinct flag vectors meet by an equality on the last set of the combination, which the segment must have open.
-    last = F.array_max(F.transform("asked", lambda x, i: F.when(x == 1, i)))
-    if exact:
-        pairs = asked.join(patterns.withColumn("asked", F.col("open")), "asked")
+    if combinations is None:
+        asked = summed.select(F.col("open").alias("asked")).distinct()
+        asked = asked if most is None else asked.where(size <= most)
     else:
-        opened = patterns.select("open", F.explode(F.filter(F.transform("open", lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())).alias("last"))
-        pairs = asked.withColumn("last", last).join(opened, "last").where(F.forall(F.zip_with("asked", "open", lambda q, c: (q == 0) | (c == 1)), lambda x: x)).drop("last")
-    met = own.join(pairs, "open")
-    counted = _counted(met, [*by, "asked"])
+        asked = segments.sparkSession.createDataFrame([([1, *map(int, c[1:])],) for c in dict.fromkeys(map(tuple, combinations))], "asked array<int>").distinct()
+    # Flag vectors meet combinations by an equality on the last set of the combination, which the vector must have open.
+    opened = summed.select("open").distinct().select("open", F.explode(F.filter(F.transform("open", lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())).alias("last"))
+    pairs = asked.withColumn("last", F.array_max(F.transform("asked", lambda x, i: F.when(x == 1, i)))).join(opened, "last").where(_matches("asked", "open", exact)).drop("last")
+    counted = summed.join(pairs, "open").groupBy(*by, "asked").agg(F.coalesce(F.sum(F.when(~_matches("asked", "earlier", exact), F.col("n"))), F.lit(0)).alias("n"), F.sum("s").alias("s"))
+    if combinations is not None:
+        every = segments.select(*by, F.explode(F.array(*[F.array(*[F.lit(int(x)) for x in [1, *c[1:]]]) for c in dict.fromkeys(map(tuple, combinations))])).alias("asked")).distinct() if by else asked
+        counted = every.join(counted, [*by, "asked"], "left").select(*by, "asked", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "s")))
     names = F.array(*[F.lit(x) for x in labels])
     shown = F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(labels) - 1)), lambda i: F.when(F.get("asked", i) == 1, F.get(names, i))), lambda x: x.isNotNull())
     label = F.concat(F.lit("["), F.array_join(shown, " + "), F.lit("]" if exact else " + ... ]"))
-    return counted.select(*by, label.alias("combination"), size.alias("combination_order"), "n", "s")
+    return counted.select(*by, label.alias("combination"), size.alias("combination_order"), F.col("n").cast("bigint").alias("n"), F.col("s").cast("bigint").alias("s"))
+
+
+def combination_enrichment(query: DataFrame, sets: dict[str, DataFrame], sizes: DataFrame, shuffles: int = SHUFFLES, seed: int = 42, exact: bool = False, most: int | None = None, combinations: list[tuple[int, ...]] | None = None, markov: bool = False) -> DataFrame:
+    """Statistics per combination of sets that overlap the query together, against independently shuffled query and sets.
+
+    combinations: those to be tested, for example the words of a learned dictionary (operators.mining); else all that
+    occur in the data. The shuffled sets are written to the shared folder.
+    """
+    model: Callable = markov_shuffled if markov else shuffled
+    merged = [cut(merge(x.join(sizes.select("chrom"), "chrom", "left_semi"))) for x in (query, *sets.values())]
+    labels = ["Query", *sets]
+    true = cut(combination_overlaps(sweep(merged, least=1), labels, exact=exact, most=most, combinations=combinations))
+    drawn = [cut(model(x, sizes, shuffles, seed + 1000 * i)) for i, x in enumerate(merged)]
+    asked = combinations or [tuple(int(n in ("Query", *r["combination"].strip("[]").replace(" + ... ", "").split(" + "))) for n in labels) for r in true.select("combination").collect()]
+    if not asked:
+        return enrichment(true.select("combination", F.lit(0).alias("shuffle"), "n", "s"), true, ["combination"]).withColumn("combination_order", F.lit(0))
+    runs = combination_overlaps(sweep(drawn, ("shuffle",), least=1), labels, ["shuffle"], exact, None, asked)
+    stats = enrichment(runs, true, ["combination"])
+    return stats.join(true.select("combination", "combination_order"), "combination")
 
 
 @operator("OLO-14", group="enrichment")
 def merged_runs(runs: DataFrame, keys: list[str], shuffles: str = "n_shuffles") -> DataFrame:
     """Combine runs of one analysis: moments weighted by each run's shuffles, fold changes and p-values computed again.
 
-    runs: keys, n_shuffles and, per measure, expectation_shuffled, variance_shuffled and true. Order-free.
+    runs: keys, n_shuffles and, per measure, expectation_shuffled, variance_shuffled and true; empirical and Beta p-values,
+    if there are any, are averaged by shuffles. Fit qualities of merged runs are -1. Order-free.
     """
-    out = None
+    n = F.col(shuffles)
+    total = F.sum(n)
+    kept = [c for c in runs.columns if c.endswith("empirical_pvalue") or c.startswith("beta_")]
+    columns = [total.alias(shuffles), *((F.sum(n * F.col(c)) / total).alias(c) for c in kept)]
     for long in MEASURES.values():
-        n, mean, var = F.col(shuffles), F.col(f"{long}_expectation_shuffled"), F.col(f"{long}_variance_shuffled")
-        total = F.sum(n)
-        squares = F.sum((n - 1) * var + n * mean * mean)
-        centre = F.sum(n * mean) / total
-        part = runs.groupBy(*keys).agg(total.alias("__n"), centre.alias(f"{long}_expectation_shuffled"), ((squares - total * centre * centre) / (total - 1)).alias(f"{long}_variance_shuffled"), F.max(f"{long}_true").alias(f"{long}_true"))
-        mean_c, true_c = F.col(f"{long}_expectation_shuffled"), F.col(f"{long}_true")
-        change = F.when(mean_c == 0, true_c.cast("double")).otherwise(true_c / mean_c)
-        part = part.withColumn(f"{long}_log2_fold_change", F.when(change == 0, 0.0).otherwise(F.log2(change)))
-        out = part if out is None else out.join(part.drop("__n"), keys)
-    return out.withColumnRenamed("__n", shuffles)
+        mean, var = F.col(f"{long}_expectation_shuffled"), F.col(f"{long}_variance_shuffled")
+        columns += [(F.sum(n * mean) / total).alias(f"{long}_expectation_shuffled"), F.sum((n - 1) * var + n * mean * mean).alias(f"__{long}"), F.max(f"{long}_true").alias(f"{long}_true")]
+    out = runs.groupBy(*keys).agg(*columns)
+    for long in MEASURES.values():
+        mean, true = F.col(f"{long}_expectation_shuffled"), F.col(f"{long}_true").cast("double")
+        out = out.withColumn(f"{long}_variance_shuffled", (F.col(f"__{long}") - F.col(shuffles) * mean * mean) / (F.col(shuffles) - 1)).drop(f"__{long}")
+        change = F.when(mean == 0, true).otherwise(true / mean)
+        p, log10 = negbin_columns(true, mean, F.col(f"{long}_variance_shuffled"))
+        out = out.withColumns({f"{long}_log2_fold_change": F.when(change == 0, 0.0).otherwise(F.log2(change)), f"{long}_pvalue": p, f"{long}_log10_pvalue": log10, f"{long}_negbinom_fit_quality": F.lit(-1.0)})
+    return out
+
+
+#: Fixed value: -log10 of what a p-value of 0 is shown as.
+LEAST_SHOWN = 320.0
 
 
 @operator("OLO-15", group="enrichment")
 def stacked_runs(runs: dict[str, DataFrame], pvalue: str = "summed_bp_overlaps_pvalue") -> DataFrame:
-    """Runs below each other with their label; -1 p-values become null, 0 the least shown one; with -log10."""
+    """Runs below each other with their label and -log10 of the p-value; -1 becomes null, 0 is shown as 1e-320.
+
+    1e-320 is no normal double: the column `minus_log10_pvalue` is exact, the p-value itself the nearest double.
+    """
     out = None
     for name, run in runs.items():
         part = run.withColumn("run", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    p = F.when(F.col(pvalue) == -1, None).when(F.col(pvalue) == 0, F.lit(1e-307)).otherwise(F.col(pvalue))
-    return out.withColumns({pvalue: p, "minus_log10_pvalue": -F.log10(p)})
+    p = F.col(pvalue)
+    shown = F.when(p == -1, None).when(p == 0, F.lit(LEAST_SHOWN)).otherwise(-F.log10(p))
+    return out.withColumns({"minus_log10_pvalue": shown, pvalue: F.when(p == -1, None).when(p == 0, F.lit("1e-320").cast("double")).otherwise(p)})
 
 
-@operator("OLO-16", "ORD-04", group="enrichment")
+@operator("OLO-16", group="enrichment")
 def combination_tree(combinations: DataFrame, top: int | None = None, least_inheritance: float | None = None) -> DataFrame:
     """(parent, child, inheritance): each combination below the nearest combinations that it contains.
 
     combinations: sets ARRAY<STRING>, s. Only a few dozen combinations are worth drawing; `top` keeps those of most bases.
+    Combinations that contain no other hang below the root `Query`, without inheritance, unless they are that themselves. Those that have
+    less than least_inheritance of a parent's bases leave it.
     """
     own = combinations if top is None else combinations.orderBy(F.desc("s"), F.array_join("sets", "+")).limit(top)
     up, down = own.select(F.col("sets").alias("parent"), F.col("s").alias("s_parent")), own.select(F.col("sets").alias("child"), F.col("s").alias("s_child"))
-    # Containing combinations share each of their sets: joined on the parent's first set, which the child must have.
-    met = up.withColumn("one", F.array_min("parent")).join(down.withColumn("one", F.explode("child")), "one").drop("one")
+    # Containing combinations share each of their sets: joined on the parent's rarest set, which the child must have.
+    spread = own.select(F.explode("sets").alias("one")).groupBy("one").agg(F.count(F.lit(1)).alias("often"))
+    rarest = up.select("parent", F.explode("parent").alias("one")).join(spread, "one").groupBy("parent").agg(F.min_by("one", F.struct("often", "one")).alias("one"))
+    met = up.join(rarest, "parent").join(down.withColumn("one", F.explode("child")), "one").drop("one")
     inside = met.where((F.size("parent") < F.size("child")) & (F.size(F.array_except("parent", "child")) == 0))
     ratio = F.when(F.col("s_parent") > 0, F.col("s_child") / F.col("s_parent"))
-    inside = inside.withColumn("inheritance", ratio)
-    inside = inside if least_inheritance is None else inside.where(F.col("inheritance") >= least_inheritance)
     nearest = F.rank().over(Window.partitionBy("child").orderBy(F.size("child") - F.size("parent")))
-    return inside.withColumn("r", nearest).where("r = 1").select("parent", "child", "inheritance")
+    found = inside.withColumns({"inheritance": ratio, "r": nearest}).where("r = 1").select("parent", "child", "inheritance")
+    root = F.array(F.lit("Query"))
+    loose = own.select(F.col("sets").alias("child")).where(F.col("child") != root).join(found.select("child"), "child", "left_anti")
+    found = found if least_inheritance is None else found.where(F.col("inheritance") >= least_inheritance)
+    return found.unionByName(loose.select(root.alias("parent"), "child", F.lit(None).cast("double").alias("inheritance")))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.model import attr, bed, value
+from locusframe.operators.blocks import block_of, carried, ranked_places, rank_upto, summed_before
 from locusframe.operators.periods import periods_and_gaps
 from locusframe.registry import operator
-from locusframe.session import cut
+from locusframe.session import cut, drop_cut
 
 #: Width of the bins in which intervals meet; about the length of the usual interval or a small multiple.
 BIN = 1 << 14
@@ -87,69 +88,91 @@ def subtract(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
     return pieces.withColumns({"start": F.col("__x.s"), "end": F.col("__x.e")}).drop("__x", "holes")
 
 
-def _ranked_places(places: DataFrame, block: int = 1 << 20) -> DataFrame:
-    """(chrom, place) distinct -> with its rank from 1 within the chromosome, counted over blocks of places."""
-    cut = places.distinct().withColumn("block", F.floor(F.col("place") / block).cast("bigint"))
-    sizes = cut.groupBy("chrom", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("chrom", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), "n")
-    inside = F.row_number().over(Window.partitionBy("chrom", "block").orderBy("place"))
-    return cut.withColumn("in_block", inside).join(offsets, ["chrom", "block"]).select("chrom", "block", "place", (F.col("offset") + F.col("in_block")).alias("rank"))
+def _sides(rows: DataFrame, lane: Column, of_b: bool, *keep: str) -> DataFrame:
+    """Every interval once per side, (chrom, lane, at, keep): on either side what lies beyond has lower places.
+
+    Left: an interval of b lies at its end, one of a looks back from its start. Right: coordinates are turned round.
+    """
+    left, right = (F.col("end"), -F.col("start")) if of_b else (F.col("start"), -F.col("end"))
+    sides = F.array(*(F.struct(F.concat(lane, F.lit(s)).alias("lane"), v.alias("at")) for s, v in (("<", left), (">", right))))
+    return rows.select("chrom", *(f"`{k}`" for k in keep), F.explode(sides).alias("x")).select("chrom", "x.lane", "x.at", *(f"`{k}`" for k in keep))
 
 
-def _rank_before(probes: DataFrame, ranked: DataFrame, block: int = 1 << 20) -> DataFrame:
-    """(chrom, at) distinct -> with `upto`, the greatest rank of a place <= at (0 if there is none)."""
-    asked = probes.distinct().select("chrom", F.floor(F.col("at") / block).cast("bigint").alias("block"), F.col("at").alias("place"), F.lit(None).cast("bigint").alias("rank"), F.lit(1).alias("probe"))
-    events = ranked.select("chrom", "block", "place", "rank", F.lit(0).alias("probe")).unionByName(asked)
-    running = Window.partitionBy("chrom", "block").orderBy("place", "probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = events.groupBy("chrom", "block").agg(F.max("rank").alias("top"))
-    carried = carried.select("chrom", "block", F.max("top").over(Window.partitionBy("chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
-    seen = events.withColumn("r", F.max("rank").over(running)).where("probe = 1").join(carried, ["chrom", "block"])
-    return seen.select("chrom", F.col("place").alias("at"), F.coalesce("r", "carry", F.lit(0)).alias("upto"))
+def _beside(a: DataFrame, b: DataFrame, k: int, other_name: bool) -> DataFrame:
+    """(rid, chrom, lane, place) for the k nearest places of b at or below `at` of a (rid, chrom, lane, at, name).
+
+    b: chrom, lane, at, name. Places are numbered, so the next ones are found by equality joins. With other_name a place
+    that only has intervals of a's own name is passed over, however many of these there are: they are numbered as well, and
+    the j-th other place has the rank j plus the number of own ones before it.
+    """
+    line = ["chrom", "lane"]
+    places = b.groupBy(*line, F.col("at").alias("place")).agg(F.min("name").alias("low"), F.max("name").alias("high"))
+    ranked = cut(ranked_places(places.select(*line, "place", F.when(F.col("low") == F.col("high"), F.col("low")).alias("name")), line))
+    found = a.join(rank_upto(a, ranked, line), [*line, "at"])
+    down = F.when(F.col("upto") > 0, F.sequence(F.greatest(F.col("upto") - (k - 1), F.lit(1)), F.col("upto")))
+    if not other_name:
+        return found.withColumn("rank", F.explode(down)).join(ranked.drop("name"), [*line, "rank"]).select("rid", *line, "place")
+    named = [*line, "name"]
+    own = cut(ranked_places(ranked.where("name IS NOT NULL").select(*named, F.col("rank").alias("place")), named))
+    probes = found.select("rid", *named, F.col("upto").alias("at"))
+    others = probes.join(rank_upto(probes, own, named), [*named, "at"]).withColumn("upto", F.col("at") - F.col("upto")).drop("at")
+    each = others.withColumn("j", F.explode(down)).withColumn("at", F.col("j") - 1)
+    passed = rank_upto(each, own.withColumn("place", F.col("place") - F.col("rank")), named)
+    return each.drop("upto").join(passed, [*named, "at"]).withColumn("rank", F.col("j") + F.col("upto")).select("rid", *line, "rank").join(ranked.drop("name"), [*line, "rank"]).select("rid", *line, "place")
 
 
 @operator("IV-06", "ORD-03", group="intervals")
 def closest(a: DataFrame, b: DataFrame, k: int = 1, strand: str = "any", other_name: bool = True, width: int = BIN) -> DataFrame:
     """The k nearest intervals of b of each interval of a, ties included: columns of a, of b with `_b`, and distance.
 
-    Distance is 0 on overlap, else the gap plus 1. other_name leaves out those of the same name (names are unique in b).
-    Candidates are the overlapping ones and, on either side, those at the k + 1 nearest distinct places, found by rank:
-    places are numbered along the chromosome, an interval looks up how many precede it and takes the next ones by an
-    equality join. No pair further apart is ever made. a needs a unique rid.
+    Distance is 0 on overlap, else the gap plus 1. other_name leaves out those of the same name and those without one; names may
+    repeat on either side. strand: any, same or opposite; without a strand nothing is on the same or the opposite one.
+    Candidates are the overlapping ones and those at the k nearest places on either side, found by rank: no pair further apart is
+    ever made. Repeated rows of b are neighbours of their own. a needs a unique rid.
     """
-    groups = ["any"] if strand == "any" else ["+", "-"]
-    found = None
-    for g in groups:
-        aa = a if g == "any" else a.where(F.col("strand") == g)
-        bb = b if g == "any" else b.where((F.col("strand") == g) if strand == "same" else (F.col("strand") != g))
-        part = _candidates(aa, bb, k + 1, width)
-        found = part if found is None else found.unionByName(part)
+    if strand != "any":
+        a, b = (x.where(F.col("strand").isin("+", "-")) for x in (a, b))
     if other_name:
-        found = found.where(F.col("name") != F.col("name_b"))
+        a, b = (x.where(F.col("name").isNotNull()) for x in (a, b))
+    own = F.lit("") if strand == "any" else F.col("strand")
+    met = F.lit("") if strand == "any" else F.col("strand") if strand == "same" else F.translate("strand", "+-", "-+")
+    name = ["name"] if other_name else []
+    looking, lying = ((x if other_name else x.withColumn("name", F.lit(None).cast("string"))) for x in (a, b))
+    places = _beside(_sides(looking, own, False, "rid", "name"), _sides(lying, met, True, "name"), k, other_name)
+    rest = [F.col(f"`{c}`").alias(c + "_b") for c in b.columns if c != "chrom"]
+    whole = b.withColumn("__b", F.struct(*rest))
+    there = _sides(whole, met, True, "__b").withColumnRenamed("at", "place")
+    beside = places.join(there, ["chrom", "lane", "place"]).select("rid", "lane", "place", "__b.*").withColumn("__left", F.col("lane").endswith("<")).drop("lane")
+    beside = a.join(beside, "rid").withColumn("distance", F.when(F.col("__left"), F.col("start") - F.col("place")).otherwise(-F.col("end") - F.col("place")) + 1).drop("place", "__left")
+    found = overlap_join(a, b, strand, width).drop("ov_start", "ov_end").withColumn("distance", F.lit(0).cast("bigint")).unionByName(beside)
+    found = found.where(F.col("name") != F.col("name_b")) if name else found
     order = Window.partitionBy("rid").orderBy("distance")
     return found.withColumn("__r", F.rank().over(order)).where(F.col("__r") <= k).drop("__r")
 
 
-def _candidates(a: DataFrame, b: DataFrame, k: int, width: int) -> DataFrame:
-    rest = [F.col(f"`{c}`").alias(c + "_b") for c in b.columns if c != "chrom"]
-    overlapping = overlap_join(a, b, width=width).drop("ov_start", "ov_end").withColumn("distance", F.lit(0).cast("bigint"))
-    upstream = _ranked_places(b.select("chrom", F.col("end").alias("place")))
-    at = _rank_before(a.select("chrom", F.col("start").alias("at")), upstream)
-    ranks = F.sequence(F.greatest(F.col("upto") - (k - 1), F.lit(1)), F.col("upto"))
-    left = a.join(at.withColumnRenamed("at", "start"), ["chrom", "start"]).where("upto > 0").withColumn("rank", F.explode(ranks)).drop("upto")
-    left = left.join(upstream.drop("block"), ["chrom", "rank"]).join(b.select("chrom", F.col("end").alias("place"), *rest), ["chrom", "place"])
-    left = left.withColumn("distance", F.col("start") - F.col("end_b") + 1)
-    downstream = _ranked_places(b.select("chrom", F.col("start").alias("place")))
-    at = _rank_before(a.select("chrom", (F.col("end") - 1).alias("at")), downstream).select("chrom", (F.col("at") + 1).alias("end"), "upto")
-    right = a.join(at, ["chrom", "end"]).withColumn("rank", F.explode(F.sequence(F.col("upto") + 1, F.col("upto") + k))).drop("upto")
-    right = right.join(downstream.drop("block"), ["chrom", "rank"]).join(b.select("chrom", F.col("start").alias("place"), *rest), ["chrom", "place"])
-    right = right.withColumn("distance", F.col("start_b") - F.col("end") + 1)
-    return overlapping.unionByName(left.drop("rank", "place")).unionByName(right.drop("rank", "place"))
+@operator("IV-07", group="intervals")
+def next_beside(a: DataFrame, b: DataFrame, downstream: bool = False, k: int = 1) -> DataFrame:
+    """The k next places of b that do not overlap, upstream or downstream along a's strand: columns of a, of b with `_b`, distance.
+
+    Of intervals at one place the first by (start, end, name) stands for all. The distance is the gap plus 1, -1 and nulls in b's
+    columns where there is none. Without a strand an interval is read like one on +. a needs a unique rid.
+    """
+    turned = (F.col("strand") == "-") != F.lit(downstream)
+    side = F.when(turned, ">").otherwise("<")
+    looking = _sides(a.withColumns({"__side": side, "name": F.lit(None).cast("string")}), F.lit(""), False, "rid", "name", "__side").where(F.col("lane") == F.col("__side")).drop("__side")
+    rest = F.struct(*(F.col(f"`{c}`").alias(c + "_b") for c in ["start", "end", "name", *(x for x in b.columns if x not in ("chrom", "start", "end", "name"))]))
+    first = _sides(b.withColumn("__b", rest), F.lit(""), True, "__b").groupBy("chrom", "lane", F.col("at").alias("place")).agg(F.min("__b").alias("__b"))
+    places = _beside(looking, _sides(b, F.lit(""), True, "name"), k, False)
+    met = places.join(first, ["chrom", "lane", "place"]).select("rid", "lane", "place", "__b.*")
+    gap = F.when(F.col("lane") == "<", F.col("start") - F.col("place")).otherwise(-F.col("end") - F.col("place")) + 1
+    return a.join(met, "rid", "left").withColumn("distance", F.coalesce(gap, F.lit(-1))).drop("lane", "place")
 
 
 @operator("IV-10", group="intervals")
 def sweep(sets: list[DataFrame], shuffle_keys: tuple[str, ...] = (), least: int = 2) -> DataFrame:
-    """Segments where at least so many intervals of all sets together are open: chrom, start, end, flags (open per set).
+    """Segments where at least so many intervals of all sets together are open: chrom, start, end, flags (open per set), before.
+
+    `before` has what was open just before the segment, so adjacent segments can be told without ordering them.
 
     Every interval is an opening and a closing event; counts per place are summed first, then run along the chromosome
     with the block sums carried over, so that no task sees more than one block of places.
@@ -160,16 +183,16 @@ def sweep(sets: list[DataFrame], shuffle_keys: tuple[str, ...] = (), least: int
         marks = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d")))
         e = s.where(F.col("start") < F.col("end")).select(*keys, F.explode(marks).alias("x")).select(*keys, "x.pos", F.lit(i).alias("set"), "x.d")
         events = e if events is None else events.unionByName(e)
-    block = F.floor(F.col("pos") / (1 << 20)).cast("bigint")
-    places = events.groupBy(*keys, "pos").agg(*(F.sum(F.when(F.col("set") == i, F.col("d")).otherwise(0)).alias(f"d{i}") for i in range(n))).withColumn("block", block)
+    places = events.groupBy(*keys, "pos").agg(*(F.sum(F.when(F.col("set") == i, F.col("d")).otherwise(0)).alias(f"d{i}") for i in range(n))).withColumn("block", block_of(F.col("pos")))
     sums = places.groupBy(*keys, "block").agg(*(F.sum(f"d{i}").alias(f"b{i}") for i in range(n)), F.min("pos").alias("first_pos"))
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     nearby = Window.partitionBy(*keys).orderBy("block")
     carried = sums.select(*keys, "block", *(F.coalesce(F.sum(f"b{i}").over(earlier), F.lit(0)).alias(f"c{i}") for i in range(n)), F.lead("first_pos").over(nearby).alias("next_pos"))
     inside = Window.partitionBy(*keys, "block").orderBy("pos")
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    open_now = F.array(*((F.col(f"c{i}") + F.sum(f"d{i}").over(running)).cast("int") for i in range(n)))
-    segments = places.join(carried, [*keys, "block"]).select(*keys, F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(inside), F.col("next_pos")).alias("end"), open_now.alias("flags"))
+    opened = [F.col(f"c{i}") + F.sum(f"d{i}").over(running) for i in range(n)]
+    open_now, before = F.array(*(x.cast("int") for x in opened)), F.array(*((x - F.col(f"d{i}")).cast("int") for i, x in enumerate(opened)))
+    segments = places.join(carried, [*keys, "block"]).select(*keys, F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(inside), F.col("next_pos")).alias("end"), open_now.alias("flags"), before.alias("before"))
     return segments.where(F.col("end").isNotNull() & (F.aggregate("flags", F.lit(0), lambda x, y: x + y) >= least))
 
 
@@ -194,16 +217,25 @@ def introns(rows: DataFrame, by_transcript: bool = True) -> DataFrame:
     return each.select(*keys, F.col("x.start").alias("start"), F.col("x.end").alias("end"), number.cast("int").alias("number"))
 
 
-@operator("IV-12", "SRC-07", group="intervals")
+def uncovered(a: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(chrom, start, end): what no interval covers of the chromosomes, whole chromosomes without any too."""
+    # Two marks of one base, before the first and behind the last one, make the stretches at both ends gaps like others.
+    inside = a.where(F.col("start") < F.col("end")).join(sizes.select("chrom", "size"), "chrom").select("chrom", (F.col("start") + 2).alias("s"), (F.least("end", "size") + 1).alias("e"))
+    marks = sizes.select("chrom", F.explode(F.array(F.lit(1).cast("bigint"), F.col("size") + 2)).alias("s")).withColumn("e", F.col("s"))
+    gaps = periods_and_gaps(inside.unionByName(marks), ["chrom"], "s", "e").where("kind = 'gap'")
+    return gaps.select("chrom", (F.col("s") - 2).alias("start"), (F.col("e") - 1).alias("end"))
+
+
+@operator("SRC-07", group="sources")
+def chromosomes(sizes: DataFrame) -> DataFrame:
+    """One interval (chrom, start, end, name, score, strand) per chromosome, from its size."""
+    return sizes.select("chrom", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"), F.col("chrom").alias("name"), F.lit("0").alias("score"), F.lit(".").alias("strand"))
+
+
+@operator("IV-12", group="intervals")
 def intergenic(rows: DataFrame, sizes: DataFrame, upstream: int = 0, downstream: int = 0) -> DataFrame:
     """What no (extended) transcript covers of the chromosomes: chrom, start, end."""
-    whole = sizes.select(F.xxhash64("chrom").alias("rid"), "chrom", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
-    tx = slop(bed(rows.where(F.col("feature") == "transcript"), ["transcript_id"]), sizes, upstream, downstream)
-    closed = merge(tx).select("chrom", (F.col("start") + 1).alias("s"), F.col("end").alias("e"))
-    edges = whole.select("chrom", F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("e")).unionByName(whole.select("chrom", (F.col("end") + 1).alias("s"), (F.col("end") + 1).alias("e")))
-    shifted = closed.unionByName(edges).select("chrom", (F.col("s") + 1).alias("s"), (F.col("e") + 1).alias("e"))
-    gaps = periods_and_gaps(shifted, ["chrom"], "s", "e").where("kind = 'gap'")
-    return gaps.join(sizes.select("chrom"), "chrom", "left_semi").select("chrom", (F.col("s") - 2).alias("start"), (F.col("e") - 1).alias("end"))
+    return uncovered(slop(bed(rows.where(F.col("feature") == "transcript"), ["transcript_id"]), sizes, upstream, downstream), sizes)
 
 
 @operator("IV-13", group="intervals")
@@ -302,22 +334,29 @@ def closest_genes(rows: DataFrame, k: int = 1, origin: str = "tss", target: str
     return found.select(F.col("name").alias("gene"), F.col("name_b").alias("neighbour"), "distance")
 
 
-@operator("IV-07", "IV-21", group="intervals")
-def regulatory_domains(rows: DataFrame, sizes: DataFrame, upstream: int = 5000, downstream: int = 1000, distal: int = 1_000_000) -> DataFrame:
+@operator("IV-21", group="intervals")
+def regulatory_domains(rows: DataFrame, sizes: DataFrame, upstream: int = 5000, downstream: int = 1000, distal: int = 1_000_000, genes: DataFrame | None = None) -> DataFrame:
     """(chrom, start, end, name, strand): each gene's basal domain, extended to the neighbours' basal domains, at most by distal.
 
-    Neighbours are the nearest basal domains that end before (start after) it without overlap, found by rank.
+    Neighbours are the nearest basal domains that end before (start after) it without overlap, found by rank. genes: a
+    table gene_id (of one term, say); only domains of these genes come out, but all genes are neighbours.
     """
-    genes = rows.where(F.col("feature") == "gene").withColumn("name", attr("gene_id")).where("name IS NOT NULL")
+    named = rows.where(F.col("feature") == "gene").withColumn("name", attr("gene_id")).where("name IS NOT NULL")
     site = F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("start"))
-    basal = slop(genes.select("rid", F.col("seqid").alias("chrom"), (site - 1).alias("start"), site.alias("end"), "name", "strand"), sizes, upstream, downstream)
-    ended, begun = _ranked_places(basal.select("chrom", F.col("end").alias("place"))), _ranked_places(basal.select("chrom", F.col("start").alias("place")))
-    left = _rank_before(basal.select("chrom", F.col("start").alias("at")), ended).join(ended.select("chrom", F.col("rank").alias("upto"), "place"), ["chrom", "upto"]).select("chrom", F.col("at").alias("start"), F.col("place").alias("left_end"))
-    right = _rank_before(basal.select("chrom", (F.col("end") - 1).alias("at")), begun).withColumn("rank", F.col("upto") + 1).join(begun.select("chrom", "rank", "place"), ["chrom", "rank"]).select("chrom", (F.col("at") + 1).alias("end"), F.col("place").alias("right_start"))
+    basal = slop(named.select("rid", F.col("seqid").alias("chrom"), (site - 1).alias("start"), site.alias("end"), "name", "strand"), sizes, upstream, downstream)
+    line = ["chrom"]
+
+    def place_before(places: Column, at: Column, name: str) -> DataFrame:
+        ranked = ranked_places(basal.select("chrom", places.alias("place")).distinct(), line)
+        return rank_upto(basal.select("chrom", at.alias("at")), ranked, line).join(ranked.select("chrom", F.col("rank").alias("upto"), F.col("place").alias(name)), ["chrom", "upto"]).drop("upto")
+
+    left = place_before(F.col("end"), F.col("start"), "left_end").withColumnRenamed("at", "start")
+    right = place_before(-F.col("start"), -F.col("end"), "turned").select("chrom", (-F.col("at")).alias("end"), (-F.col("turned")).alias("right_start"))
     both = basal.join(left, ["chrom", "start"], "left").join(right, ["chrom", "end"], "left").join(sizes.select("chrom", "size"), "chrom")
     start = F.greatest(F.coalesce(F.greatest("left_end", F.col("start") - distal), F.col("start") - distal), F.lit(0))
     end = F.least(F.coalesce(F.least("right_start", F.col("end") + distal), F.col("end") + distal), F.col("size"))
-    return both.select("chrom", start.alias("start"), end.alias("end"), "name", "strand").distinct()
+    out = both.select("chrom", start.alias("start"), end.alias("end"), "name", "strand").distinct()
+    return out if genes is None else out.join(genes.select(F.col("gene_id").alias("name")).distinct(), "name", "left_semi").select(*out.columns)
 
 
 @operator("IV-22", group="intervals")
@@ -325,20 +364,18 @@ def exclude_concatenate(a: DataFrame, excluded: DataFrame) -> DataFrame:
     """Cut excluded stretches out of the chromosomes and close up: intervals are clipped, moved left, and dropped if inside.
 
     Places are moved by the length of merged exclusions before them, found by rank. Chromosomes without exclusion stay as
-    they are. a needs a unique rid; its other columns are kept. The merged exclusions are written once, being read twice
-    for either end.
+    they are. All columns of a are kept. The merged exclusions are written once, being read twice for either end.
     """
     holes = cut(merge(excluded))
-    order = Window.partitionBy("chrom").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    summed = holes.withColumn("before", F.coalesce(F.sum(F.col("end") - F.col("start")).over(order), F.lit(0)))
-    ranked = _ranked_places(summed.select("chrom", F.col("start").alias("place")))
-    known = summed.join(ranked.select("chrom", F.col("place").alias("start"), "rank"), ["chrom", "start"]).select("chrom", F.col("rank").alias("upto"), F.col("start").alias("h_start"), F.col("end").alias("h_end"), "before")
+    length = F.col("end") - F.col("start")
+    known = cut(ranked_places(summed_before(holes, ["chrom"], "start", "before", length).withColumnRenamed("start", "place"), ["chrom"]))
+    drop_cut(holes)
 
     def moved(rows: DataFrame, column: str) -> DataFrame:
-        at = _rank_before(rows.select("chrom", F.col(column).alias("at")), ranked).join(known, ["chrom", "upto"], "left")
+        at = rank_upto(rows.select("chrom", F.col(column).alias("at")), known, ["chrom"])
+        at = at.join(known.select("chrom", F.col("rank").alias("upto"), F.col("place").alias("h_start"), F.col("end").alias("h_end"), "before"), ["chrom", "upto"], "left")
         removed = F.coalesce(F.col("before") + F.least("at", "h_end") - F.col("h_start"), F.lit(0))
-        new = at.select("chrom", F.col("at").alias(column), (F.col("at") - removed).alias("__" + column))
-        return rows.join(new, ["chrom", column])
+        return rows.join(at.select("chrom", F.col("at").alias(column), (F.col("at") - removed).alias("__" + column)), ["chrom", column])
 
     out = moved(moved(a, "start"), "end").withColumns({"start": F.col("__start"), "end": F.col("__end")}).drop("__start", "__end")
     return out.where(F.col("start") < F.col("end"))
@@ -353,14 +390,24 @@ def exclude_sizes(sizes: DataFrame, excluded: DataFrame) -> DataFrame:
 
 @operator("IV-24", group="intervals")
 def lengths_and_gaps(a: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, chrom, number, length, gap): intervals in order with the gap before each; the last row has the gap to the
-    chromosome's end and no length. Gaps below zero count 0.
+    """(keys, chrom, number, length, gap): merged intervals in order with the gap before each; the last row has the gap to the
+    chromosome's end and no length. Gaps below zero count 0. Chromosomes without size have no last row.
+
+    Starts are distinct, as those of merged intervals are, so a task orders at most one block of them. The intervals are
+    written once, being read twice.
     """
-    tail = a.select(*keys, "chrom").distinct().join(sizes.select("chrom", "size"), "chrom").select(*keys, "chrom", F.col("size").alias("start"), F.lit(None).cast("bigint").alias("end"))
-    order = Window.partitionBy(*keys, "chrom").orderBy(F.col("end").isNull(), "start", "end")
-    every = a.select(*keys, "chrom", "start", "end").unionByName(tail)
-    gap = F.greatest(F.col("start") - F.coalesce(F.lag("end").over(order), F.lit(0)), F.lit(0))
-    return every.select(*keys, "chrom", F.row_number().over(order).alias("number"), (F.col("end") - F.col("start")).alias("length"), gap.alias("gap"))
+    by = [*keys, "chrom"]
+    tail = a.select(*by).distinct().join(sizes.select("chrom", "size"), "chrom").select(*by, F.col("size").alias("start"), F.lit(None).cast("bigint").alias("end"))
+    every = a.select(*by, "start", "end").unionByName(tail)
+    # The end of a chromosome comes last, whatever starts there or beyond.
+    every = cut(every.withColumn("__block", F.when(F.col("end").isNotNull(), block_of(F.col("start"))).otherwise(F.lit(1 << 50))))
+    blocks = every.groupBy(*by, "__block").agg(F.count(F.lit(1)).alias("n"), F.max_by("end", "start").alias("e"))
+    earlier = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*by, "__block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__rows"), F.last("e", ignorenulls=True).over(earlier).alias("__reach"))
+    inside = Window.partitionBy(*by, "__block").orderBy("start", "end")
+    near = every.withColumns({"__row": F.row_number().over(inside), "__lag": F.lag("end").over(inside)}).join(blocks, [*by, "__block"])
+    gap = F.greatest(F.col("start") - F.coalesce("__lag", "__reach", F.lit(0)), F.lit(0))
+    return near.select(*by, (F.col("__rows") + F.col("__row")).alias("number"), (F.col("end") - F.col("start")).alias("length"), gap.alias("gap"))
 
 
 def region_name(prefix: str, number: Column) -> Column:

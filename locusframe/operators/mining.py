@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 
 from locusframe.registry import operator
 
-#: Share of all rows under which a combination counts as noise, and most distinct flag vectors that the driver takes.
+#: Fixed value: share of all rows that the rarest combination counts as at least. And most distinct flag vectors that the driver takes.
 FLOOR = 1e-4
 MOST_PATTERNS = 1 << 16
 
 
 @operator("MOD-01", group="mining")
 def squished(flags: DataFrame, column: str = "flags", floor: float = FLOOR) -> DataFrame:
-    """(pattern, n, weight): distinct 0/1 vectors above the floor, weighted by the root of their abundance over the rarest's."""
+    """(pattern, n, weight): every distinct 0/1 vector, weighted by the root of its abundance over the rarest's, rounded up.
+
+    `floor`: the rarest counts as at least this share of all rows; no vector is left out. The weights of all vectors
+    relate to one least count, which is read to the driver.
+    """
     pattern = F.transform(column, lambda x: (x > 0).cast("int")).alias("pattern")
     counts = flags.select(pattern).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("t"), F.max("n").alias("m")).first()
-    kept = counts.where(F.col("n") >= floor * (total["t"] or 0))
-    least = kept.agg(F.min("n").alias("l")).first()["l"] or 1
-    return kept.withColumn("weight", F.ceil(F.sqrt(F.col("n") / least)).cast("bigint"))
+    ends = counts.agg(F.sum("n").alias("all"), F.min("n").alias("least")).first()
+    least = max(ends["least"] or 1, floor * (ends["all"] or 0)) ** 0.5
+    return counts.select("pattern", "n", F.ceil(F.sqrt("n") / least).cast("bigint").alias("weight"))
 
 
 def _matrix(patterns: DataFrame) -> tuple[np.ndarray, np.ndarray]:

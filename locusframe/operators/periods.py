@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.labels import valid_span
 from locusframe.registry import operator
+from locusframe.session import cut
 
 #: Positions are cut into blocks of this many; a hot group is spread over its blocks, and a block holds at most
 #: this many distinct starts after pre-aggregation.
@@ -18,9 +19,10 @@ def periods_and_gaps(rows: DataFrame, keys: list[str], start: str = "start_pos",
     """1-based closed intervals per key -> (keys, kind, start, end): periods of covered positions and gaps between them.
 
     Every block of positions is merged on its own: a position is read as so many microseconds after the block's
-    start, and a session window whose duration is the row's own length joins overlapping rows. What reaches
-    beyond its block is carried over a per-block summary (a few rows per key). Touching periods are then joined
-    and each gap and period end comes from the next period by lead.
+    start, and a session window whose duration is the row's own length joins overlapping rows. These stretches are
+    written once, as the rest reads them several times. What reaches beyond its block is carried over a per-block
+    summary (a few rows per key). Touching periods are then joined and each gap and period end comes from the next
+    period by lead.
     Rows with a null key or an invalid span (null, start < 1, end < start) give nothing; repeated rows change nothing.
     """
     where = F.floor((F.col("s") - 1) / block).cast("bigint")
@@ -34,7 +36,7 @@ def periods_and_gaps(rows: DataFrame, keys: list[str], start: str = "start_pos",
     inside = F.least(F.col("e") - F.col("s") + 1, F.lit(block) - offset + 1)
     length = F.make_interval(secs=(inside.cast("decimal(18,0)") / F.lit(1000000)).cast("decimal(18,6)"))
     timed = spans.withColumn("t", F.timestamp_micros(offset)).withColumn("length", length)
-    local = timed.groupBy(*keys, "block", F.session_window("t", F.col("length"))).agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("session_window")
+    local = cut(timed.groupBy(*keys, "block", F.session_window("t", F.col("length"))).agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("session_window"))
 
     # The furthest end of all earlier blocks, then of all earlier periods in the block.
     summary = local.groupBy(*keys, "block").agg(F.max("e").alias("far"))

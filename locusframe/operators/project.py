@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from locusframe.model import FIXED, UNDEFINED, UNSET, attr, value
+from locusframe.operators.blocks import ranked_places
 from locusframe.registry import operator
 
 
@@ -92,11 +93,15 @@ def strand_of(rows: DataFrame, feature: str = "gene") -> DataFrame:
 
 @operator("PRJ-08", group="project")
 def transcripts_by_tss(rows: DataFrame) -> DataFrame:
-    """(gene_id, transcript_id, tss, tss_rank): transcripts of each gene with the dense rank of their start site, 5' to 3'."""
+    """(gene_id, transcript_id, tss, tss_rank): transcripts of each gene with the dense rank of their start site, 5' to 3'.
+
+    Distinct sites are ranked in blocks of positions, so a gene of any number of transcripts never meets in one task.
+    """
     tss = F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("start"))
     sign = F.when(F.col("strand") == "-", -1).otherwise(1)
     tx = rows.where(F.col("feature") == "transcript").select(attr("gene_id").alias("gene_id"), attr("transcript_id").alias("transcript_id"), tss.alias("tss"), (tss * sign).alias("way")).where("gene_id IS NOT NULL AND transcript_id IS NOT NULL").distinct()
-    return tx.withColumn("tss_rank", F.dense_rank().over(Window.partitionBy("gene_id").orderBy("way"))).drop("way")
+    sites = ranked_places(tx.select("gene_id", "way").distinct(), ["gene_id"], "way")
+    return tx.join(sites.withColumnRenamed("rank", "tss_rank"), ["gene_id", "way"]).drop("way")
 
 
 @operator("PRJ-10", group="project")

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.conditions import condition
 from locusframe.model import attr, value, with_position
+from locusframe.operators.blocks import ranked_places, rank_upto
 from locusframe.registry import operator
 
 #: The features that the one-letter shortcuts select.
 SHORTCUTS = {"transcripts": "transcript", "genes": "gene", "exons": "exon", "cds": "cds", "start_codon": "start_codon"}
-#: Values above this number are matched by a join with a table of them instead of a list in the expression.
+#: Values above this number are matched by a join with a table of them instead of a list in the expression, and places
+#: above this number by their ranks.
 MOST_LITERALS = 1000
+FEW_PLACES = 50
 
 
 @operator("SEL-01", "SET-02", "SET-03", group="select")
@@ -106,17 +109,29 @@ def select_by_number(rows: DataFrame, test: str, na_omit: tuple[str, ...] = ("."
 
 @operator("SEL-10", group="select")
 def select_by_location(rows: DataFrame, places: list[tuple[str, int, int]]) -> DataFrame:
-    """Rows that overlap any of the 1-based closed places; each row once."""
-    if len(places) <= 50:
+    """Rows that overlap any of the 1-based closed places; each row as often as it is there. Rows without a valid span never do.
+
+    A few places are tested one by one; of more, the first place that ends at or behind a row's start is looked up by rank and has
+    to begin before the row's end. The result is the same.
+    """
+    sound = rows.where(F.col("start") <= F.col("end"))
+    places = [(c, s, e) for c, s, e in places if s <= e]
+    if len(places) <= FEW_PLACES:
         hit = F.lit(False)
         for chrom, start, end in places:
             hit = hit | ((F.col("seqid") == chrom) & (F.col("start") <= end) & (F.col("end") >= start))
-        return rows.where(hit)
-    from locusframe.operators.intervals import overlap_join
-
-    b = rows.sparkSession.createDataFrame([(c, s - 1, e) for c, s, e in places], "chrom string, start bigint, end bigint")
-    a = rows.select("rid", F.col("seqid").alias("chrom"), (F.col("start") - 1).alias("start"), "end")
-    return rows.join(overlap_join(a, b).select("rid").distinct(), "rid", "left_semi")
+        return sound.where(hit)
+    apart: list[list] = []
+    for chrom, start, end in sorted(places):
+        if apart and apart[-1][0] == chrom and start <= apart[-1][2] + 1:
+            apart[-1][2] = max(end, apart[-1][2])
+        else:
+            apart.append([chrom, start, end])
+    spark = rows.sparkSession
+    known = ranked_places(spark.createDataFrame(apart, "seqid string, first bigint, place bigint"), ["seqid"])
+    passed = rank_upto(sound.select("seqid", (F.col("start") - 1).alias("at")), known, ["seqid"])
+    following = passed.withColumn("rank", F.col("upto") + 1).join(known.select("seqid", "rank", "first"), ["seqid", "rank"])
+    return sound.join(following.select("seqid", (F.col("at") + 1).alias("start"), "first"), ["seqid", "start"]).where(F.col("first") <= F.col("end")).select(*(f"`{c}`" for c in rows.columns))
 
 
 @operator("SEL-11", group="select")
@@ -207,13 +222,13 @@ def select_by_intron_size(rows: DataFrame, size: int, merged: bool = False, drop
 def remove_duplicate_tss(rows: DataFrame) -> DataFrame:
     """Transcripts of a gene that share their start site: the one of least id stays with its rows; gene rows go."""
     tx = rows.where(F.col("feature") == "transcript").select(attr("gene_id").alias("g"), attr("transcript_id").alias("__tx"), F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("start")).alias("tss"))
-    order = Window.partitionBy("g", "tss").orderBy("__tx")
-    kept = tx.where("__tx IS NOT NULL AND g IS NOT NULL").distinct().withColumn("n", F.row_number().over(order)).where("n = 1")
+    kept = tx.where("__tx IS NOT NULL AND g IS NOT NULL").groupBy("g", "tss").agg(F.min("__tx").alias("__tx"))
     return _members(rows.where(F.col("feature") != "gene"), kept.select("__tx").distinct())
 
 
 def _drawn(column: str, seed: int) -> Column:
-    return F.xxhash64(F.col(column), F.lit(seed))
+    """Order of a seeded hash, which other engines know as well."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column)))
 
 
 @operator("SEL-19", group="select")
@@ -226,7 +241,10 @@ def random_members(rows: DataFrame, n: int, feature: str = "transcript", seed: i
 
 @operator("SEL-20", group="select")
 def random_transcripts(rows: DataFrame, most: int = 1, seed: int = 1) -> DataFrame:
-    """Rows of at most so many transcripts of each gene, drawn by a seeded hash; gene rows go."""
+    """Rows of at most so many transcripts of each gene, drawn by a seeded hash; gene rows go.
+
+    A rank with a bound: each task cuts its share of a gene to `most` transcripts before they meet.
+    """
     tx = rows.select(attr("gene_id").alias("g"), attr("transcript_id").alias("__tx")).where("g IS NOT NULL AND __tx IS NOT NULL").distinct()
     order = Window.partitionBy("g").orderBy(_drawn("__tx", seed), "__tx")
     return _members(rows.where(F.col("feature") != "gene"), tx.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most))

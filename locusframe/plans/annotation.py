@@ -94,8 +94,8 @@ query("sel_17_merged", _INTRONS + " SELECT rid FROM f WHERE tx IN (SELECT tx FRO
 query("sel_18_dup_tss", ", t AS (SELECT DISTINCT gene, tx, CASE WHEN strand = '-' THEN e ELSE s END AS p FROM f WHERE feature = 'transcript' AND gene IS NOT NULL AND tx IS NOT NULL), k AS (SELECT tx, row_number() OVER (PARTITION BY gene, p ORDER BY tx) AS n FROM t) SELECT rid FROM f WHERE feature <> 'gene' AND tx IN (SELECT tx FROM k WHERE n = 1)")(
     lambda r: _rids(S.remove_duplicate_tss(r))
 )
-query("sel_19_random_list", None)(lambda r: _rids(S.random_members(r, 20, seed=3)))
-query("sel_20_random_tx", None)(lambda r: _rids(S.random_transcripts(r, 2, seed=3)))
+query("sel_19_random_list", "SELECT rid FROM f WHERE tx IN (SELECT tx FROM f WHERE tx IS NOT NULL GROUP BY tx ORDER BY md5('3:' || tx), tx LIMIT 20)")(lambda r: _rids(S.random_members(r, 20, seed=3)))
+query("sel_20_random_tx", ", d AS (SELECT DISTINCT gene, tx FROM f WHERE gene IS NOT NULL AND tx IS NOT NULL), k AS (SELECT tx, row_number() OVER (PARTITION BY gene ORDER BY md5('3:' || tx), tx) AS n FROM d) SELECT rid FROM f WHERE feature <> 'gene' AND tx IN (SELECT tx FROM k WHERE n <= 2)")(lambda r: _rids(S.random_transcripts(r, 2, seed=3)))
 query("sel_22_head", "SELECT rid FROM f ORDER BY rid LIMIT 25")(lambda r: _rids(S.head(r, 25)))
 query("sel_22_tail", "SELECT rid FROM f ORDER BY rid DESC LIMIT 25")(lambda r: _rids(S.tail(r, 25)))
 
@@ -210,8 +210,11 @@ query("agg_06_exon_sizes", "SELECT tx AS transcript_id, string_agg(CAST(e - s +
 query("agg_06_intron_sizes", ", x AS (SELECT DISTINCT tx, s, e, strand FROM f WHERE feature = 'exon' AND tx IS NOT NULL), i AS (SELECT *, lead(s) OVER (PARTITION BY tx ORDER BY s, e) - e - 1 AS g FROM x), m AS (SELECT tx, min(strand) AS strand, string_agg(CAST(g AS VARCHAR), ',' ORDER BY s, e) FILTER (WHERE g IS NOT NULL) AS up, string_agg(CAST(g AS VARCHAR), ',' ORDER BY s DESC, e DESC) FILTER (WHERE g IS NOT NULL) AS down FROM i GROUP BY tx) SELECT tx AS transcript_id, coalesce(CASE WHEN strand = '-' THEN down ELSE up END, '0') AS intron_sizes FROM m")(
     A.intron_size_lists
 )
-query("agg_07_tss_dist", _TSS + " SELECT a.gene_id, a.transcript_id AS tx_1, b.transcript_id AS tx_2, abs(a.tss - b.tss) AS dist, a.tss_rank AS rank_1, b.tss_rank AS rank_2 FROM q a JOIN q b ON a.gene_id = b.gene_id AND (a.tss_rank < b.tss_rank OR (a.tss_rank = b.tss_rank AND a.transcript_id < b.transcript_id))")(
-    A.tss_distances
+query("agg_07_tss_dist", _TSS + ", r AS (SELECT gene_id, tss_rank, min(tss) AS site, count(*) AS n FROM q GROUP BY ALL) SELECT q.gene_id, transcript_id, tss, q.tss_rank, abs(tss - (SELECT site FROM r WHERE r.gene_id = q.gene_id AND r.tss_rank = q.tss_rank - 1)) AS dist, abs(tss - (SELECT min(tss) FROM q p WHERE p.gene_id = q.gene_id AND p.tss_rank = 1)) AS from_first, CAST(coalesce((SELECT sum(n) FROM r WHERE r.gene_id = q.gene_id AND r.tss_rank > q.tss_rank), 0) AS BIGINT) AS n_further FROM q")(
+    A.tss_ladder
+)
+query("agg_07_tss_pairs", _TSS + ", k AS (SELECT DISTINCT gene AS gene_id, tx AS transcript_id FROM f WHERE feature = 'transcript' AND rid % 20 = 0) SELECT a.gene_id, a.transcript_id AS tx_1, b.transcript_id AS tx_2, abs(a.tss - b.tss) AS dist, a.tss_rank AS rank_1, b.tss_rank AS rank_2 FROM q a JOIN q b ON a.gene_id = b.gene_id AND (a.tss_rank < b.tss_rank OR (a.tss_rank = b.tss_rank AND a.transcript_id < b.transcript_id)) WHERE (a.gene_id, a.transcript_id) IN (SELECT * FROM k) OR (b.gene_id, b.transcript_id) IN (SELECT * FROM k)")(
+    lambda r: A.tss_distances(r, F.col("rid") % 20 == 0)
 )
 _SIZES = ", z AS (SELECT seqid, feature, CAST(e - s + 1 AS DOUBLE) AS v FROM f)"
 query("agg_08_profile", _SIZES + ", m AS (SELECT feature, avg(v) AS a FROM z GROUP BY feature) SELECT feature, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS median, round(stddev_samp(v), 4) AS std, min(v) AS min, max(v) AS max, sum(v) AS sum, count(*) AS n, round(avg(abs(v - a)), 4) AS mad FROM z JOIN m USING (feature) GROUP BY feature")(

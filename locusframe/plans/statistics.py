@@ -26,7 +26,6 @@ SIGNAL = "v AS (SELECT CASE WHEN strand = '-' THEN 'minus' ELSE 'plus' END AS tr
 TRACKS = ["minus", "plus"]
 #: The made-up genome's letters: base at position p, from 1, is letter (7 p + p // 3) % 8, the same again PERIOD further on.
 LETTERS, PERIOD = "acgtacca", 24
-SHUFFLES = 20
 
 
 def query(name: str, sql: str | None) -> Callable:
@@ -118,17 +117,24 @@ query("seq_02_offsets", ", m AS (SELECT tx AS transcript_id, rid, e - s + 1 AS n
 
 _TRUE = ", " + _merged_sql("g", "mg") + ", " + _merged_sql("x", "mx") + ", " + _events_sql([("mg", 0), ("mx", 1)]) + ", ov AS (SELECT * FROM sg WHERE \"end\" IS NOT NULL AND n0 > 0 AND n1 > 0), nw AS (SELECT *, CASE WHEN start = lag(\"end\") OVER (PARTITION BY chrom ORDER BY start) THEN 0 ELSE 1 END AS k FROM ov)"
 query("olo_06_true", _TRUE + " SELECT CAST(sum(k) AS BIGINT) AS n, CAST(sum(\"end\" - start) AS BIGINT) AS s FROM nw")(lambda r, z: O.true_overlap(_genes(r), _exons(r)))
-query("olo_03_shuffled", ", " + _merged_sql("g", "mg") + f", q AS (SELECT unnest(range({SHUFFLES})) AS k) SELECT CAST(k AS INT) AS shuffle, chrom, count(*) AS n, CAST(sum(e - b) AS BIGINT) AS bases FROM mg JOIN z USING (chrom), q GROUP BY ALL")(
-    lambda r, z: O.shuffled(merge(_genes(r)), z, SHUFFLES).groupBy("shuffle", "chrom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"))
+query("olo_03_shuffled", ", " + _merged_sql("g", "mg") + f", q AS (SELECT unnest(range({O.SHUFFLES})) AS k) SELECT CAST(k AS INT) AS shuffle, chrom, count(*) AS n, CAST(sum(e - b) AS BIGINT) AS bases, CAST(sum((e - b) * (e - b)) AS BIGINT) AS squares FROM mg JOIN z USING (chrom), q GROUP BY ALL")(
+    lambda r, z: O.shuffled(merge(_genes(r)), z).groupBy("shuffle", "chrom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"), F.sum((F.col("end") - F.col("start")) * (F.col("end") - F.col("start"))).alias("squares"))
 )
-query("olo_04_markov", None)(lambda r, z: O.markov_shuffled(merge(_genes(r)), z, 5).groupBy("shuffle", "chrom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases")))
-query("olo_05_shuffle_overlaps", None)(lambda r, z: O.shuffle_overlaps(_genes(r), _exons(r), z, SHUFFLES))
+
+
+def _many(regions: DataFrame) -> DataFrame:
+    """Merged regions of the chromosomes that have the 3 that a Markov model needs."""
+    merged = merge(regions)
+    return merged.join(merged.groupBy("chrom").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("chrom"), "chrom", "left_semi")
+
+
+query("olo_04_markov", None)(lambda r, z: O.markov_shuffled(_many(_genes(r)), z).groupBy("shuffle", "chrom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases")))
+query("olo_05_shuffle_overlaps", None)(lambda r, z: O.shuffle_overlaps(_genes(r), _exons(r), z))
 
 
 def _enriched(r: DataFrame, z: DataFrame) -> DataFrame:
-    sets = bed(r.where(F.col("feature").isin("exon", "cds", "three_prime_utr")), [], more=[""], add_feature=True).withColumn("feature_type", F.regexp_replace("name", r"\A\|", ""))
-    keys = ("feature_type",)
-    return O.enrichment(O.shuffle_overlaps(_genes(r), sets, z, SHUFFLES, keys=keys), O.true_overlap(_genes(r), sets, keys), list(keys))
+    """Coding regions against all features, the derived regions and both strands of the annotation."""
+    return O.annotation_enrichment(_cds(r), r, z, more_keys=("strand",))
 
 
 query("olo_01_enrichment", None)(_enriched)
@@ -181,7 +187,7 @@ query("olo_16_tree", None)(_tree)
 query("olo_17_complement", ", " + _merged_sql("g", "mg") + ", q AS (SELECT chrom, b, e FROM mg UNION ALL SELECT chrom, size, size FROM z UNION ALL SELECT chrom, 0, 0 FROM z), w AS (SELECT chrom, b, max(e) OVER (PARTITION BY chrom ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM q) SELECT chrom, a AS start, b AS end FROM w WHERE a < b")(
     lambda r, z: O.complement(_genes(r), z)
 )
-query("mod_01_squished", _FOUR + ", p AS (SELECT CAST(n0 AS INT) || ',' || CAST(n1 AS INT) || ',' || CAST(n2 AS INT) || ',' || CAST(n3 AS INT) AS pattern, count(*) AS n FROM ov GROUP BY ALL), k AS (SELECT * FROM p WHERE n >= 0.0001 * (SELECT sum(n) FROM p)) SELECT pattern, n, CAST(ceil(sqrt(n / (SELECT min(n) FROM k))) AS BIGINT) AS weight FROM k")(
+query("mod_01_squished", _FOUR + ", p AS (SELECT CAST(n0 AS INT) || ',' || CAST(n1 AS INT) || ',' || CAST(n2 AS INT) || ',' || CAST(n3 AS INT) AS pattern, count(*) AS n FROM ov GROUP BY ALL) SELECT pattern, n, CAST(ceil(sqrt(n) / sqrt(greatest((SELECT min(n) FROM p), 0.0001 * (SELECT sum(n) FROM p)))) AS BIGINT) AS weight FROM p")(
     lambda r, z: M.squished(_segments(r)).withColumn("pattern", F.array_join("pattern", ","))
 )
 

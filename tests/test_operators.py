@@ -1,15 +1,18 @@
 """Operators on small hand-made rows: statistics, conditions, intervals, editing, signal, sequences, files, streams."""
 
+import bisect
 import gzip
 import math
+import random
 import sqlite3
+from collections import Counter
 
 import pytest
 from compare import differences
 from locusframe.functions import conditions
 from locusframe.functions.statistics import beta_pvalue, log_beta_tail, negbin_fit_quality, negbin_log10_pvalue
 from locusframe.model import attr, bed, with_position
-from locusframe.operators import aggregate, edit, enrichment, intervals, mining, project, select, sequences, signal
+from locusframe.operators import aggregate, blocks, edit, enrichment, intervals, mining, project, select, sequences, signal
 from locusframe.registry import apropos, operator, operators
 from locusframe.sources import readers, writers
 from pyspark.sql import functions as F
@@ -72,6 +75,10 @@ def test_selection(rows):
     with pytest.raises(ValueError):
         select.select_by_key(rows, "tag", "*")
     assert [r["rid"] for r in select.select_by_positions(rows, [3, 0, 3]).orderBy("at").collect()] == [3, 0, 3]
+    odd = rows.withColumn("rid", F.lit(None).cast("long")).unionByName(rows.limit(1).withColumns({"start": F.lit(400), "end": F.lit(10)}))
+    for one in ([("chr1", 1, 12), ("chr2", 1, 500)], [("chr1", 55, 100), ("chr1", 120, 120)]):
+        more = one + [("chr1", i, i) for i in range(600, 1200, 3)]
+        assert sorted(map(str, select.select_by_location(odd, one).collect())) == sorted(map(str, select.select_by_location(odd, more).collect()))
     many = [("chr1", i, i) for i in range(300, 400)] + [("chr1", 125, 126)]
     assert select.select_by_location(rows, many).count() == select.select_by_location(rows, many[-1:]).count() == 3
     assert {r[0] for r in select.select_by_max_exon_count(rows).select(attr("transcript_id")).distinct().collect()} == {"t1", "t3"}
@@ -125,6 +132,113 @@ def test_intervals(rows, sizes, spark):
     assert intervals.merge(spans.limit(0)).count() == 0 and intervals.closest(one.limit(0), one).count() == 0
 
 
+def test_closest_with_repeated_names(spark):
+    rng = random.Random(4)
+    schema = "rid long, chrom string, start long, end long, name string, strand string"
+    rows = [(i, rng.choice("cd"), s := rng.randint(0, 400), s + rng.randint(1, 9), rng.choice(["n"] * 12 + ["a", "b", "x", None]), rng.choice("++-.")) for i in range(140)]
+    rows += [(200 + i, "e", 100 * i, 100 * i + 5, "n", "+") for i in range(40)] + [(300, "e", 9000, 9001, "m", "+"), (301, "e", 9500, 9501, "n", "-")]
+    df = spark.createDataFrame(rows, schema)
+
+    def gap(a, b):
+        return 0 if a[2] < b[3] and b[2] < a[3] else a[2] - b[3] + 1 if b[3] <= a[2] else b[2] - a[3] + 1
+
+    for k, strand, other in ((1, "any", True), (3, "same", True), (2, "opposite", True), (2, "any", False)):
+        want = set()
+        for a in rows:
+            near = [(gap(a, b), b[0]) for b in rows if a[1] == b[1] and (not other or (a[4] and b[4] and a[4] != b[4]))
+                    and (strand == "any" or ("." not in a[5] + b[5] and (a[5] == b[5]) == (strand == "same")))]
+            want |= {(a[0], r, d) for d, r in near if sum(x < d for x, _ in near) < k}
+        got = [(r["rid"], r["rid_b"], r["distance"]) for r in intervals.closest(df, df, k, strand, other).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, (k, strand, other)
+    for downstream in (False, True):
+        got = {(r["rid"], r["distance"]) for r in intervals.next_beside(df, df, downstream).collect()}
+        want = set()
+        for a in rows:
+            left = (a[5] == "-") == downstream
+            gaps = [a[2] - b[3] + 1 if left else b[2] - a[3] + 1 for b in rows if a[1] == b[1] and (b[3] <= a[2] if left else b[2] >= a[3])]
+            want.add((a[0], min(gaps, default=-1)))
+        assert got == want
+
+
+def test_one_hot_chromosome(spark, monkeypatch):
+    """Blocks far smaller than the data: what is carried from block to block must add up."""
+    rng = random.Random(6)
+    monkeypatch.setattr(blocks.block_of, "__defaults__", (64,))
+    for f in (blocks.summed_before, blocks.ranked_places, blocks.rank_upto):
+        monkeypatch.setattr(f, "__defaults__", (*f.__defaults__[:-1], 64))
+    monkeypatch.setattr(intervals.periods_and_gaps, "__defaults__", (*intervals.periods_and_gaps.__defaults__[:-1], 64))
+    monkeypatch.setattr(enrichment, "PERMUTED", 8)
+    monkeypatch.setattr(enrichment, "BLOCK", 8)
+    spans = [("hot", s := rng.randint(0, 3000), s + rng.randint(1, 30)) for _ in range(150)] + [("cold", 5, 9), ("cold", 20, 30)]
+    df = spark.createDataFrame(spans, "chrom string, start long, end long")
+    sizes = spark.createDataFrame([("hot", 4000), ("cold", 50), ("bare", 7)], "chrom string, size long")
+    held = {c: sorted({p for d, s, e in spans if d == c for p in range(s, e)}) for c in ("hot", "cold", "bare")}
+
+    def runs(points):
+        out = []
+        for p in points:
+            if out and out[-1][1] == p:
+                out[-1][1] = p + 1
+            else:
+                out.append([p, p + 1])
+        return [tuple(x) for x in out]
+
+    merged = intervals.merge(df)
+    assert sorted((r["start"], r["end"]) for r in merged.where("chrom = 'hot'").collect()) == runs(held["hot"])
+    lengths = [(r["length"], r["gap"]) for r in intervals.lengths_and_gaps(merged, sizes).where("chrom = 'hot'").orderBy("number").collect()]
+    want, at = [], 0
+    for s, e in runs(held["hot"]):
+        want.append((e - s, s - at))
+        at = e
+    assert lengths == [*want, (None, 4000 - at)]
+    free = {c: runs([p for p in range(n) if p not in set(held[c])]) for c, n in (("hot", 4000), ("cold", 50), ("bare", 7))}
+    got = enrichment.complement(df, sizes).collect()
+    assert {c: sorted((r["start"], r["end"]) for r in got if r["chrom"] == c) for c in free} == free
+    kept = [p for p in range(4000) if p not in set(held["hot"])]
+    moved = intervals.exclude_concatenate(spark.createDataFrame([("hot", s, s + 100) for s in range(0, 3900, 37)], "chrom string, start long, end long"), df)
+    cut = [(bisect.bisect_left(kept, s), bisect.bisect_left(kept, s + 100)) for s in range(0, 3900, 37)]
+    assert sorted((r["start"], r["end"]) for r in moved.collect()) == sorted(x for x in cut if x[0] < x[1])
+    drawn = enrichment.shuffled(merged, sizes, 3).where("chrom = 'hot'").collect()
+    for i in range(3):
+        one = sorted((r["start"], r["end"]) for r in drawn if r["shuffle"] == i)
+        assert sorted(e - s for s, e in one) == sorted(n for n, _ in want)
+        gaps = [s - e for (_, e), (s, _) in zip([(0, 0), *one], one)]
+        assert not Counter(gaps) - Counter([*(g for _, g in want), 4000 - at]) and one != runs(held["hot"])
+
+
+def test_enrichment_driver(rows, sizes, spark):
+    query = spark.createDataFrame([("chr1", 15, 25), ("chr1", 105, 115), ("chrX", 1, 9)], "chrom string, start long, end long")
+    own = {"mine": spark.createDataFrame([("chr1", 0, 20), ("chr1", 60, 70)], "chrom string, start long, end long")}
+    stats = {r["feature_type"]: r for r in enrichment.annotation_enrichment(query, rows, sizes, 5, 5, more_keys=("tag",), more_sets=own, shuffles=4).collect()}
+    assert set(stats) == {"gene", "transcript", "exon", "Intergenic", "Introns", "Promoters", "Terminator", "tag:a", "mine"}
+    assert {k: (v["nb_intersections_true"], v["summed_bp_overlaps_true"]) for k, v in stats.items()}["exon"] == (2, 15)
+    assert stats["Introns"]["summed_bp_overlaps_true"] == 5 and stats["mine"]["summed_bp_overlaps_true"] == 5
+    few = enrichment.annotation_enrichment(query.limit(1), rows, sizes, shuffles=10).first()
+    assert few["summed_bp_overlaps_pvalue"] == few["nb_intersections_negbinom_fit_quality"] == -1 and few["summed_bp_overlaps_true"] == 0
+    rest = enrichment.annotation_enrichment(query, None, sizes, more_sets=own, shuffles=2, included=spark.createDataFrame([("chr1", 18, 200)], "chrom string, start long, end long")).first()
+    assert rest["summed_bp_overlaps_true"] == 2
+    with pytest.raises(ValueError):
+        enrichment.annotation_enrichment(query, None, sizes)
+    found = {r["combination"]: (r["nb_intersections_true"], r["summed_bp_overlaps_true"]) for r in enrichment.combination_enrichment(query, {"A": own["mine"], "B": bed(rows)}, sizes, 2, combinations=[(1, 1, 0), (1, 1, 1), (1, 0, 1)]).collect()}
+    assert found == {"[Query + A + ... ]": (1, 5), "[Query + A + B + ... ]": (1, 5), "[Query + B + ... ]": (2, 20)}
+    with pytest.raises(Exception, match="fewer than 3"):
+        enrichment.markov_shuffled(query, sizes, 2).collect()
+    many = spark.createDataFrame([("chr1", 9000 * i, 9000 * i + 500 * (i % 5 + 1)) for i in range(40)], "chrom string, start long, end long")
+    drawn = enrichment.markov_shuffled(many, sizes, 3).collect()
+    assert len(drawn) == 120 and all(0 < r["end"] - r["start"] <= 3000 for r in drawn)
+    flags = spark.createDataFrame([([1, 1, 0, 0],)] * 1000 + [([0, 0, 1, 1],)] * 100, "flags array<int>")
+    assert {tuple(r["pattern"]): r["weight"] for r in mining.squished(flags).collect()} == {(1, 1, 0, 0): 4, (0, 0, 1, 1): 1}
+    rare = spark.createDataFrame([([1, 0],)] * 40_000 + [([0, 1],)], "flags array<int>")
+    assert {tuple(r["pattern"]): r["weight"] for r in mining.squished(rare).collect()} == {(1, 0): 100, (0, 1): 1}
+    run = spark.createDataFrame([("e", 200, 10.0, 4.0, 12, 100.0, 400.0, 90), ("e", 200, 12.0, 6.0, 12, 80.0, 300.0, 90)], "k string, n_shuffles int, nb_intersections_expectation_shuffled double, nb_intersections_variance_shuffled double, nb_intersections_true int, summed_bp_overlaps_expectation_shuffled double, summed_bp_overlaps_variance_shuffled double, summed_bp_overlaps_true int")
+    both = enrichment.merged_runs(run, ["k"]).first()
+    assert both["n_shuffles"] == 400 and both["nb_intersections_expectation_shuffled"] == 11
+    assert math.isclose(both["summed_bp_overlaps_log10_pvalue"], negbin_log10_pvalue(90, 90, both["summed_bp_overlaps_variance_shuffled"]))
+    assert [r["minus_log10_pvalue"] for r in enrichment.stacked_runs({"a": spark.createDataFrame([(0.0,), (0.01,), (-1.0,)], "summed_bp_overlaps_pvalue double")}).collect()] == [320.0, 2.0, None]
+    tree = {("+".join(r["parent"]), "+".join(r["child"])) for r in enrichment.combination_tree(spark.createDataFrame([(["A"], 10), (["A", "B"], 5), (["A", "B", "C"], 2), (["D"], 4)], "sets array<string>, s long")).collect()}
+    assert tree == {("A", "A+B"), ("A+B", "A+B+C"), ("Query", "A"), ("Query", "D")}
+
+
 def test_signal_and_enrichment(rows, sizes, spark):
     track = spark.createDataFrame([("s", "chr1", 9, 19, 2.0), ("s", "chr1", 100, 130, 1.0)], "track string, chrom string, start long, end long, value double")
     genes = bed(rows.where("feature = 'gene'"))

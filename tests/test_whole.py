@@ -33,13 +33,18 @@ def test_tss_distances_of_catch_all_gene(over):
     genes = ["gxg04200000042"] * 300 + ["g1"] * 5 + ["g2"]
     tx = [feature(i, "transcript", s := rng.randint(1, 400), s + rng.randint(0, 90), "-" if g == "g1" else "+", g, f"t{i:03}") for i, g in enumerate(genes)]
     site = {f[10]: (f[5] if f[7] == "-" else f[4], -f[5] if f[7] == "-" else f[4]) for f in tx}
-    expected = []
+    pairs, ladder = [], []
+    asked = {f[10] for f in tx if f[0] % 20 == 0}
     for g in set(genes):
         own = [f[10] for f in tx if f[9] == g]
-        ranks = {w: i + 1 for i, w in enumerate(sorted({site[t][1] for t in own}))}
+        ways = sorted({site[t][1] for t in own})
+        ranks = {w: i + 1 for i, w in enumerate(ways)}
         key = {t: (ranks[site[t][1]], t) for t in own}
-        expected += [(g, a, b, abs(site[a][0] - site[b][0]), key[a][0], key[b][0]) for a in own for b in own if key[a] < key[b]]
-    assert over("agg_07_tss_dist", tx) == sorted(expected)
+        pairs += [(g, a, b, abs(site[a][0] - site[b][0]), key[a][0], key[b][0]) for a in own for b in own if key[a] < key[b] and {a, b} & asked]
+        place = {ranks[site[t][1]]: site[t][0] for t in own}
+        ladder += [(g, t, site[t][0], r, None if r == 1 else abs(site[t][0] - place[r - 1]), abs(site[t][0] - place[1]), sum(key[u][0] > r for u in own)) for t in own for r in [key[t][0]]]
+    assert over("agg_07_tss_pairs", tx) == sorted(pairs)
+    assert sorted(map(str, over("agg_07_tss_dist", tx))) == sorted(map(str, ladder))
 
 
 def test_all_genes_are_excluded(over):
