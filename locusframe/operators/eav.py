@@ -46,8 +46,8 @@ def deltas(rows: DataFrame, types: list[tuple[str, str, bool]], entity: str, key
     """Sparse wide deltas: one row (entity, batch, cells) per entity and batch, sorted by entity within each partition.
 
     `cells` maps the number of each declared key that has a value to its CELL, with the version of the newest fitting value.
-    Without a batch column all rows are one batch; results don't depend on the batches. Equal values of a cell are taken together
-    on the map side, spread by value, so only the distinct values of a hot entity ever meet.
+    Without a batch column all rows are one batch; results don't depend on the batches. The values of a cell are taken together
+    on the map side, so a hot entity sends one row per cell and task; only of list keys all distinct values meet, as they do in the result.
     Null entities and undeclared keys give nothing, nor do null, empty and marker values; but an entity with any row of a
     declared key has a delta, if an empty one.
     """
@@ -61,11 +61,9 @@ def deltas(rows: DataFrame, types: list[tuple[str, str, bool]], entity: str, key
     fits = F.col("text").isNotNull()
     flat = flat.withColumns({"l": F.when(F.col("kind") == "long", F.col("text").try_cast("bigint")), "d": F.when(F.col("kind") == "double", F.col("text").try_cast("double"))})
     listed = F.col("k").isin(*lists) if lists else F.lit(False)
-    # Equal values of a cell are taken together first: what is left of a hot entity are its distinct values.
-    once = flat.groupBy("entity", "batch", "k", "text", F.when(listed, F.col("v")).alias("at")).agg(F.max("v").alias("v"), F.max("l").alias("l"), F.max("d").alias("d"), F.max(F.col("given").isNotNull()).alias("some"))
     latest = F.max(F.when(fits, F.struct("v", "l", "d", "text")))
-    measures = {"latest": latest, "low": F.min("text"), "high": F.max("text"), "some": F.max("some"), "items": F.collect_set(F.when(listed & fits, F.struct("v", "text")))}
-    cells = once.groupBy("entity", "batch", "k").agg(*(v.alias(c) for c, v in measures.items()))
+    measures = {"latest": latest, "low": F.min("text"), "high": F.max("text"), "some": F.max(F.col("given").isNotNull()), "items": F.collect_set(F.when(listed & fits, F.struct("v", "text")))}
+    cells = flat.groupBy("entity", "batch", "k").agg(*(v.alias(c) for c, v in measures.items()))
     items = F.when(F.col("k").isin(*lists), F.col("items")) if lists else F.lit(None).cast("array<struct<v:bigint,text:string>>")
     cell = F.struct("latest.v", "latest.l", "latest.d", "latest.text", F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("differ"), items.alias("items"))
     entries = F.collect_list(F.when(F.col("some"), F.struct(F.col("k").cast("smallint").alias("k"), cell.alias("cell"))))
@@ -76,22 +74,21 @@ def compacted(runs: DataFrame, types: list[tuple[str, str, bool]]) -> DataFrame:
     """Merge sorted runs of deltas into one row (entity, cells) per entity: per cell the latest version wins.
 
     A cell differs if it does in any run or if the runs' values do; list values are united. Ties of a version go to the greatest
-    value. The deltas of an entity come together sorted, one row a batch.
+    value. The deltas of an entity, one row a batch, come together in one shuffle, for both steps.
     """
-    whole = runs.groupBy("entity").agg(F.collect_list("cells").alias("deltas"))
-    newest = F.struct(*(F.lit(None).cast(t).alias(n) for n, t in (("v", "bigint"), ("l", "bigint"), ("d", "double"), ("text", "string"))))
-
-    def merged(key: Column) -> Column:
-        own = F.filter(F.transform("deltas", lambda m: m[key]), lambda c: c.isNotNull())
-        fitting = F.filter(own, lambda c: c["text"].isNotNull())
-        top = F.coalesce(F.array_max(F.transform(fitting, lambda c: F.struct(c["v"].alias("v"), c["l"].alias("l"), c["d"].alias("d"), c["text"].alias("text")))), newest)
-        differ = F.exists(own, lambda c: c["differ"]) | (F.array_min(F.transform(fitting, lambda c: c["text"])) != F.array_max(F.transform(fitting, lambda c: c["text"])))
-        items = F.filter(F.transform(own, lambda c: c["items"]), lambda i: i.isNotNull())
-        return F.struct(top["v"].alias("v"), top["l"].alias("l"), top["d"].alias("d"), top["text"].alias("text"), F.coalesce(differ, F.lit(False)).alias("differ"), F.when(F.size(items) > 0, F.array_distinct(F.flatten(items))).alias("items"))
-
-    keys = F.array_distinct(F.flatten(F.transform("deltas", F.map_keys)))
-    single = F.when(F.size("deltas") == 1, F.get("deltas", F.lit(0))).otherwise(F.map_from_arrays(keys, F.transform(keys, merged)).cast(f"map<smallint,{CELL}>"))
-    return whole.select("entity", single.alias("cells"))
+    each = runs.select("entity", "cells").repartition("entity").select("entity", F.explode_outer("cells").alias("k", "c"))
+    fits = F.col("c.text").isNotNull()
+    measures = {"latest": F.max(F.when(fits, F.struct("c.v", "c.l", "c.d", "c.text"))), "low": F.min("c.text"), "high": F.max("c.text"), "differ": F.max("c.differ")}
+    lists = [i for i, (_, _, many) in enumerate(types) if many]
+    items = F.lit(None).cast("array<struct<v:bigint,text:string>>")
+    if lists:
+        measures["items"] = F.flatten(F.collect_list("c.items"))
+        items = F.when(F.col("k").isin(*lists), F.array_distinct("items"))
+    merged = each.groupBy("entity", "k").agg(*(v.alias(c) for c, v in measures.items()))
+    differ = F.coalesce(F.col("differ") | (F.col("low") != F.col("high")), F.lit(False))
+    cell = F.struct("latest.v", "latest.l", "latest.d", "latest.text", differ.alias("differ"), items.alias("items"))
+    entries = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", cell.alias("cell"))))
+    return merged.groupBy("entity").agg(F.map_from_entries(entries).cast(f"map<smallint,{CELL}>").alias("cells"))
 
 
 @operator("EAV-WIDE", group="reshape")
