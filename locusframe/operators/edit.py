@@ -145,3 +145,9 @@ def bed_to_annotation(bed: DataFrame, feature: str = "transcript", source: str =
     ids = {"gene_id": name, "transcript_id": F.when(F.lit(feature != "gene"), name), "exon_id": F.when(F.lit(feature == "exon"), name)}
     return bed.select("rid", F.col("chrom").alias("seqid"), F.lit(source).alias("source"), F.lit(feature).alias("feature"), (F.col("start") + 1).alias("start"), "end", F.coalesce("score", F.lit("0")).alias("score"), F.coalesce("strand", F.lit(".")).alias("strand"), F.lit(".").alias("phase"), attrs_of(**ids).alias("attrs"))
 
+
+@operator("ATT-13", group="edit")
+def prepared(rows: DataFrame, keep: list[str], features: str = "*", add_missing: bool = False) -> DataFrame:
+    """Rows of some features with some attributes only (the ids always stay), missing gene and transcript rows added if wanted."""
+    chosen = rows.where(_chosen(features)).withColumn("attrs", F.filter("attrs", lambda a: a["key"].isin(*keep, *PROTECTED)))
+    return to_ensembl(chosen) if add_missing else chosen

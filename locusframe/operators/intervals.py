@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.model import attr, bed, value
+from locusframe.model import attr, bed, value, with_attr
 from locusframe.operators.blocks import block_of, carried, ranked_places, rank_upto, summed_before
 from locusframe.operators.periods import periods_and_gaps
 from locusframe.registry import operator
@@ -239,12 +239,12 @@ def intergenic(rows: DataFrame, sizes: DataFrame, upstream: int = 0, downstream:
 
 
 @operator("IV-13", group="intervals")
-def ends(rows: DataFrame, feature: str = "transcript", three_prime: bool = False, name: tuple[str, ...] = ("transcript_id",), sep: str = "|", transpose: int = 0, explicit: bool = False) -> DataFrame:
+def ends(rows: DataFrame, feature: str = "transcript", three_prime: bool = False, name: tuple[str, ...] = ("transcript_id",), sep: str = "|", transpose: int = 0, explicit: bool = False, missing: str = "?") -> DataFrame:
     """One-base intervals at the 5' (or 3') end of a feature's rows, moved along the strand; unstranded rows are an error."""
     plus = F.col("end") if three_prime else F.col("start")
     minus = F.col("start") if three_prime else F.col("end")
     place = F.when(F.col("strand") == "+", plus + transpose).when(F.col("strand") == "-", minus - transpose).otherwise(F.raise_error(F.lit("a feature without strand has no 5' end")).cast("bigint"))
-    shown = [F.concat(F.lit(f"{n}=" if explicit else ""), F.coalesce(value(n), F.lit("?"))) for n in name]
+    shown = [F.concat(F.lit(f"{n}=" if explicit else ""), F.coalesce(value(n), F.lit(missing))) for n in name]
     return rows.where(F.col("feature") == feature).select("rid", F.col("seqid").alias("chrom"), (place - 1).alias("start"), place.alias("end"), F.concat_ws(sep, *shown).alias("name"), "score", "strand")
 
 
@@ -320,6 +320,20 @@ def overlapping_transcripts(rows: DataFrame, sizes: DataFrame, region: str = "tr
     return met.groupBy(F.col("name").alias("transcript_id")).agg(F.array_sort(F.collect_set("name_b")).alias("others"))
 
 
+def select_overlapping(rows: DataFrame, overlaps: DataFrame, invert: bool = False) -> DataFrame:
+    """All rows of the transcripts that overlap others; invert: of all other transcripts."""
+    keyed = rows.withColumn("__tx", attr("transcript_id")).where("__tx IS NOT NULL")
+    return keyed.join(overlaps.select(F.col("transcript_id").alias("__tx")), "__tx", "left_anti" if invert else "left_semi").drop("__tx")
+
+
+def annotate_overlapping(rows: DataFrame, overlaps: DataFrame, key: str = "overlapping", as_flag: bool = False, every_feature: bool = False, sep: str = ",") -> DataFrame:
+    """Transcript rows (or all rows of a transcript) with an attribute: the transcripts that overlap, or 1 and 0."""
+    shown = F.col("feature").isin("transcript") | F.lit(every_feature)
+    keyed = rows.withColumn("__tx", F.when(shown, attr("transcript_id"))).join(overlaps.select(F.col("transcript_id").alias("__tx"), F.array_join("others", sep).alias("__o")), "__tx", "left")
+    value_of = F.when(F.col("__o").isNotNull(), "1").when(F.col("__tx").isNotNull(), "0") if as_flag else F.col("__o")
+    return keyed.withColumn("attrs", with_attr(key, value_of)).drop("__tx", "__o")
+
+
 @operator("IV-20", group="intervals")
 def closest_genes(rows: DataFrame, k: int = 1, origin: str = "tss", target: str = "tss", strand: str = "any") -> DataFrame:
     """(gene, neighbour, distance): the k nearest genes of every gene between tss, tts or gene regions, ties included."""
@@ -334,6 +348,20 @@ def closest_genes(rows: DataFrame, k: int = 1, origin: str = "tss", target: str
     return found.select(F.col("name").alias("gene"), F.col("name_b").alias("neighbour"), "distance")
 
 
+def collapsed_neighbours(neighbours: DataFrame, sep: str = ",") -> DataFrame:
+    """(gene, neighbours, distances): the neighbours of each gene in one row, nearest first, ties by name."""
+    near = F.array_sort(F.collect_set(F.struct("distance", "neighbour")))
+    lists = neighbours.groupBy("gene").agg(near.alias("n"))
+    return lists.select("gene", F.array_join(F.transform("n", lambda x: x["neighbour"]), sep).alias("neighbours"), F.array_join(F.transform("n", lambda x: x["distance"].cast("string")), sep).alias("distances"))
+
+
+def with_neighbours(rows: DataFrame, neighbours: DataFrame, key: str = "closest_gene", sep: str = ",") -> DataFrame:
+    """Gene rows with an attribute that lists their neighbours; other rows as they are."""
+    named = collapsed_neighbours(neighbours, sep).select(F.col("gene").alias("__g"), "neighbours")
+    keyed = rows.withColumn("__g", F.when(F.col("feature") == "gene", attr("gene_id")))
+    return keyed.join(named, "__g", "left").withColumn("attrs", with_attr(key, F.col("neighbours"))).drop("__g", "neighbours")
+
+
 @operator("IV-21", group="intervals")
 def regulatory_domains(rows: DataFrame, sizes: DataFrame, upstream: int = 5000, downstream: int = 1000, distal: int = 1_000_000, genes: DataFrame | None = None) -> DataFrame:
     """(chrom, start, end, name, strand): each gene's basal domain, extended to the neighbours' basal domains, at most by distal.

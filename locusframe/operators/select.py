@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.conditions import condition
-from locusframe.model import attr, value, with_position
+from locusframe.model import attr, value, with_attr, with_position
 from locusframe.operators.blocks import ranked_places, rank_upto
 from locusframe.registry import operator
 
@@ -205,17 +205,23 @@ def select_most_5p(rows: DataFrame, keep_genes: bool = False) -> DataFrame:
 
 
 @operator("SEL-17", group="select")
-def select_by_intron_size(rows: DataFrame, size: int, merged: bool = False, drop_monoexonic: bool = False, invert: bool = False) -> DataFrame:
+def select_by_intron_size(rows: DataFrame, size: int, merged: bool = False, drop_monoexonic: bool = False, invert: bool = False, add_size: bool = False) -> DataFrame:
     """Rows of transcripts without an intron shorter than size (invert: without one of at least size).
 
-    merged compares the summed intron length. Transcripts of one exon stay unless drop_monoexonic.
+    merged compares the summed intron length. Transcripts of one exon stay unless drop_monoexonic. add_size: transcript rows get
+    the attribute intron_size, the lengths from left to right (merged: their sum), 0 without introns.
     """
     exons = rows.where(F.col("feature") == "exon").select(attr("transcript_id").alias("__tx"), "start", "end").where("__tx IS NOT NULL").distinct()
     order = Window.partitionBy("__tx").orderBy("start", "end")
-    introns = exons.withColumn("gap", F.lead("start").over(order) - F.col("end") - 1).groupBy("__tx").agg(F.min("gap").alias("least"), F.max("gap").alias("most"), F.sum("gap").alias("whole"))
+    introns = exons.withColumn("gap", F.lead("start").over(order) - F.col("end") - 1).groupBy("__tx").agg(F.min("gap").alias("least"), F.max("gap").alias("most"), F.sum("gap").alias("whole"), F.transform(F.array_sort(F.collect_list(F.when(F.col("gap").isNotNull(), F.struct("start", "gap")))), lambda x: x["gap"].cast("string")).alias("sizes"))
     small, large = (F.col("whole") < size, F.col("whole") >= size) if merged else (F.col("least") < size, F.col("most") >= size)
     kept = F.coalesce(~(large if invert else small), F.lit(not drop_monoexonic))
-    return _members(rows, introns.where(kept))
+    out = _members(rows, introns.where(kept))
+    if not add_size:
+        return out
+    sizes = F.coalesce(F.col("whole"), F.lit(0)).cast("string") if merged else F.when(F.size("sizes") > 0, F.array_join("sizes", ",")).otherwise(F.lit("0"))
+    keyed = out.withColumn("__tx", F.when(F.col("feature") == "transcript", attr("transcript_id")))
+    return keyed.join(introns.select("__tx", sizes.alias("__s")), "__tx", "left").withColumn("attrs", with_attr("intron_size", F.col("__s"))).drop("__tx", "__s")
 
 
 @operator("SEL-18", group="select")
@@ -265,3 +271,24 @@ def head(rows: DataFrame, n: int = 6) -> DataFrame:
 def tail(rows: DataFrame, n: int = 6) -> DataFrame:
     """The last rows in file order."""
     return rows.orderBy(F.desc("rid")).limit(n).orderBy("rid")
+
+
+@operator("ORD-06", group="order")
+def sorted_by(table: DataFrame, by: str, descending: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+    """A table in the order of one column, its other columns going along; ties by further columns."""
+    return table.orderBy(F.desc(f"`{by}`") if descending else F.asc(f"`{by}`"), *(f"`{t}`" for t in ties))
+
+
+@operator("SET-04", group="set")
+def without_keys(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose key is not among the keys of another table; rows with a null key stay."""
+    return table.join(keys.select(F.col(f"`{column}`")).where(F.col(f"`{column}`").isNotNull()).distinct(), column, "left_anti").select(*(f"`{c}`" for c in table.columns))
+
+
+@operator("SET-05", group="set")
+def concatenated(tables: list[DataFrame]) -> DataFrame:
+    """All rows of several tables below each other; columns that a table lacks are null there."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out

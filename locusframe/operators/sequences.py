@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.model import attr
+from locusframe.model import attr, value
 from locusframe.registry import operator
 
 #: Bases per chunk: a chromosome is never one row, and a feature reads the chunks it touches only.
@@ -41,7 +41,7 @@ def fetch(intervals: DataFrame, genome: DataFrame, stranded: bool = True, chunk:
     return out.withColumn("bases", F.when(F.lit(stranded) & (F.col("strand") == "-"), reverse_complement(F.col("bases"))).otherwise(F.col("bases")))
 
 
-@operator("SEQ-01", "SEQ-03", group="sequences")
+@operator("SEQ-01", group="sequences")
 def transcript_sequences(rows: DataFrame, genome: DataFrame, with_introns: bool = False, rev_comp: bool = True, chunk: int = CHUNK) -> DataFrame:
     """(transcript_id, gene_id, chrom, strand, sequence): spliced exons (or the whole span) of every transcript, 5' to 3'."""
     exons = rows.where(F.col("feature") == "exon").select("rid", F.col("seqid").alias("chrom"), (F.col("start") - 1).alias("start"), "end", "strand", attr("transcript_id").alias("transcript_id"), attr("gene_id").alias("gene_id")).where("transcript_id IS NOT NULL")
@@ -67,3 +67,24 @@ def fasta_lines(sequences: DataFrame, header: list[str], sequence: str = "sequen
     """One text column per record: a header of the given columns and the sequence in lines of `width`."""
     body = F.regexp_replace(F.col(sequence), f"(.{{{width}}})(?=.)", "$1\n")
     return sequences.select(F.concat(F.lit(">"), F.concat_ws(sep, *header), F.lit("\n"), body).alias("value"))
+
+
+@operator("SEQ-03", group="sequences")
+def sequence_headers(sequences: DataFrame, rows: DataFrame, labels: list[str], sep: str = "|", explicit: bool = False, no_version: bool = False, no_chr: bool = False, sleuth: bool = False) -> DataFrame:
+    """Transcript sequences with their FASTA `header`: the labels of the transcript's row, '?' where it lacks one.
+
+    explicit writes `label=value`; no_version cuts a final dot and digits off ids; no_chr cuts `chr` off sequence names;
+    sleuth gives the header `transcript gene:gene_id` of that tool instead. Of several rows of a transcript the first counts.
+    """
+    def shown(name: str) -> Column:
+        text = F.coalesce(value(name), F.lit("?"))
+        text = F.regexp_replace(text, r"\.[0-9]+\z", "") if no_version and name in ("gene_id", "transcript_id") else text
+        return F.regexp_replace(text, r"\Achr", "") if no_chr and name in ("chrom", "seqid") else text
+
+    if sleuth:
+        header = F.concat(shown("transcript_id"), F.lit(" gene:"), shown("gene_id"))
+    else:
+        header = F.concat_ws(sep, *(F.concat(F.lit(f"{n}=" if explicit else ""), shown(n)) for n in labels))
+    own = rows.where(F.col("feature") == "transcript").select("rid", attr("transcript_id").alias("transcript_id"), header.alias("header")).where("transcript_id IS NOT NULL")
+    first = own.groupBy("transcript_id").agg(F.min_by("header", "rid").alias("header"))
+    return sequences.join(first, "transcript_id", "left").withColumn("header", F.coalesce("header", "transcript_id"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.conditions import condition
-from locusframe.operators.intervals import flank, overlap_join
+from locusframe.operators.intervals import flank, merge, overlap_join
 from locusframe.registry import operator
 
 
@@ -88,14 +86,9 @@ def normalized(values: DataFrame, upper: float | None = 0.95, log: bool = False,
 
 @operator("SIG-06", group="signal")
 def signal_runs(signal: DataFrame, test: str) -> DataFrame:
-    """(track, chrom, start, end): runs of adjacent segments whose value `s` meets a condition; gaps end a run."""
+    """(track, chrom, start, end): runs of adjacent segments whose value `s` meets a condition; gaps end a run, empty segments are none."""
     hit, _ = condition(test, lambda key: F.col("value") if key == "s" else F.raise_error(F.lit(f"unknown name: {key}")).cast("double"))
-    kept = signal.where(hit)
-    order = Window.partitionBy("track", "chrom").orderBy("start", "end")
-    far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = (far.isNull() | (F.col("start") > far)).cast("int")
-    runs = kept.withColumn("__new", new).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return runs.groupBy("track", "chrom", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+    return merge(signal.where(hit), ("track",))
 
 
 #: Genes of one group above which the sequential matching is refused.
@@ -107,7 +100,8 @@ def matched_controls(genes: DataFrame, group: str = "group", log: bool = True, p
     """(group, gene, control): for every reference gene in order of id the unused other gene nearest in expression.
 
     genes: group, gene, expression, is_reference. Ties go to the least id. The choice depends on all earlier ones,
-    so one group is matched in one task; a group of more than MOST_MATCHED genes raises.
+    so one group is matched in one task; a group of more than MOST_MATCHED genes raises. Genes of one expression are used
+    up in order of id and then passed over, so the work grows with the number of genes however many are alike.
     """
     level = F.log2(F.col("expression") + pseudo_count) if log else F.col("expression")
 
@@ -116,7 +110,11 @@ def matched_controls(genes: DataFrame, group: str = "group", log: bool = True, p
             raise ValueError(f"more than {MOST_MATCHED} genes in one group")
         rows = rows.dropna(subset=["x", "gene"])
         pool = rows[~rows["is_reference"]].sort_values(["x", "gene"], kind="stable")
-        xs, names = pool["x"].to_numpy(), pool["gene"].to_numpy()
+        names = pool["gene"].to_numpy()
+        xs, first = np.unique(pool["x"].to_numpy(), return_index=True)
+        following, last = first.copy(), np.append(first[1:], len(names))
+        # Levels used up are passed over; places are shifted by one, so that 0 and the last one are the ends.
+        down, up = np.arange(len(xs) + 1), np.arange(len(xs) + 1)
 
         def root(links: np.ndarray, i: int) -> int:
             while links[i] != i:
@@ -124,28 +122,18 @@ def matched_controls(genes: DataFrame, group: str = "group", log: bool = True, p
                 i = links[i]
             return i
 
-        down, up = np.arange(len(xs) + 1), np.arange(len(xs) + 1)  # places shifted by one; 0 and len are the ends
-        used = np.zeros(len(xs), bool)
         out = []
         for gene, x in rows[rows["is_reference"]].sort_values("gene")[["gene", "x"]].itertuples(index=False):
             i = int(np.searchsorted(xs, x, side="left"))
-            a, b = root(down, i) - 1, root(up, i)
-            if a < 0 and b >= len(xs):
+            sides = [(abs(xs[j] - x), names[following[j]], j) for j in (root(down, i) - 1, root(up, i)) if 0 <= j < len(xs)]
+            if not sides:
                 break
-            near = min(x - xs[a] if a >= 0 else np.inf, xs[b] - x if b < len(xs) else np.inf)
-            best = min((names[j], j) for side in ((a, -1), (b, 1)) for j in _ties(xs, used, side, x, near))[1]
-            used[best] = True
-            down[best + 1], up[best] = best, best + 1
-            out.append((rows[group].iloc[0], gene, names[best]))
+            _, name, best = min(sides)
+            following[best] += 1
+            if following[best] == last[best]:
+                down[best + 1], up[best] = best, best + 1
+            out.append((rows[group].iloc[0], gene, name))
         return pd.DataFrame(out, columns=["group", "gene", "control"])
 
     given = genes.select(F.col(group).cast("string").alias(group), F.col("gene").cast("string").alias("gene"), level.cast("double").alias("x"), F.col("is_reference").cast("boolean").alias("is_reference"))
     return given.groupBy(group).applyInPandas(match, "group string, gene string, control string")
-
-
-def _ties(xs: np.ndarray, used: np.ndarray, side: tuple[int, int], x: float, near: float) -> Iterator[int]:
-    at, step = side
-    while 0 <= at < len(xs) and abs(xs[at] - x) == near:
-        if not used[at]:
-            yield at
-        at += step

@@ -231,6 +231,6 @@ query("win_01_exon_number", "SELECT rid, row_number() OVER (PARTITION BY tx ORDE
 )
 query("win_02_tss_number", _TSS + " SELECT gene_id, transcript_id, tss_rank AS tss_number, abs(tss - first_value(tss) OVER (PARTITION BY gene_id ORDER BY tss_rank)) AS dist_to_first_tss, max(tss_rank) OVER (PARTITION BY gene_id) AS nb_tss FROM q")(A.tss_numbering)
 query("ord_04_top", "SELECT rid, e - s + 1 AS size FROM f ORDER BY size DESC, rid LIMIT 40")(lambda r: A.top_rows(A.feature_sizes(r), "size", 40, ["rid"]))
-query("set_01_distinct", "SELECT DISTINCT seqid, feature, s AS start, e AS end FROM f")(lambda r: r.select("seqid", "feature", "start", "end").distinct())
+query("set_01_distinct", "SELECT DISTINCT seqid, feature, s AS start, e AS end FROM f")(lambda r: P.columns_of(r, ["seqid", "feature", "start", "end"], distinct=True))
 query("set_03_complement", "SELECT rid FROM f WHERE feature NOT IN ('exon', 'cds')")(lambda r: _rids(r).exceptAll(_rids(S.select_by_key(r, "feature", "exon,cds"))))
-query("set_05_concat", "SELECT rid FROM f WHERE feature = 'gene' UNION ALL SELECT rid FROM f WHERE feature = 'exon'")(lambda r: _rids(r.where("feature = 'gene'")).unionByName(_rids(r.where("feature = 'exon'"))))
+query("set_05_concat", "SELECT rid FROM f WHERE feature = 'gene' UNION ALL SELECT rid FROM f WHERE feature = 'exon'")(lambda r: S.concatenated([_rids(S.select_by_key(r, "feature", x)) for x in ("gene", "exon")]))

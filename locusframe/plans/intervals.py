@@ -11,6 +11,7 @@ from locusframe.functions.labels import label
 from locusframe.model import annotation, attr, bed
 from locusframe.operators import intervals as I
 from locusframe.operators.aggregate import add_exon_number
+from locusframe.operators.project import columns_of
 from locusframe.plans.annotation import BASE
 from locusframe.session import table
 
@@ -136,6 +137,15 @@ query("iv_18_convergent", _paired_sql(True))(lambda r, z: I.paired_ends(r, z, co
 query("iv_19_overlapping", f", n AS ({_ends_sql(False)}), o AS ({_SLOP.format(l=1000, r=200, of='n', more=', gene')}), p AS (SELECT DISTINCT o.name, t.name AS other FROM o JOIN t ON o.chrom = t.chrom AND o.b < t.e AND t.b < o.e AND o.gene <> t.gene AND t.name <> '?') SELECT name AS transcript_id, string_agg(other, ',' ORDER BY other) AS others FROM p GROUP BY name")(
     lambda r, z: I.overlapping_transcripts(r, z, "promoter", 1000, 200).withColumn("others", F.array_join("others", ","))
 )
+query("iv_07_upstream", "SELECT a.rid, coalesce(a.b + 1 - max(c.e) FILTER (WHERE a.strand <> '-'), min(c.b) FILTER (WHERE a.strand = '-') - a.e + 1, -1) AS distance FROM g a LEFT JOIN g c ON a.chrom = c.chrom AND CASE WHEN a.strand = '-' THEN c.b >= a.e ELSE c.e <= a.b END GROUP BY a.rid, a.b, a.e, a.strand")(
+    lambda r, z: I.next_beside(bed(r.where("feature = 'gene'")).where("name <> '?'"), bed(r.where("feature = 'gene'")).where("name <> '?'")).select("rid", "distance")
+)
+query("iv_19_annotated", f", n AS ({_ends_sql(True)}), o AS ({_SLOP.format(l=500, r=500, of='n', more=', gene')}), p AS (SELECT DISTINCT o.name FROM o JOIN t ON o.chrom = t.chrom AND o.b < t.e AND t.b < o.e AND o.gene <> t.gene AND t.name <> '?') SELECT rid, CASE WHEN feature = 'transcript' AND tx IS NOT NULL THEN CASE WHEN tx IN (SELECT name FROM p) THEN '1' ELSE '0' END END AS mark FROM f")(
+    lambda r, z: I.annotate_overlapping(r, I.overlapping_transcripts(r, z, "tts", 500, 500), "mark", as_flag=True).select("rid", attr("mark").alias("mark"))
+)
+query("iv_20_collapsed", f", c AS {_SITE}, p AS (SELECT a.rid, a.name AS gene, c.name AS neighbour, {_DIST} AS distance FROM c a JOIN c ON a.chrom = c.chrom AND a.name <> c.name), q AS (SELECT *, rank() OVER (PARTITION BY rid ORDER BY distance) AS r FROM p), d AS (SELECT DISTINCT gene, neighbour, distance FROM q WHERE r <= 2) SELECT gene, string_agg(neighbour, ',' ORDER BY distance, neighbour) AS neighbours, string_agg(CAST(distance AS VARCHAR), ',' ORDER BY distance, neighbour) AS distances FROM d GROUP BY gene")(
+    lambda r, z: I.collapsed_neighbours(I.closest_genes(r, 2))
+)
 query("iv_21_regulatory", f", c AS {_SITE}, d AS ({_SLOP.format(l=5000, r=1000, of='c', more=', size')}), m AS (SELECT d.*, (SELECT max(e) FROM d l WHERE l.chrom = d.chrom AND l.e <= d.b) AS le, (SELECT min(b) FROM d l WHERE l.chrom = d.chrom AND l.b >= d.e) AS rs FROM d WHERE b < e) SELECT DISTINCT chrom, greatest(coalesce(le, 0), b - 100000, 0) AS start, least(coalesce(rs, size), e + 100000, size) AS end, name, strand FROM m")(
     lambda r, z: I.regulatory_domains(r, z, distal=100_000)
 )
@@ -146,8 +156,6 @@ query("iv_23_exclude_sizes", ", " + _merged_sql("g", "m") + " SELECT chrom, CAST
 query("iv_24_gaps", ", " + _merged_sql("x", "m") + ", y AS (SELECT chrom, b, e FROM m UNION ALL SELECT chrom, size, NULL FROM z WHERE chrom IN (SELECT chrom FROM m)) SELECT chrom, row_number() OVER w AS number, e - b AS length, greatest(b - coalesce(lag(e) OVER w, 0), 0) AS gap FROM y WINDOW w AS (PARTITION BY chrom ORDER BY e IS NULL, b, e)")(
     lambda r, z: I.lengths_and_gaps(I.merge(_exons(r)), z)
 )
-query("src_07_chromosomes", "SELECT chrom, 0 AS start, size AS end, chrom AS name, 0 AS score, '.' AS strand FROM z")(
-    lambda r, z: z.select("chrom", F.lit(0).alias("start"), F.col("size").alias("end"), F.col("chrom").alias("name"), F.lit(0).alias("score"), F.lit(".").alias("strand"))
-)
+query("src_07_chromosomes", "SELECT chrom, 0 AS start, size AS end, chrom AS name, '0' AS score, '.' AS strand FROM z")(lambda r, z: I.chromosomes(z))
 query("snk_05_bed3", "SELECT seqid AS chrom, s - 1 AS start, e AS end FROM f")(lambda r, z: bed(r).select("chrom", "start", "end"))
-query("iv_09_cut", "SELECT seqid AS chrom, gene AS gene_id FROM f")(lambda r, z: r.select(F.col("seqid").alias("chrom"), attr("gene_id").alias("gene_id")))
+query("iv_09_cut", "SELECT seqid AS chrom, coalesce(gene, '?') AS gene_id FROM f")(lambda r, z: columns_of(bed(r).withColumnRenamed("name", "gene_id"), ["chrom", "gene_id"]))

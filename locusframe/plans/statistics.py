@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,9 +82,22 @@ query("sig_02_matrix", ", " + _BINS.format(n=1) + " SELECT rid, round(max(val) F
     lambda r, z: G.coverage_matrix(G.coverage(_genes(r), signal(r), TRACKS), TRACKS).select("rid", *(F.round(t, 4).alias(t) for t in TRACKS))
 )
 query("sig_03_profile", ", " + _BINS.format(n=8) + " SELECT rid, track, CAST(CASE WHEN strand = '-' THEN 7 - k ELSE k END AS INT) AS bin, val AS value FROM o")(lambda r, z: G.binned_signal(_genes(r), signal(r), TRACKS, 8, stranded=True))
-query("sig_04_parts", ", p AS (SELECT count(*) AS n FROM g JOIN z USING (chrom)) SELECT 'main' AS part, (SELECT count(*) * 20 FROM g WHERE e - b >= 10) AS n_bins UNION ALL SELECT 'up', count(*) * 4 FROM g JOIN z USING (chrom) WHERE CASE WHEN strand = '-' THEN least(e + 1000, size) - e ELSE b - greatest(b - 1000, 0) END >= 2 UNION ALL SELECT 'down', count(*) * 4 FROM g JOIN z USING (chrom) WHERE CASE WHEN strand = '-' THEN b - greatest(b - 1000, 0) ELSE least(e + 1000, size) - e END >= 2")(
-    lambda r, z: G.signal_matrix(_genes(r), signal(r), z, TRACKS, bins=10, around=0.2).groupBy("part").agg(F.count(F.lit(1)).alias("n_bins"))
-)
+_SIDES = "s AS (SELECT rid, chrom, strand, 'up' AS side, CASE WHEN strand = '-' THEN e ELSE greatest(b - 1000, 0) END AS b, CASE WHEN strand = '-' THEN least(e + 1000, size) ELSE b END AS e FROM g JOIN z USING (chrom) UNION ALL SELECT rid, chrom, strand, 'down', CASE WHEN strand = '-' THEN greatest(b - 1000, 0) ELSE e END, CASE WHEN strand = '-' THEN b ELSE least(e + 1000, size) END FROM g JOIN z USING (chrom))"
+
+
+def _parts_sql() -> str:
+    """Bins of regions and of both flanks, each from _BINS with names of its own."""
+    parts, shown = [f", {_SIDES}"], []
+    for part, n in (("main", 10), ("up", 2), ("down", 2)):
+        own = f", h{part} AS ({'SELECT * FROM g' if part == 'main' else f"SELECT rid, chrom, strand, b, e FROM s WHERE side = '{part}'"}), " + _BINS.format(n=n)
+        for x in ("w", "c", "y", "o"):
+            own = re.sub(rf"(?<![.\w]){x}(?= AS \(| JOIN|\.)|(?<=FROM ){x}(?=\W)", f"{x}{part}", own)
+        parts.append(re.sub(r"(?<=FROM )g(?= WHERE)", f"h{part}", own).replace(f"FROM y{part} USING", "USING").replace("LEFT JOIN y USING", f"LEFT JOIN y{part} USING").replace("JOIN y ", f"JOIN y{part} "))
+        shown.append(f"SELECT '{part}' AS part, rid, track, CAST(CASE WHEN strand = '-' THEN {n - 1} - k ELSE k END AS INT) AS bin, val AS value FROM o{part}")
+    return "".join(parts) + " " + " UNION ALL ".join(shown)
+
+
+query("sig_04_parts", _parts_sql())(lambda r, z: G.signal_matrix(_genes(r), signal(r), z, TRACKS, bins=10, around=0.2))
 query("sig_05_normalized", ", d AS (SELECT DISTINCT track, val FROM v), q AS (SELECT track, quantile_cont(val, 0.95) AS t FROM d GROUP BY track), u AS (SELECT track, chrom, b, e, least(val, t) AS val FROM v JOIN q USING (track)), m AS (SELECT track, min(val) AS l, max(val) AS h FROM u GROUP BY track) SELECT track, chrom, b AS start, e AS end, round(100 * (val - l) / (h - l), 4) AS value FROM u JOIN m USING (track)")(
     lambda r, z: G.normalized(signal(r), ranging=True).select("track", "chrom", "start", "end", F.round("value", 4).alias("value"))
 )
@@ -183,7 +197,7 @@ def _tree(r: DataFrame, z: DataFrame) -> DataFrame:
     return tree.select(F.array_join("parent", "+").alias("parent"), F.array_join("child", "+").alias("child"), F.round("inheritance", 6).alias("inheritance"))
 
 
-query("olo_16_tree", None)(_tree)
+query("olo_16_tree", _FOUR + ", op AS (SELECT * FROM ov WHERE n0 > 0 AND n1 + n2 + n3 > 0), ask AS (SELECT DISTINCT n1 AS a1, n2 AS a2, n3 AS a3 FROM op), co AS (SELECT a1, a2, a3, sum(\"end\" - start) AS s, CASE WHEN a3 = 1 THEN 'CDS+' ELSE '' END || CASE WHEN a1 = 1 THEN 'Exon+' ELSE '' END || 'Query' || CASE WHEN a2 = 1 THEN '+Transcript' ELSE '' END AS label FROM op JOIN ask ON n1 >= a1 AND n2 >= a2 AND n3 >= a3 GROUP BY a1, a2, a3), pr AS (SELECT p.label AS parent, c.label AS child, round(c.s / p.s, 6) AS inheritance, rank() OVER (PARTITION BY c.label ORDER BY c.a1 + c.a2 + c.a3 - p.a1 - p.a2 - p.a3) AS r FROM co p JOIN co c ON p.a1 <= c.a1 AND p.a2 <= c.a2 AND p.a3 <= c.a3 AND p.label <> c.label) SELECT parent, child, inheritance FROM pr WHERE r = 1 UNION ALL SELECT 'Query', label, NULL FROM co WHERE label NOT IN (SELECT child FROM pr)")(_tree)
 query("olo_17_complement", ", " + _merged_sql("g", "mg") + ", q AS (SELECT chrom, b, e FROM mg UNION ALL SELECT chrom, size, size FROM z UNION ALL SELECT chrom, 0, 0 FROM z), w AS (SELECT chrom, b, max(e) OVER (PARTITION BY chrom ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM q) SELECT chrom, a AS start, b AS end FROM w WHERE a < b")(
     lambda r, z: O.complement(_genes(r), z)
 )
@@ -202,6 +216,6 @@ query("mod_04_dictionary", None)(_words)
 query("mod_06_frequent", _FOUR + ", i AS (SELECT list_filter([CASE WHEN n0 > 0 THEN 'Query' END, CASE WHEN n1 > 0 THEN 'Exon' END, CASE WHEN n2 > 0 THEN 'Transcript' END, CASE WHEN n3 > 0 THEN 'CDS' END], lambda x: x IS NOT NULL) AS l FROM ov), c AS (SELECT unnest(['CDS', 'Exon', 'Query', 'Transcript', 'CDS+Exon', 'CDS+Query', 'CDS+Transcript', 'Exon+Query', 'Exon+Transcript', 'Query+Transcript', 'CDS+Exon+Query', 'CDS+Exon+Transcript', 'CDS+Query+Transcript', 'Exon+Query+Transcript', 'CDS+Exon+Query+Transcript']) AS items), h AS (SELECT items, count(*) AS freq FROM c JOIN i ON list_has_all(l, string_split(items, '+')) GROUP BY items) SELECT items, freq FROM h WHERE freq >= 0.05 * (SELECT count(*) FROM i)")(
     lambda r, z: M.frequent_combinations(_segments(r), _LABELS).withColumn("items", F.array_join("items", "+"))
 )
-query("seq_03_header", "SELECT tx, regexp_replace(tx, '\\.[0-9]+$', '') AS header FROM (SELECT DISTINCT tx FROM f WHERE tx IS NOT NULL)")(
-    lambda r, z: r.select(attr("transcript_id").alias("tx")).where("tx IS NOT NULL").distinct().withColumn("header", F.regexp_replace("tx", r"\.[0-9]+$", ""))
+query("seq_03_header", "SELECT tx AS transcript_id, any_value('transcript_id=' || tx || '|gene_id=' || coalesce(gene, '?') || '|strand=' || strand) AS header FROM (SELECT tx, arg_min(gene, rid) AS gene, arg_min(strand, rid) AS strand FROM f WHERE feature = 'transcript' AND tx IS NOT NULL GROUP BY tx) JOIN (SELECT DISTINCT tx FROM f WHERE feature = 'exon') USING (tx) GROUP BY tx UNION ALL SELECT DISTINCT tx, tx FROM f WHERE feature = 'exon' AND tx IS NOT NULL AND tx NOT IN (SELECT tx FROM f WHERE feature = 'transcript' AND tx IS NOT NULL)")(
+    lambda r, z: Q.sequence_headers(_exons(r).where("name <> '?'").select(F.col("name").alias("transcript_id")).distinct(), r, ["transcript_id", "gene_id", "strand"], explicit=True, no_version=True)
 )

@@ -162,10 +162,26 @@ def read_signal_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, dict[
     return spark.read.option("sep", "\t").option("header", True).option("comment", "#").option("quote", "").csv(path), config
 
 
+@operator("SRC-16", group="sources")
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """(term, gene_id) of a two-column table of terms and their genes, in place of a query of a remote registry."""
+    return read_pairs(spark, path).select(F.col("key").alias("term"), F.col("value").alias("gene_id")).where("term IS NOT NULL AND gene_id IS NOT NULL").distinct()
+
+
+@operator("SRC-17", group="sources")
+def example(spark: SparkSession, genes: int = 10, exons: int = 3) -> DataFrame:
+    """A small made-up annotation table: so many genes in a row, on alternating strands, of one transcript each."""
+    at = F.col("id") * 1000 + 101
+    gene, tx = F.format_string("G%04d", F.col("id") + 1), F.format_string("G%04dT001", F.col("id") + 1)
+    own = [("gene", at, at + 100 * exons - 1, False), ("transcript", at, at + 100 * exons - 1, True), *(("exon", at + 100 * i, at + 100 * i + 49, True) for i in range(exons))]
+    each = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(f).alias("feature"), s.alias("start"), e.alias("end"), F.when(F.lit(t), tx).alias("tx")) for n, (f, s, e, t) in enumerate(own)))
+    rows = spark.range(genes).select("id", gene.alias("gene"), F.explode(each).alias("x"))
+    ids = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("gene_id", F.col("gene")), ("transcript_id", F.col("x.tx"))))), lambda a: a["value"].isNotNull())
+    return rows.select((F.col("id") * len(own) + F.col("x.n")).alias("rid"), F.lit("chr1").alias("seqid"), F.lit("made").alias("source"), "x.feature", "x.start", "x.end", F.lit(".").alias("score"), F.when(F.col("id") % 2 == 0, "+").otherwise("-").alias("strand"), F.lit(".").alias("phase"), ids.alias("attrs"))
+
+
 def ordered(rows: DataFrame) -> DataFrame:
     """rid made consecutive from 0 in its own order."""
     from locusframe.model import with_position
 
     return with_position(rows).drop("rid").withColumnRenamed("position", "rid")
-
-

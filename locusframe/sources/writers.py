@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.model import FIXED, bed
+from locusframe.operators.enrichment import statistics_columns
+from locusframe.operators.intervals import ends
 from locusframe.registry import operator
 
 
@@ -23,13 +25,13 @@ def _written(lines: DataFrame, path: str, one_file: bool) -> None:
     ordered.select("value").write.text(path)
 
 
-@operator("SNK-01", group="sinks")
+@operator("SNK-01", "SNK-10", group="sinks")
 def write_annotation(rows: DataFrame, path: str, add_chr: bool = False, one_file: bool = False) -> None:
     """Annotation text in file order."""
     _written(rows.select("rid", annotation_line(add_chr).alias("value")), path, one_file)
 
 
-@operator("SNK-02", "SNK-03", "SNK-04", "SNK-05", group="sinks")
+@operator("SNK-02", "SNK-03", "SNK-05", group="sinks")
 def write_bed(rows: DataFrame, path: str, name: list[str] = ("gene_id",), sep: str = "|", more: list[str] = (), columns: int = 6, missing: str = "?", one_file: bool = False) -> None:
     """Annotation rows as interval text of 3 or 6 columns; missing attributes in names are '?' (or '.')."""
     shown = bed(rows, name, sep, more, missing)
@@ -37,6 +39,19 @@ def write_bed(rows: DataFrame, path: str, name: list[str] = ("gene_id",), sep: s
     _written(shown.select("rid", F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in fields)).alias("value")), path, one_file)
 
 
+@operator("SNK-04", group="sinks")
+def write_ends(rows: DataFrame, path: str, feature: str = "transcript", three_prime: bool = False, name: tuple[str, ...] = ("transcript_id",), sep: str = "|", one_file: bool = False) -> None:
+    """One-base intervals at the 5' (or 3') ends of a feature's rows as text of 6 columns; missing attributes are '.'."""
+    shown = ends(rows, feature, three_prime, name, sep, missing=".")
+    _written(shown.select("rid", F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in ("chrom", "start", "end", "name", "score", "strand"))).alias("value")), path, one_file)
+
+
+@operator("SNK-08", group="sinks")
+def write_statistics(stats: DataFrame, path: str, label: str = "feature_type") -> None:
+    """Enrichment statistics as delimited text: the label, then both measures; further columns are left out. One small row per set."""
+    stats.select(label, *(c for c in statistics_columns() if c in stats.columns)).coalesce(1).write.option("sep", "\t").option("header", True).csv(path)
+
+
 @operator("SNK-06", group="sinks")
 def write_table(table: DataFrame, path: str, sep: str = "\t", header: bool = True) -> None:
     """Any table of plain columns as delimited text."""
