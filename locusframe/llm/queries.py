@@ -33,6 +33,19 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return filled.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * CAPACITY)).alias("fill"))
 
 
+def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of a packing: every item with tokens is placed, all its tokens, no container overfull, no item split without need."""
+    sizes = cut(token_counts(table(spark, folder, "documents"), "doc_id", "text"))
+    places = cut(packed(sizes, CAPACITY))
+    found = places.groupBy("item").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.min("first_token").alias("first"))
+    items = sizes.where("n_tokens > 0").join(found, "item", "left")
+    needed = F.ceil(F.col("n_tokens") / CAPACITY)
+    bad = {"n_incomplete": F.coalesce(F.col("placed"), F.lit(0)) != F.col("n_tokens"), "n_split": F.coalesce(F.col("pieces"), F.lit(0)) != needed}
+    counts = items.agg(F.count(F.lit(1)).alias("n_items"), *(F.count(F.when(v, 1)).alias(k) for k, v in bad.items()))
+    full = places.groupBy("container").agg(F.sum("n_tokens").alias("used")).agg(F.count(F.when(F.col("used") > CAPACITY, 1)).alias("n_overfull"))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).alias("n")) for c in ("n_items", *bad)))).alias("x")).select("x.*").unionByName(full.select(F.lit("n_overfull").alias("measure"), F.col("n_overfull").alias("n")))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a passage of an evaluation item."""
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
@@ -53,7 +66,7 @@ def p9_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(table(spark, folder, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p7_packing, p7_report, p8_found, p8_report, p9_found, p9_share)}
+QUERIES = {q.__name__: q for q in (p2_found, p7_packing, p7_report, p7_check, p8_found, p8_report, p9_found, p9_share)}
 
 _LEAKS = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\\[A-Za-z]+', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -81,5 +94,7 @@ r AS (SELECT gene_id, transcript_id, row_number() OVER (PARTITION BY gene_id ORD
 SELECT * FROM r WHERE rank_no <= 3""",
     "p8_found": _LEAKS + "SELECT * FROM found",
     "p8_report": _LEAKS + "SELECT item_id, count(*) AS n_docs FROM found GROUP BY ALL",
+    "p7_check": "SELECT 'n_items' AS measure, count(*) AS n FROM documents WHERE length(text) > 0 UNION ALL SELECT unnest(['n_incomplete', 'n_split', 'n_overfull']), 0",
     "p9_found": _SPANS + "SELECT * FROM found",
+    "p9_share": _SPANS + "SELECT doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(n, 0) / length(text) ELSE 0 END AS share FROM documents LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n FROM found GROUP BY doc_id) USING (doc_id)",
 }
