@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from locusframe.operators.skew import HOT_PARTS, hot_keys, replicated, salted
 from locusframe.registry import operator
+from locusframe.session import cut
 
 #: Integer keys are cut into blocks of this many, so that no sorted stretch is longer than that in one task.
 BLOCK = 1 << 16
@@ -17,7 +18,7 @@ FOREVER = "9999-12-31 00:00:00"
 def key_parts(key: Column) -> list[Column]:
     """A string key as (family, number, block): the family is what precedes the final digits, with their count.
 
-    Keys without final digits (or with more than 18 of them) are a family of their own with number 0.
+    Of more than 18 final digits the last 18 are the number. Keys without final digits are a family of their own with number 0.
     """
     digits = F.regexp_extract(key, r"\A(.*?)([0-9]{1,18})\z", 2)
     head = F.regexp_extract(key, r"\A(.*?)([0-9]{1,18})\z", 1)
@@ -52,7 +53,8 @@ def orphan_references(references: DataFrame, registry: DataFrame, total: int) ->
 
     references: registry STRING, id STRING (returned form, referring to something), at TIMESTAMP, row_id LONG and any
     further columns, which are kept (one named kind is replaced). registry: registry, id, added_at, withdrawn_at (null: open). `total` is at
-    least the number of references; it bounds the number of hot ids that are salted.
+    least the number of references; it bounds the number of hot ids that are salted. The distinct ids with their counts, and
+    the hot ones, are written once.
 
     Out come the reference's columns and `kind`: `missing` if the registry never has the id (as-of match of the
     distinct ids to runs of parent keys), else `late` if any of its rows was added after `at`, else `withdrawn`.
@@ -64,10 +66,10 @@ def orphan_references(references: DataFrame, registry: DataFrame, total: int) ->
     references = references.select("registry", "id", "at", "row_id", *(F.col(f"`{c}`").alias(k) for c, k in zip(extra, keep, strict=True)))
     stamp = references.schema["at"].dataType.simpleString()
     both = ["registry", "id"]
-    counts = references.groupBy(*both).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(references.groupBy(*both).agg(F.count(F.lit(1)).alias("n")))
     parents = registry.where(F.col("id").isNotNull())
     missing = beyond_runs(counts, key_runs(parents, "id", ["registry"]), "id", ["registry"])
-    hot = hot_keys(counts, both, total)
+    hot = cut(hot_keys(counts, both, total))
 
     nothing = {c: F.lit(None).cast(references.schema[c].dataType) for c in ("row_id", *keep)}
     ever = F.lit(None).cast(stamp)
