@@ -74,8 +74,11 @@ def exon_size_lists(rows: DataFrame) -> DataFrame:
 
 
 def intron_size_lists(rows: DataFrame) -> DataFrame:
-    """(transcript_id, intron_sizes): intron lengths from 5' to 3', joined by commas; '0' for one exon."""
-    exons = _exons(rows).select("transcript_id", "start", "end", "strand").distinct()
+    """(transcript_id, intron_sizes): intron lengths from 5' to 3', joined by commas; '0' for one exon.
+
+    An exon that is there twice counts once, whatever its strands.
+    """
+    exons = _exons(rows).groupBy("transcript_id", "start", "end").agg(F.min("strand").alias("strand"))
     gaps = exons.withColumn("gap", F.lead("start").over(Window.partitionBy("transcript_id").orderBy("start", "end")) - F.col("end") - 1)
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("gap").isNotNull(), F.struct("start", "end", "gap")))), lambda x: x["gap"].cast("string"))
     lists = gaps.groupBy("transcript_id").agg(ordered.alias("l"), F.min("strand").alias("strand"))

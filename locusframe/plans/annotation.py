@@ -207,7 +207,7 @@ query("agg_05_tx_size", "SELECT tx AS transcript_id, CAST(sum(e - s + 1) AS BIGI
 query("agg_05_tx_span", "SELECT tx AS transcript_id, max(e) - min(s) + 1 AS size FROM f WHERE feature = 'exon' AND tx IS NOT NULL GROUP BY tx")(lambda r: A.transcript_sizes(r, with_introns=True))
 query("agg_06_feat_size", "SELECT rid, e - s + 1 AS size FROM f WHERE feature = 'cds'")(lambda r: A.feature_sizes(r, "cds"))
 query("agg_06_exon_sizes", "SELECT tx AS transcript_id, string_agg(CAST(e - s + 1 AS VARCHAR), ',' ORDER BY rid) AS exon_sizes FROM f WHERE feature = 'exon' AND tx IS NOT NULL GROUP BY tx")(A.exon_size_lists)
-query("agg_06_intron_sizes", ", x AS (SELECT DISTINCT tx, s, e, strand FROM f WHERE feature = 'exon' AND tx IS NOT NULL), i AS (SELECT *, lead(s) OVER (PARTITION BY tx ORDER BY s, e) - e - 1 AS g FROM x), m AS (SELECT tx, min(strand) AS strand, string_agg(CAST(g AS VARCHAR), ',' ORDER BY s, e) FILTER (WHERE g IS NOT NULL) AS up, string_agg(CAST(g AS VARCHAR), ',' ORDER BY s DESC, e DESC) FILTER (WHERE g IS NOT NULL) AS down FROM i GROUP BY tx) SELECT tx AS transcript_id, coalesce(CASE WHEN strand = '-' THEN down ELSE up END, '0') AS intron_sizes FROM m")(
+query("agg_06_intron_sizes", ", x AS (SELECT tx, s, e, min(strand) AS strand FROM f WHERE feature = 'exon' AND tx IS NOT NULL GROUP BY tx, s, e), i AS (SELECT *, lead(s) OVER (PARTITION BY tx ORDER BY s, e) - e - 1 AS g FROM x), m AS (SELECT tx, min(strand) AS strand, string_agg(CAST(g AS VARCHAR), ',' ORDER BY s, e) FILTER (WHERE g IS NOT NULL) AS up, string_agg(CAST(g AS VARCHAR), ',' ORDER BY s DESC, e DESC) FILTER (WHERE g IS NOT NULL) AS down FROM i GROUP BY tx) SELECT tx AS transcript_id, coalesce(CASE WHEN strand = '-' THEN down ELSE up END, '0') AS intron_sizes FROM m")(
     A.intron_size_lists
 )
 query("agg_07_tss_dist", _TSS + ", r AS (SELECT gene_id, tss_rank, min(tss) AS site, count(*) AS n FROM q GROUP BY ALL) SELECT q.gene_id, transcript_id, tss, q.tss_rank, abs(tss - (SELECT site FROM r WHERE r.gene_id = q.gene_id AND r.tss_rank = q.tss_rank - 1)) AS dist, abs(tss - (SELECT min(tss) FROM q p WHERE p.gene_id = q.gene_id AND p.tss_rank = 1)) AS from_first, CAST(coalesce((SELECT sum(n) FROM r WHERE r.gene_id = q.gene_id AND r.tss_rank > q.tss_rank), 0) AS BIGINT) AS n_further FROM q")(
