@@ -233,16 +233,22 @@ def shared_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", lengt
     regions = cut(source.join(found, "doc_id").mapInPandas(_regions(length, seed), "doc_id bigint, base bigint, text string, hits array<struct<p:bigint,lo:bigint,hi:bigint,left:bigint>>"))
     drop_cut(seeds)
 
-    state, size = regions, seed
+    state, size, spent = regions, seed, None
     while 3 * size <= length:
         size *= 2
         windows = cut(state.mapInPandas(_grown(size), "h1 bigint, h2 int, doc_id bigint, base bigint, p bigint, lo bigint, hi bigint, left bigint"))
+        if spent is not None:
+            drop_cut(spent)
+        spent = windows
         hits = _with_class(windows, ["h1", "h2"], windows.count()).where(twice).groupBy("doc_id", "base").agg(F.collect_set(F.struct("p", "lo", "hi", "left")).alias("hits"))
         state = regions.drop("hits").join(hits, ["doc_id", "base"])
 
     shared = []
     for size in CELLS:
         cells = cut(state.mapInPandas(_celled(size, length, seed), "doc_id bigint, base bigint, p bigint, lo bigint, hi bigint, all1 bigint, all2 int, core1 bigint, core2 int"))
+        if spent is not None:
+            drop_cut(spent)
+            spent = None
         total = cells.count()
         whole = _with_class(cells.where("all1 IS NOT NULL"), ["all1", "all2"], total).drop("all1", "all2")
         whole = whole.unionByName(cells.where("all1 IS NULL").drop("all1", "all2"), allowMissingColumns=True)
