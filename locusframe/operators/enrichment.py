@@ -30,7 +30,8 @@ PERMUTED = 1 << 17
 def _permuted(parts: DataFrame, by: list[str], seed: int) -> DataFrame:
     """Parts with `place`, from 0: their rank in the order of a seeded hash, within `by`; `many` is the group's number of parts.
 
-    A group is cut by its hashes into blocks of about PERMUTED parts: no task orders more than that.
+    A group is cut by its hashes into blocks of about PERMUTED parts: no task orders more than that. Joins of what grows
+    with the shuffles are merged: Spark's estimates don't see the rows that the shuffles add, so it would broadcast them.
     """
     wide = 1 << 53
     drawn = F.pmod(F.xxhash64("shuffle", "number", F.lit(seed)), F.lit(wide))
@@ -38,7 +39,7 @@ def _permuted(parts: DataFrame, by: list[str], seed: int) -> DataFrame:
     cut_up = parts.withColumn("__u", drawn).withColumn("__block", block)
     offsets = carried(cut_up, by, "__block", __before=F.lit(1))
     rank = F.row_number().over(Window.partitionBy(*by, "__block").orderBy("__u", "number"))
-    return cut_up.withColumn("__rank", rank).join(offsets, [*by, "__block"]).withColumn("place", F.col("__before") + F.col("__rank") - 1).drop("__u", "__block", "__before", "__rank")
+    return cut_up.withColumn("__rank", rank).join(offsets.hint("merge"), [*by, "__block"]).withColumn("place", F.col("__before") + F.col("__rank") - 1).drop("__u", "__block", "__before", "__rank")
 
 
 @operator("OLO-03", group="enrichment")
@@ -54,10 +55,10 @@ def shuffled(a: DataFrame, sizes: DataFrame, shuffles: int = SHUFFLES, seed: int
     by = [*keys, "shuffle", "chrom"]
     lengths = _permuted(parts.where("length IS NOT NULL").select(*by, "number", "many", "length"), by, seed)
     gaps = _permuted(parts.select(*by, "number", "many", "gap"), by, seed + 1)
-    placed = lengths.select(*by, "place", "length").join(gaps.select(*by, "place", "gap"), [*by, "place"])
+    placed = lengths.select(*by, "place", "length").join(gaps.select(*by, "place", "gap").hint("merge"), [*by, "place"])
     block = placed.withColumn("__block", F.floor(F.col("place") / BLOCK).cast("bigint"))
     inside = Window.partitionBy(*by, "__block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = block.withColumn("__own", F.sum(F.col("length") + F.col("gap")).over(inside)).join(carried(block, by, "__block", __before=F.col("length") + F.col("gap")), [*by, "__block"])
+    summed = block.withColumn("__own", F.sum(F.col("length") + F.col("gap")).over(inside)).join(carried(block, by, "__block", __before=F.col("length") + F.col("gap")).hint("merge"), [*by, "__block"])
     end = F.col("__before") + F.col("__own")
     return summed.select(*by, (end - F.col("length")).alias("start"), end.alias("end"))
 
