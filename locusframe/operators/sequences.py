@@ -29,15 +29,16 @@ def fetch(intervals: DataFrame, genome: DataFrame, stranded: bool = True, chunk:
     """0-based intervals with a unique rid -> their columns and `bases`; reverse-complemented on - if stranded.
 
     Intervals are joined to the chunks they touch. Those that reach beyond the genome get what there is of it,
-    those on unknown chromosomes drop out.
+    those on unknown chromosomes drop out. The joins are merged: Spark takes bases for far shorter than they are and would
+    broadcast a genome.
     """
     first, last = F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk)
     asked = intervals.where(F.col("start") < F.col("end")).select("rid", "chrom", "start", "end", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("chunk"))
     at = F.greatest(F.col("start") - F.col("chunk") * chunk, F.lit(0))
     upto = F.least(F.col("end") - F.col("chunk") * chunk, F.lit(chunk))
-    parts = asked.join(genome, ["chrom", "chunk"]).select("rid", "chunk", F.substring("bases", (at + 1).cast("int"), (upto - at).cast("int")).alias("part"))
+    parts = asked.join(genome.hint("merge"), ["chrom", "chunk"]).select("rid", "chunk", F.substring("bases", (at + 1).cast("int"), (upto - at).cast("int")).alias("part"))
     whole = parts.groupBy("rid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), "").alias("bases"))
-    out = intervals.join(whole, "rid")
+    out = intervals.join(whole.hint("merge"), "rid")
     return out.withColumn("bases", F.when(F.lit(stranded) & (F.col("strand") == "-"), reverse_complement(F.col("bases"))).otherwise(F.col("bases")))
 
 

@@ -2,7 +2,7 @@
 
 import re
 
-from locusframe.operators import enrichment
+from locusframe.operators import enrichment, sequences
 from pyspark.sql import functions as F
 
 
@@ -17,3 +17,12 @@ def test_shuffled_parts_are_not_broadcast(spark):
     assert not broadcast(drawn, "shuffle")
     sums = drawn.groupBy("shuffle").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("s"))
     assert sums.select("n", "s").distinct().collect() == [(50, 150)]
+
+
+def test_genomes_are_not_broadcast(spark):
+    text = "ACGT" * 12
+    genome = spark.range(3).select(F.lit("a").alias("chrom"), F.col("id").alias("chunk"), F.lit("ACGT" * 4).alias("bases"))
+    asked = spark.createDataFrame([(i, "a", i, i + 20, "+") for i in range(20)], "rid bigint, chrom string, start bigint, end bigint, strand string")
+    found = sequences.fetch(asked, genome, chunk=16)
+    assert not broadcast(found, "chunk") and not broadcast(found, "rid")
+    assert {r["rid"]: r["bases"] for r in found.collect()} == {i: text[i : i + 20] for i in range(20)}
