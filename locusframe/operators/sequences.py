@@ -24,34 +24,46 @@ def reverse_complement(bases: Column) -> Column:
     return F.translate(F.reverse(bases), "ACGTacgt", "TGCAtgca")
 
 
+def _parts(intervals: DataFrame, genome: DataFrame, keep: list[str], chunk: int) -> DataFrame:
+    """The kept columns of intervals, chunk and `part`, the bases there, for every chunk that an interval touches.
+
+    The join is merged: Spark takes bases for far shorter than they are and would broadcast a genome.
+    """
+    first, last = F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk)
+    asked = intervals.where(F.col("start") < F.col("end")).select(*dict.fromkeys([*keep, "chrom", "start", "end"]), F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("chunk"))
+    at = F.greatest(F.col("start") - F.col("chunk") * chunk, F.lit(0))
+    upto = F.least(F.col("end") - F.col("chunk") * chunk, F.lit(chunk))
+    return asked.join(genome.hint("merge"), ["chrom", "chunk"]).select(*keep, "chunk", F.substring("bases", (at + 1).cast("int"), (upto - at).cast("int")).alias("part"))
+
+
+def _joined(*order: str) -> Column:
+    """The parts of a group in this order, as one text."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "part"))), lambda x: x["part"]), "")
+
+
 @operator("IV-08", "SEQ-04", "SRC-09", group="sequences")
 def fetch(intervals: DataFrame, genome: DataFrame, stranded: bool = True, chunk: int = CHUNK) -> DataFrame:
     """0-based intervals with a unique rid -> their columns and `bases`; reverse-complemented on - if stranded.
 
     Intervals are joined to the chunks they touch. Those that reach beyond the genome get what there is of it,
-    those on unknown chromosomes drop out. The joins are merged: Spark takes bases for far shorter than they are and would
-    broadcast a genome.
+    those on unknown chromosomes drop out. The bases are merged to their intervals, not broadcast.
     """
-    first, last = F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk)
-    asked = intervals.where(F.col("start") < F.col("end")).select("rid", "chrom", "start", "end", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("chunk"))
-    at = F.greatest(F.col("start") - F.col("chunk") * chunk, F.lit(0))
-    upto = F.least(F.col("end") - F.col("chunk") * chunk, F.lit(chunk))
-    parts = asked.join(genome.hint("merge"), ["chrom", "chunk"]).select("rid", "chunk", F.substring("bases", (at + 1).cast("int"), (upto - at).cast("int")).alias("part"))
-    whole = parts.groupBy("rid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), "").alias("bases"))
+    whole = _parts(intervals, genome, ["rid"], chunk).groupBy("rid").agg(_joined("chunk").alias("bases"))
     out = intervals.join(whole.hint("merge"), "rid")
     return out.withColumn("bases", F.when(F.lit(stranded) & (F.col("strand") == "-"), reverse_complement(F.col("bases"))).otherwise(F.col("bases")))
 
 
 @operator("SEQ-01", group="sequences")
 def transcript_sequences(rows: DataFrame, genome: DataFrame, with_introns: bool = False, rev_comp: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """(transcript_id, gene_id, chrom, strand, sequence): spliced exons (or the whole span) of every transcript, 5' to 3'."""
+    """(transcript_id, gene_id, chrom, strand, sequence): spliced exons (or the whole span) of every transcript, 5' to 3'.
+
+    The parts of all exons of a transcript are put together at once, so bases are shuffled once.
+    """
     exons = rows.where(F.col("feature") == "exon").select("rid", F.col("seqid").alias("chrom"), (F.col("start") - 1).alias("start"), "end", "strand", attr("transcript_id").alias("transcript_id"), attr("gene_id").alias("gene_id")).where("transcript_id IS NOT NULL")
     keys = ["transcript_id", "gene_id", "chrom", "strand"]
     if with_introns:
         exons = exons.groupBy(*keys).agg(F.min("rid").alias("rid"), F.min("start").alias("start"), F.max("end").alias("end"))
-    pieces = fetch(exons, genome, stranded=False, chunk=chunk)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "rid", "bases"))), lambda x: x["bases"]), "")
-    spliced = pieces.groupBy(*keys).agg(joined.alias("s"))
+    spliced = _parts(exons, genome, [*keys, "start", "end", "rid"], chunk).groupBy(*keys).agg(_joined("start", "end", "rid", "chunk").alias("s"))
     return spliced.select(*keys, F.when(F.lit(rev_comp) & (F.col("strand") == "-"), reverse_complement(F.col("s"))).otherwise(F.col("s")).alias("sequence"))
 
 

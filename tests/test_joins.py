@@ -2,6 +2,7 @@
 
 import re
 
+from locusframe.model import attrs_of
 from locusframe.operators import enrichment, sequences
 from pyspark.sql import functions as F
 
@@ -26,3 +27,14 @@ def test_genomes_are_not_broadcast(spark):
     found = sequences.fetch(asked, genome, chunk=16)
     assert not broadcast(found, "chunk") and not broadcast(found, "rid")
     assert {r["rid"]: r["bases"] for r in found.collect()} == {i: text[i : i + 20] for i in range(20)}
+
+
+def test_spliced_bases_are_shuffled_once(spark):
+    genome = spark.range(3).select(F.lit("a").alias("chrom"), F.col("id").alias("chunk"), F.lit("ACGT" * 4).alias("bases"))
+    exons = spark.createDataFrame([(1, 21, 40, "t"), (2, 3, 18, "t"), (3, 47, 60, "t"), (4, 49, 60, "u")], "rid bigint, start bigint, end bigint, t string")
+    rows = exons.select("rid", F.lit("a").alias("seqid"), F.lit("exon").alias("feature"), "start", "end", F.lit("-").alias("strand"), attrs_of(transcript_id=F.col("t")).alias("attrs"))
+    found = sequences.transcript_sequences(rows, genome, chunk=16)
+    assert not broadcast(found, "chunk") and found._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+    text = "ACGT" * 12
+    spliced = text[2:18] + text[20:40] + text[46:]
+    assert [(r["transcript_id"], r["gene_id"], r["sequence"]) for r in found.collect()] == [("t", None, spliced[::-1].translate(str.maketrans("ACGT", "TGCA")))]
