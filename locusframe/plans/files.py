@@ -72,10 +72,10 @@ def track_files(spark: SparkSession, folder: str, path: str) -> DataFrame:
 
 @query("src_09_fasta", "SELECT tx AS chrom, CAST(sum(e - s + 1) AS BIGINT) AS n FROM f WHERE feature = 'exon' AND tx IS NOT NULL GROUP BY tx, gene, seqid, strand")
 def sequence_files(spark: SparkSession, folder: str, path: str) -> DataFrame:
-    """Spliced transcripts as FASTA text, written and read again: their lengths."""
+    """Spliced transcripts as compressed FASTA text, written and read again: their lengths."""
     rows = annotation(spark, folder)
     spliced = Q.transcript_sequences(rows, genome(bed(rows.where("feature = 'exon'"), ["transcript_id"])))
-    W.write_fasta(spliced, path, ["transcript_id"])
+    W.write_fasta(spliced, path, ["transcript_id"], compression="gzip")
     return R.read_fasta(spark, path).select("chrom", F.length("sequence").cast("bigint").alias("n"))
 
 

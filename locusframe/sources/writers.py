@@ -59,11 +59,11 @@ def write_table(table: DataFrame, path: str, sep: str = "\t", header: bool = Tru
 
 
 @operator("SNK-07", group="sinks")
-def write_fasta(sequences: DataFrame, path: str, header: list[str], sep: str = "|") -> None:
-    """Sequences in lines of 60 under a header of the given columns."""
+def write_fasta(sequences: DataFrame, path: str, header: list[str], sep: str = "|", compression: str = "none") -> None:
+    """Sequences in lines of 60 under a header of the given columns; compression: gzip writes .gz files, which are read back as they are."""
     from locusframe.operators.sequences import fasta_lines
 
-    fasta_lines(sequences, header, sep=sep).write.text(path)
+    fasta_lines(sequences, header, sep=sep).write.option("compression", compression).text(path)
 
 
 @operator("SNK-09", group="sinks")

@@ -4,6 +4,7 @@ import re
 
 from locusframe.model import attrs_of
 from locusframe.operators import enrichment, sequences
+from locusframe.sources import readers, writers
 from pyspark.sql import functions as F
 
 
@@ -38,3 +39,10 @@ def test_spliced_bases_are_shuffled_once(spark):
     text = "ACGT" * 12
     spliced = text[2:18] + text[20:40] + text[46:]
     assert [(r["transcript_id"], r["gene_id"], r["sequence"]) for r in found.collect()] == [("t", None, spliced[::-1].translate(str.maketrans("ACGT", "TGCA")))]
+
+
+def test_compressed_fasta_is_read_back(spark, tmp_path):
+    made = spark.createDataFrame([("t", "ACGT" * 40), ("u", "G")], "chrom string, sequence string")
+    writers.write_fasta(made, f"file://{tmp_path}/f", ["chrom"], compression="gzip")
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "f").glob("part-*"))
+    assert sorted(map(tuple, readers.read_fasta(spark, f"file://{tmp_path}/f").collect())) == [("t", "ACGT" * 40), ("u", "G")]
