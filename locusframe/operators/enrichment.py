@@ -25,6 +25,10 @@ MARKOV_SLICES = 16
 MARKOV_CHAIN = 1 << 16
 #: Parts of a permutation are ranked in hash blocks of about so many.
 PERMUTED = 1 << 17
+#: A chromosome is shuffled and compared within tasks if no set has more intervals there than WITHIN; a task draws about
+#: DRAWN of them.
+WITHIN = 1 << 22
+DRAWN = 1 << 23
 
 
 def _permuted(parts: DataFrame, by: list[str], seed: int) -> DataFrame:
@@ -152,19 +156,91 @@ def true_overlap(a: DataFrame, sets: DataFrame, keys: tuple[str, ...] = (), merg
     return every.select(*keys, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("s", F.lit(0)).cast("bigint").alias("s"))
 
 
+def _drawn(lengths: np.ndarray, gaps: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of intervals whose lengths and gaps are permuted; those that touch are one."""
+    length = rng.permutation(lengths)
+    end = np.cumsum(length + rng.permutation(gaps)[: len(length)])
+    start = end - length
+    apart = start[1:] != end[:-1]
+    return start[np.append(True, apart)], end[np.append(apart, True)]
+
+
+def _met(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """Number and bases of the overlaps of two sets of ordered intervals of which no two of a set touch."""
+    (start, end), (s, e) = a, b
+    first, last = np.searchsorted(end, s, "right"), np.searchsorted(start, e, "left")
+    covered = np.append(0, np.cumsum(end - start))
+    upto = covered[last] - np.maximum(np.append(0, end)[last] - e, 0)
+    below = covered[first] + np.maximum(s - np.append(start, np.iinfo(np.int64).max)[first], 0)
+    return int((last - first).sum()), int((upto - below).sum())
+
+
+def _met_within(a: DataFrame, sets: DataFrame, sizes: DataFrame, shuffles: int, seed: int, keys: tuple[str, ...], partitions: int) -> DataFrame:
+    """(keys, shuffle, n, s), summed over chromosomes: what shuffle_overlaps counts, drawn and counted within tasks.
+
+    The lengths and gaps of a chromosome are sent to as many tasks as its shuffles take; shuffled intervals are never written.
+    """
+    def gathered(x: DataFrame, own: tuple[str, ...]) -> DataFrame:
+        lists = (F.sort_array(F.collect_list(c)).alias(f"{c}s") for c in ("length", "gap"))
+        return lengths_and_gaps(x, sizes, own).groupBy(*own, "chrom").agg(*lists)
+
+    kinds = {k: sets.schema[k].dataType for k in keys}
+    query = gathered(a, ()).select(F.lit(0).alias("of_set"), "chrom", *(F.lit(None).cast(v).alias(k) for k, v in kinds.items()), "lengths", "gaps")
+    every = cut(query.unionByName(gathered(sets, keys).select(F.lit(1).alias("of_set"), "chrom", *keys, "lengths", "gaps")))
+    pieces = F.least(F.lit(shuffles), F.ceil(F.sum(F.size("lengths").cast("bigint")) * shuffles / DRAWN)).cast("int")
+    each = every.join(every.groupBy("chrom").agg(pieces.alias("pieces")), "chrom").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    tasks = each.repartition(partitions, "chrom", "piece").sortWithinPartitions("chrom", "piece", "of_set")
+
+    def run(batches):
+        drawn: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for of_set, chrom, piece, many, lengths, gaps, *own in batch[["of_set", "chrom", "piece", "pieces", "lengths", "gaps", *keys]].itertuples(index=False, name=None):
+                numbers = range(piece, shuffles, many)
+                name = "|".join([*map(str, own), chrom]) if of_set else chrom
+                rng = np.random.default_rng([seed + 1000 * of_set, piece, *map(ord, name)])
+                if of_set:
+                    out += [(*own, k, *_met(one, _drawn(lengths, gaps, rng))) for k, one in zip(numbers, drawn, strict=True)]
+                else:
+                    drawn = [_drawn(lengths, gaps, rng) for _ in numbers]
+            yield pd.DataFrame(out, columns=[*keys, "shuffle", "n", "s"])
+
+    fields = [f"{k} {v.simpleString()}" for k, v in kinds.items()]
+    return tasks.mapInPandas(run, ", ".join([*fields, "shuffle int, n bigint, s bigint"]))
+
+
+def _met_swept(a: DataFrame, sets: DataFrame, sizes: DataFrame, shuffles: int, seed: int, markov: bool, keys: tuple[str, ...]) -> DataFrame:
+    """As _met_within, by one sweep of all sets and shuffles over chromosomes of any size."""
+    model: Callable = markov_shuffled if markov else shuffled
+    one, two = cut(model(a, sizes, shuffles, seed)), cut(model(sets, sizes, shuffles, seed + 1000, keys))
+    by = [*keys, "shuffle"]
+    return _overlapping(sweep([_for_each_set(one, two, keys), two], tuple(by)), by)
+
+
 @operator("OLO-05", group="enrichment")
 def shuffle_overlaps(a: DataFrame, sets: DataFrame, sizes: DataFrame, shuffles: int = SHUFFLES, seed: int = 42, markov: bool = False, keys: tuple[str, ...] = (), merged: bool = False) -> DataFrame:
     """(keys, shuffle, n, s): overlaps of independently shuffled a and sets, on chromosomes that both have; 0 where there is none.
 
-    All sets and shuffles go through one sweep keyed by them. The merged sets and the shuffled ones are written to the
-    shared folder, as the sweep reads each of them several times.
+    Chromosomes of at most WITHIN intervals a set are drawn and counted within tasks, from sorted lengths and gaps. Larger ones, and
+    those of the Markov model, go through one sweep keyed by sets and shuffles: the shuffled sets are written to the shared
+    folder then, as the sweep reads each of them several times.
     """
-    model: Callable = markov_shuffled if markov else shuffled
     left, right = (a, sets) if merged else (cut(merge(a)), cut(merge(sets, keys)))
-    one = cut(model(left.join(right.select("chrom").distinct(), "chrom", "left_semi"), sizes, shuffles, seed))
-    two = cut(model(right.join(left.select("chrom").distinct(), "chrom", "left_semi"), sizes, shuffles, seed + 1000, keys))
+    own, others = left.join(right.select("chrom").distinct(), "chrom", "left_semi"), right.join(left.select("chrom").distinct(), "chrom", "left_semi")
     by = [*keys, "shuffle"]
-    found = _overlapping(sweep([_for_each_set(one, two, keys), two], tuple(by)), by)
+    if markov:
+        found = _met_swept(own, others, sizes, shuffles, seed, True, keys)
+    else:
+        counts = own.groupBy("chrom").count().unionByName(others.groupBy(*keys, "chrom").count().select("chrom", "count"))
+        counts = cut(counts.groupBy("chrom").agg(F.sum("count").alias("many"), F.max("count").alias("most")))
+        far = counts.where(F.col("most") > WITHIN).select("chrom")
+        seen = counts.agg(F.sum(F.when(F.col("most") <= WITHIN, F.col("many"))), F.max("most")).first()
+        partitions = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * -(-(seen[0] or 0) * shuffles // DRAWN))
+        near = [x.join(far, "chrom", "left_anti") for x in (own, others)]
+        found = _met_within(*near, sizes, shuffles, seed, keys, partitions)
+        if (seen[1] or 0) > WITHIN:
+            found = found.unionByName(_met_swept(*(x.join(far, "chrom", "left_semi") for x in (own, others)), sizes, shuffles, seed, False, keys).select(*found.columns))
+        found = found.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("shuffle")
     every = (right.select(*keys).distinct() if keys else a.sparkSession.range(1)).select(*keys, numbers)
     return every.join(found, by, "left").select(*by, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("s", F.lit(0)).cast("bigint").alias("s"))

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 from locusframe.model import attrs_of
 from locusframe.operators import enrichment, sequences
 from locusframe.sources import readers, writers
@@ -46,3 +47,29 @@ def test_compressed_fasta_is_read_back(spark, tmp_path):
     writers.write_fasta(made, f"file://{tmp_path}/f", ["chrom"], compression="gzip")
     assert all(p.name.endswith(".gz") for p in (tmp_path / "f").glob("part-*"))
     assert sorted(map(tuple, readers.read_fasta(spark, f"file://{tmp_path}/f").collect())) == [("t", "ACGT" * 40), ("u", "G")]
+
+
+def counted(a, b):
+    """Overlaps of two lists of intervals base by base: runs of bases in both, and their number."""
+    both = sorted({p for s, e in a for p in range(s, e)} & {p for s, e in b for p in range(s, e)})
+    return sum(p - 1 not in set(both) for p in both), len(both)
+
+
+def test_overlaps_drawn_within_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        many = (8, rng.integers(1, 9))
+        lengths, gaps = ([rng.integers(least, 6, n) for n in many] for least in (1, 0))
+        a, b = (enrichment._drawn(x, np.append(y, 3), rng) for x, y in zip(lengths, gaps, strict=True))
+        assert (a[1] - a[0]).sum() == lengths[0].sum() and (a[0][1:] > a[1][:-1]).all() and a[0][0] >= 0
+        assert enrichment._met(a, b) == counted(*(list(zip(*(v.tolist() for v in x), strict=True)) for x in (a, b)))
+    sizes = spark.createDataFrame([("a", 1000), ("b", 400), ("c", 9)], "chrom string, size bigint")
+    own = spark.createDataFrame([("a", 10 * i, 10 * i + 3) for i in range(60)] + [("b", 0, 30), ("b", 50, 60), ("d", 1, 2)], "chrom string, start bigint, end bigint")
+    sets = spark.createDataFrame([("all", "a", 0, 1000), ("all", "b", 0, 400), ("one", "b", 0, 400), ("none", "c", 0, 9)], "k string, chrom string, start bigint, end bigint")
+    # Sets that fill their chromosomes meet all of a wherever it is drawn: in tasks, by the sweep, and part by part.
+    for within, drawn in ((1 << 22, 1 << 23), (1, 1 << 23), (10, 1 << 23), (1 << 22, 100)):
+        monkeypatch.setattr(enrichment, "WITHIN", within)
+        monkeypatch.setattr(enrichment, "DRAWN", drawn)
+        found = enrichment.shuffle_overlaps(own, sets, sizes, 6, keys=("k",)).collect()
+        assert sorted((r["k"], r["shuffle"], r["s"]) for r in found) == [(k, i, s) for k, s in (("all", 220), ("none", 0), ("one", 40)) for i in range(6)]
+        assert all(1 <= r["n"] <= {"all": 62, "one": 2}[r["k"]] for r in found if r["k"] != "none")
