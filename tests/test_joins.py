@@ -3,7 +3,7 @@
 import re
 
 import numpy as np
-from locusframe.model import attrs_of
+from locusframe.model import attrs_of, bed
 from locusframe.operators import enrichment, sequences
 from locusframe.sources import readers, writers
 from pyspark.sql import functions as F
@@ -73,3 +73,25 @@ def test_overlaps_drawn_within_tasks(spark, monkeypatch):
         found = enrichment.shuffle_overlaps(own, sets, sizes, 6, keys=("k",)).collect()
         assert sorted((r["k"], r["shuffle"], r["s"]) for r in found) == [(k, i, s) for k, s in (("all", 220), ("none", 0), ("one", 40)) for i in range(6)]
         assert all(1 <= r["n"] <= {"all": 62, "one": 2}[r["k"]] for r in found if r["k"] != "none")
+
+
+def test_enrichment_writes_no_shuffled_sets(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("shuffled sets are written")
+
+    monkeypatch.setattr(enrichment, "shuffled", refused)
+    rows = spark.createDataFrame([(i, "a", f, 40 * i + 1, 40 * i + 20, "+" if i % 2 else "-") for i in range(20) for f in ("cds", "exon")], "rid bigint, seqid string, feature string, start bigint, end bigint, strand string")
+    rows = rows.withColumns({"attrs": attrs_of(gene_id=F.lit("g")), "score": F.lit(".")})
+    query = bed(rows.where("feature = 'cds'"))
+    found = enrichment.annotation_enrichment(query, rows, spark.createDataFrame([("a", 2000)], "chrom string, size bigint"), more_keys=("strand",)).collect()
+    assert {r["feature_type"]: (r["nb_intersections_true"], r["summed_bp_overlaps_true"]) for r in found} == {"cds": (20, 400), "exon": (20, 400), "strand:+": (10, 200), "strand:-": (10, 200)}
+    # As many bases are expected as lie in both of two sets of 20 whose gaps, the last one long, are in any order.
+    rng, gaps = np.random.default_rng(3), [0, *[20] * 19, 1220]
+
+    def held():
+        return {p for at in np.cumsum(rng.permutation(gaps)[:20] + 20).tolist() for p in range(at - 20, at)}
+
+    seen = np.array([len(held() & held()) for _ in range(1000)])
+    exon = next(r for r in found if r["feature_type"] == "exon")
+    assert abs(exon["summed_bp_overlaps_expectation_shuffled"] - seen.mean()) < 5 * seen.std() / 200**0.5
+    assert 0.6 < exon["summed_bp_overlaps_variance_shuffled"] / seen.var() < 1.6
