@@ -5,6 +5,7 @@ import re
 import numpy as np
 from locusframe.model import attrs_of, bed
 from locusframe.operators import enrichment, sequences
+from locusframe.plans import statistics
 from locusframe.sources import readers, writers
 from pyspark.sql import functions as F
 
@@ -95,3 +96,11 @@ def test_enrichment_writes_no_shuffled_sets(spark, monkeypatch):
     exon = next(r for r in found if r["feature_type"] == "exon")
     assert abs(exon["summed_bp_overlaps_expectation_shuffled"] - seen.mean()) < 5 * seen.std() / 200**0.5
     assert 0.6 < exon["summed_bp_overlaps_variance_shuffled"] / seen.var() < 1.6
+
+
+def test_stacked_runs_of_one_enrichment(spark, monkeypatch):
+    monkeypatch.setattr(enrichment, "shuffled", None)  # nothing shuffled is written
+    rows = spark.createDataFrame([(i, "a", "cds", 40 * i + 1, 40 * i + 20, "+", ".") for i in range(20)], "rid bigint, seqid string, feature string, start bigint, end bigint, strand string, score string")
+    found = statistics._stacked(rows.withColumn("attrs", attrs_of(gene_id=F.lit("g"))), spark.createDataFrame([("a", 2000)], "chrom string, size bigint")).collect()
+    runs = {n: sorted((r["feature_type"], r["summed_bp_overlaps_true"], r["minus_log10_pvalue"]) for r in found if r["run"] == n) for n in ("first", "second")}
+    assert runs["first"] == runs["second"] and [x[:2] for x in runs["first"]] == [("cds", 400), ("strand:+", 400)]
