@@ -75,11 +75,12 @@ def merge(a: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def subtract(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
     """What of each interval of a no interval of b covers; an interval may fall apart. Columns of a are kept.
 
-    a must have a unique `rid`. Only the stretches of merged b that an interval meets are looked at.
+    a must have a unique `rid`. Only the stretches of merged b that an interval meets are looked at. Joins are merged: either
+    side grows with the input, and Spark takes it for smaller than it is.
     """
-    holes = overlap_join(a.select("rid", "chrom", "start", "end"), merge(b), width=width)
+    holes = overlap_join(a.select("rid", "chrom", "start", "end"), merge(b).hint("merge"), width=width)
     cut = holes.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("ov_start", "ov_end"))).alias("holes"))
-    joined = a.join(cut, "rid", "left")
+    joined = a.join(cut.hint("merge"), "rid", "left")
     none = F.array().cast("array<struct<ov_start:bigint,ov_end:bigint>>")
     h = F.coalesce("holes", none)
     begins = F.concat(F.array(F.col("start")), F.transform(h, lambda x: x["ov_end"]))
@@ -190,9 +191,11 @@ def sweep(sets: list[DataFrame], shuffle_keys: tuple[str, ...] = (), least: int
     carried = sums.select(*keys, "block", *(F.coalesce(F.sum(f"b{i}").over(earlier), F.lit(0)).alias(f"c{i}") for i in range(n)), F.lead("first_pos").over(nearby).alias("next_pos"))
     inside = Window.partitionBy(*keys, "block").orderBy("pos")
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opened = [F.col(f"c{i}") + F.sum(f"d{i}").over(running) for i in range(n)]
+    opened = [F.col(f"c{i}") + F.col(f"o{i}") for i in range(n)]
     open_now, before = F.array(*(x.cast("int") for x in opened)), F.array(*((x - F.col(f"d{i}")).cast("int") for i, x in enumerate(opened)))
-    segments = places.join(carried, [*keys, "block"]).select(*keys, F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(inside), F.col("next_pos")).alias("end"), open_now.alias("flags"), before.alias("before"))
+    # Run first and joined after: rows are in the order of their blocks then, and merging costs nothing.
+    run = places.select("*", *(F.sum(f"d{i}").over(running).alias(f"o{i}") for i in range(n)), F.lead("pos").over(inside).alias("__next"))
+    segments = run.join(carried.hint("merge"), [*keys, "block"]).select(*keys, F.col("pos").alias("start"), F.coalesce("__next", "next_pos").alias("end"), open_now.alias("flags"), before.alias("before"))
     return segments.where(F.col("end").isNotNull() & (F.aggregate("flags", F.lit(0), lambda x, y: x + y) >= least))
 
 
@@ -433,7 +436,7 @@ def lengths_and_gaps(a: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ())
     earlier = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*by, "__block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__rows"), F.last("e", ignorenulls=True).over(earlier).alias("__reach"))
     inside = Window.partitionBy(*by, "__block").orderBy("start", "end")
-    near = every.withColumns({"__row": F.row_number().over(inside), "__lag": F.lag("end").over(inside)}).join(blocks, [*by, "__block"])
+    near = every.withColumns({"__row": F.row_number().over(inside), "__lag": F.lag("end").over(inside)}).join(blocks.hint("merge"), [*by, "__block"])
     gap = F.greatest(F.col("start") - F.coalesce("__lag", "__reach", F.lit(0)), F.lit(0))
     return near.select(*by, (F.col("__rows") + F.col("__row")).alias("number"), (F.col("end") - F.col("start")).alias("length"), gap.alias("gap"))
 

@@ -22,7 +22,8 @@ def periods_and_gaps(rows: DataFrame, keys: list[str], start: str = "start_pos",
     start, and a session window whose duration is the row's own length joins overlapping rows. These stretches are
     written once, as the rest reads them several times. What reaches beyond its block is carried over a per-block
     summary (a few rows per key). Touching periods are then joined and each gap and period end comes from the next
-    period by lead.
+    period by lead. Joins by block are merged: rows are in the order of their blocks anyway, and neither they nor a summary
+    that grows with keys and blocks is sent to every executor.
     Rows with a null key or an invalid span (null, start < 1, end < start) give nothing; repeated rows change nothing.
     """
     where = F.floor((F.col("s") - 1) / block).cast("bigint")
@@ -43,21 +44,20 @@ def periods_and_gaps(rows: DataFrame, keys: list[str], start: str = "start_pos",
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.withColumn("carry", F.max("far").over(before)).select(*keys, "block", "carry")
     earlier = Window.partitionBy(*keys, "block").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.greatest("carry", F.max("e").over(earlier))
-    heads = local.join(carried, [*keys, "block"]).withColumn("reach", reach).withColumn("top", F.max("e").over(Window.partitionBy(*keys, "block")))
+    heads = local.withColumn("reach", F.max("e").over(earlier)).join(carried.hint("merge"), [*keys, "block"]).withColumn("reach", F.greatest("carry", "reach"))
     heads = heads.where(F.col("reach").isNull() | (F.col("s") > F.col("reach") + 1)).select(*keys, "block", "s", "reach")
 
     # A period ends where the next head says that everything before it ended; the last one at the key's furthest end.
     first = heads.groupBy(*keys, "block").agg(F.min_by("reach", "s").alias("first_reach"))
     after = Window.partitionBy(*keys).orderBy("block")
-    following = summary.join(first, [*keys, "block"], "left").select(
+    following = summary.join(first.hint("merge"), [*keys, "block"], "left").select(
         *keys,
         "block",
         F.first("first_reach", ignorenulls=True).over(after.rowsBetween(1, Window.unboundedFollowing)).alias("next_reach"),
         F.max("far").over(Window.partitionBy(*keys)).alias("furthest"),
     )
     in_block = Window.partitionBy(*keys, "block").orderBy("s")
-    ended = heads.withColumn("own_next", F.lead("reach").over(in_block)).join(following, [*keys, "block"])
+    ended = heads.withColumn("own_next", F.lead("reach").over(in_block)).join(following.hint("merge"), [*keys, "block"])
     ended = ended.withColumn("e", F.coalesce("own_next", "next_reach", "furthest"))
     period = F.struct(F.lit("period").alias("kind"), F.col("s").alias(start), F.col("e").alias(end))
     gap = F.struct(F.lit("gap").alias("kind"), (F.col("reach") + 1).alias(start), (F.col("s") - 1).alias(end))

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 from locusframe.model import attrs_of, bed
-from locusframe.operators import enrichment, sequences
+from locusframe.operators import enrichment, intervals, sequences
 from locusframe.plans import statistics
 from locusframe.sources import readers, writers
 from pyspark.sql import functions as F
@@ -104,3 +104,16 @@ def test_stacked_runs_of_one_enrichment(spark, monkeypatch):
     found = statistics._stacked(rows.withColumn("attrs", attrs_of(gene_id=F.lit("g"))), spark.createDataFrame([("a", 2000)], "chrom string, size bigint")).collect()
     runs = {n: sorted((r["feature_type"], r["summed_bp_overlaps_true"], r["minus_log10_pvalue"]) for r in found if r["run"] == n) for n in ("first", "second")}
     assert runs["first"] == runs["second"] and [x[:2] for x in runs["first"]] == [("cds", 400), ("strand:+", 400)]
+
+
+def test_annotation_sets_are_not_broadcast(spark):
+    tx = spark.createDataFrame([(i, "a", 100 * i, 100 * i + 80) for i in range(30)], "rid bigint, chrom string, start bigint, end bigint")
+    exons = tx.select("chrom", (F.col("start") + 10).alias("start"), (F.col("start") + 30).alias("end"))
+    left = intervals.subtract(tx, exons)
+    assert not broadcast(left, "__bin") and not broadcast(left, "rid")
+    assert sorted((r["rid"], r["start"], r["end"]) for r in left.collect()) == [(i, 100 * i + s, 100 * i + e) for i in range(30) for s, e in ((0, 10), (30, 80))]
+    merged = intervals.merge(tx.unionByName(exons, allowMissingColumns=True))
+    assert not broadcast(merged, "block") and merged.count() == 30
+    parts = intervals.lengths_and_gaps(merged, spark.createDataFrame([("a", 5000)], "chrom string, size bigint"))
+    assert not broadcast(parts, "__block")
+    assert [(r["length"], r["gap"]) for r in parts.orderBy("number").collect()] == [(80, 0), *[(80, 20)] * 29, (None, 2020)]
