@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.statistics import beta_pvalue, negbin_columns, negbin_fit_quality, negbin_log10_pvalue
 from locusframe.model import bed, value
-from locusframe.operators.blocks import BLOCK, carried
+from locusframe.operators.blocks import BLOCK, block_of, carried
 from locusframe.operators.intervals import ends, exclude_concatenate, exclude_sizes, intergenic, introns, lengths_and_gaps, merge, slop, sweep, uncovered
 from locusframe.registry import operator
 from locusframe.session import cut
@@ -29,6 +29,8 @@ PERMUTED = 1 << 17
 #: DRAWN of them.
 WITHIN = 1 << 22
 DRAWN = 1 << 23
+#: Slices that a chromosome's blocks are dealt to where each of its intervals is repeated for every set.
+SLICES = 16
 
 
 def _permuted(parts: DataFrame, by: list[str], seed: int) -> DataFrame:
@@ -136,8 +138,10 @@ def _overlapping(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _for_each_set(a: DataFrame, sets: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """a once for every set, on the chromosomes that the set has."""
-    return a.join(sets.select(*keys, "chrom").distinct(), "chrom")
+    """a once for every set, on the chromosomes that the set has. Slices of a chromosome are merged: a is not broadcast, and no
+    task repeats a whole chromosome."""
+    asked = sets.select(*keys, "chrom").distinct().withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SLICES - 1).cast("bigint"))))
+    return a.withColumn("__slice", F.pmod(block_of(F.col("start")), F.lit(SLICES))).join(asked.hint("merge"), ["chrom", "__slice"]).drop("__slice")
 
 
 @operator("OLO-06", group="enrichment")

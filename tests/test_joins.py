@@ -117,3 +117,15 @@ def test_annotation_sets_are_not_broadcast(spark):
     parts = intervals.lengths_and_gaps(merged, spark.createDataFrame([("a", 5000)], "chrom string, size bigint"))
     assert not broadcast(parts, "__block")
     assert [(r["length"], r["gap"]) for r in parts.orderBy("number").collect()] == [(80, 0), *[(80, 20)] * 29, (None, 2020)]
+
+
+def test_a_query_is_not_broadcast_for_its_sets(spark):
+    own = spark.createDataFrame([(c, s, s + 10) for c in "ab" for s in (-(1 << 21), *range(0, 40 << 20, 1 << 20))], "chrom string, start bigint, end bigint")
+    sets = spark.createDataFrame([(k, c, 0, 1 << 26) for k, c in ("xa", "ya", "yb")] + [("z", "c", 0, 9)], "k string, chrom string, start bigint, end bigint")
+    each = enrichment._for_each_set(own, sets, ("k",))
+    assert not broadcast(each, "chrom")
+    assert sorted(map(tuple, each.select("k", "chrom", "start", "end").collect())) == sorted((k, *r) for k, c in ("xa", "ya", "yb") for r in map(tuple, own.collect()) if r[0] == c)
+    segments = intervals.sweep([each, sets], ["k"])
+    assert not broadcast(segments, "block")
+    found = enrichment.true_overlap(own, sets, ("k",))
+    assert sorted(map(tuple, found.collect())) == [("x", 40, 400), ("y", 80, 800), ("z", 0, 0)]
