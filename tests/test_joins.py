@@ -6,6 +6,7 @@ import numpy as np
 from locusframe.model import attrs_of, bed
 from locusframe.operators import enrichment, intervals, sequences
 from locusframe.plans import statistics
+from locusframe.session import cut
 from locusframe.sources import readers, writers
 from pyspark.sql import functions as F
 
@@ -122,6 +123,7 @@ def test_annotation_sets_are_not_broadcast(spark):
 def test_a_query_is_not_broadcast_for_its_sets(spark):
     own = spark.createDataFrame([(c, s, s + 10) for c in "ab" for s in (-(1 << 21), *range(0, 40 << 20, 1 << 20))], "chrom string, start bigint, end bigint")
     sets = spark.createDataFrame([(k, c, 0, 1 << 26) for k, c in ("xa", "ya", "yb")] + [("z", "c", 0, 9)], "k string, chrom string, start bigint, end bigint")
+    own, sets = cut(own), cut(sets)  # tables whose size Spark knows
     each = enrichment._for_each_set(own, sets, ("k",))
     assert not broadcast(each, "chrom")
     assert sorted(map(tuple, each.select("k", "chrom", "start", "end").collect())) == sorted((k, *r) for k, c in ("xa", "ya", "yb") for r in map(tuple, own.collect()) if r[0] == c)
